@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, sharding, simhash
+from . import exact_dedup, langid, packing, pii, sharding, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,18 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def vocabulary(name: str) -> str:
+    """The path of a public tokenizer's file on this machine; executors have the same files at the same place."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' tokens into sequences of 2,048, 32 windows open in each partition; a row for each piece."""
+    return packing.pack(_documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decide(_documents(spark, sf_dir))
 
@@ -34,10 +46,21 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(_documents(spark, sf_dir))
+
+
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "op1_sharding": op1_sharding,
+    "op4_packing": op4_packing,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_simhash": op6_simhash,
+    "op7_pii": op7_pii,
+    "op9_langid": op9_langid,
 }
 
 ORACLES: dict[str, str] = {
