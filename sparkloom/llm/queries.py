@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, packing, pii, sharding, simhash
+from . import exact_dedup, itq, langid, packing, pii, sharding, simhash, substring
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -50,17 +50,27 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(_documents(spark, sf_dir))
 
 
+def op8_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_documents(spark, sf_dir))
 
 
+def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "op1_sharding": op1_sharding,
     "op4_packing": op4_packing,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_simhash": op6_simhash,
     "op7_pii": op7_pii,
+    "op8_itq": op8_itq,
     "op9_langid": op9_langid,
+    "op10_substring": op10_substring,
 }
 
 ORACLES: dict[str, str] = {
