@@ -21,13 +21,13 @@ from ._shared import Utf8, input_partitions, scratch_path, small_batches, utf8
 
 CHUNK_BYTES = 6 << 20
 
-Keys = Callable[[pa.RecordBatch, list[np.ndarray]], np.ndarray]
-Finish = Callable[[pa.RecordBatch, list[np.ndarray]], pa.RecordBatch]
+Keys = Callable[[pa.RecordBatch, np.ndarray], np.ndarray]
+Finish = Callable[[int, pa.RecordBatch, np.ndarray], pa.RecordBatch]
 
 
 def pack_docs(docs: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, docs.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+    with pa.ipc.new_stream(sink, docs.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=4))) as writer:
         writer.write_table(docs)
     return sink.getvalue().to_pybytes()
 
@@ -37,7 +37,7 @@ def unpack_docs(blob: bytes) -> pa.RecordBatch:
     return table.to_batches()[0]
 
 
-def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _gather(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[pa.RecordBatch]:
     base = TaskContext.get().partitionId() << 24
     held: list[pa.RecordBatch] = []
     size = made = 0
@@ -54,11 +54,11 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = 0
         while at < batch.num_rows:
             before = int(ends[at - 1]) if at else 0
-            to = min(batch.num_rows, int(np.searchsorted(ends, before + CHUNK_BYTES - size)) + 1)
+            to = min(batch.num_rows, int(np.searchsorted(ends, before + chunk_bytes - size)) + 1)
             held.append(batch.slice(at, to - at))
             size += int(ends[to - 1]) - before
             at = to
-            if size >= CHUNK_BYTES:
+            if size >= chunk_bytes:
                 yield emit()
     if held:
         yield emit()
@@ -73,13 +73,13 @@ class ChunkTable:
     name: str
 
     @classmethod
-    def write(cls, docs: DataFrame) -> ChunkTable:
+    def write(cls, docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> ChunkTable:
         """``docs`` needs a string column ``text``; its other columns are carried along."""
         spark = docs.sparkSession
         small_batches(spark)
         buckets = max(2 * input_partitions(docs), int(spark.conf.get("spark.sql.shuffle.partitions")))
         name = f"sparkloom_chunks_{uuid.uuid4().hex}"
-        rows = docs.mapInArrow(_gather, "chunk long, docs binary")
+        rows = docs.mapInArrow(lambda batches: _gather(batches, chunk_bytes), "chunk long, docs binary")
         rows.write.bucketBy(buckets, "chunk").option("path", scratch_path(spark, "chunks")).option("compression", "none").saveAsTable(name)
         return cls(spark.table(name), buckets, name)
 
@@ -117,16 +117,18 @@ class ChunkTable:
         """Rows that ``apply`` makes of each chunk's documents and blobs."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for _, docs, blobs in _rows(batches):
-                yield apply(docs, blobs)
+            for chunk, docs, blobs in _rows(batches):
+                yield apply(chunk, docs, blobs)
 
         return self._with(side).mapInArrow(run, ddl)
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, list[bytes]]]:
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray]]:
+    """Chunk, its documents, and the bytes of all its blobs, one after the other."""
     for batch in batches:
         for i in range(batch.num_rows):
-            yield batch.column(0)[i].as_py(), unpack_docs(batch.column(1)[i].as_buffer()), batch.column(2)[i].as_py() or []
+            blobs = batch.column(2)[i].values
+            yield batch.column(0)[i].as_py(), unpack_docs(batch.column(1)[i].as_buffer()), utf8(blobs.cast(pa.large_binary())).data if blobs is not None else np.zeros(0, np.uint8)
 
 
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -161,9 +163,9 @@ def recurring(keys: DataFrame) -> DataFrame:
     return keys.groupBy("bucket").applyInArrow(run, "chunk long, blob binary")
 
 
-def joined_keys(blobs: list[bytes]) -> np.ndarray:
+def joined_keys(blobs: np.ndarray) -> np.ndarray:
     """All keys of a chunk's blobs, sorted, as uint64."""
-    return np.sort(np.concatenate([np.frombuffer(b, np.uint64) for b in blobs])) if blobs else np.zeros(0, np.uint64)
+    return np.sort(np.ascontiguousarray(blobs).view(np.uint64))
 
 
 def among(values: np.ndarray, sorted_keys: np.ndarray) -> np.ndarray:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, itq, langid, packing, pii, sharding, simhash, substring
+from . import exact_dedup, itq, kneser_ney, langid, packing, pii, sharding, simhash, substring
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,11 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's perplexity under the model of the documents labelled good and not toxic, and whether it is kept."""
+    return kneser_ney.classify(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def vocabulary(name: str) -> str:
     """The path of a public tokenizer's file on this machine; executors have the same files at the same place."""
     import public_tokenizers
@@ -64,6 +69,7 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_sharding": op1_sharding,
+    "op2_kneser_ney": op2_kneser_ney,
     "op4_packing": op4_packing,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_simhash": op6_simhash,

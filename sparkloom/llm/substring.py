@@ -100,15 +100,15 @@ class _Chunk:
 
 
 def _seed_keys(window: int, seed: int):
-    def run(docs: pa.RecordBatch, _: list) -> np.ndarray:
+    def run(docs: pa.RecordBatch, _: np.ndarray) -> np.ndarray:
         return flagged(_Chunk(docs, window).seeds(seed)[1])
 
     return run
 
 
 def _window_keys(window: int, seed: int):
-    def run(docs: pa.RecordBatch, blobs: list) -> np.ndarray:
-        if not blobs:
+    def run(docs: pa.RecordBatch, blobs: np.ndarray) -> np.ndarray:
+        if not len(blobs):
             return np.zeros(0, np.int64)
         chunk = _Chunk(docs, window)
         own = among(chunk.seeds(seed)[0] << np.uint64(1), joined_keys(blobs))
@@ -139,11 +139,11 @@ def _occurrences(w: Words, firsts: np.ndarray, window: int) -> np.ndarray:
     return np.searchsorted(w.start, np.array(sorted(found), np.int64))
 
 
-def _marked(chunk: _Chunk, blobs: list) -> np.ndarray:
+def _marked(chunk: _Chunk, blobs: np.ndarray) -> np.ndarray:
     """Which words lie in a recurring window."""
     w, window = chunk.words, chunk.window
     covered = np.zeros(len(w.start) + 1, np.int64)
-    if not blobs:
+    if not len(blobs):
         return covered[:-1] > 0
     hit = among(chunk.window_hashes(chunk.starts) << np.uint64(1), joined_keys(blobs))
     recur = np.zeros(len(w.start), bool)
@@ -167,7 +167,7 @@ def _marked(chunk: _Chunk, blobs: list) -> np.ndarray:
 
 
 def _clean(window: int, with_text: bool):
-    def run(docs: pa.RecordBatch, blobs: list) -> pa.RecordBatch:
+    def run(_: int, docs: pa.RecordBatch, blobs: np.ndarray) -> pa.RecordBatch:
         chunk = _Chunk(docs, window)
         w, gone = chunk.words, _marked(chunk, blobs)
         kept = ~gone
