@@ -1,41 +1,30 @@
-"""Token ids of whole texts by the tokenizers library, with each distinct word encoded once for each Python worker."""
+"""Token ids of whole texts, with each distinct unit of text (such as a word) encoded once for each Python worker."""
 
 from __future__ import annotations
 
 import os
 import re
+from collections.abc import Callable
 from itertools import repeat
 
 import numpy as np
 
 from ._shared import Utf8, spread, words
 
-#: Distinct words, and distinct parts of words, kept at most; when there are more, a table is begun anew.
+#: Distinct units, and distinct parts of words, kept at most; when there are more, a table is begun anew.
 KEEP = 500_000
 
-#: Words of printable ASCII and precomposed Latin-1 letters: no normal form changes them but lower case.
-_PLAIN = re.compile("[\x21-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
-#: How the tokenizer parts such words, after lower case.
-_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+# Words of printable ASCII and precomposed Latin-1 letters: no normal form changes them but lower case.
+_PLAIN = re.compile("[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
+# How the tokenizer parts such words, after lower case.
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
 
-class WordIds:
-    """For tokenizers of the word_bpe kind: NFC, lower case, and pre-tokens that never span white space.
+class IdTable:
+    """Ids of units, looked up by their bytes; ``encode`` is asked for those that aren't known yet."""
 
-    A text's ids are then those of its words in turn, and a plain word's those of its pre-tokens in turn.
-    """
-
-    def __init__(self, path: str, keep: int = KEEP):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
-
-        self._bytes = ByteLevel(add_prefix_space=False, use_regex=False)
-        self._parts: dict[str, list[int]] = {}
-        self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
-        self._model = self._tokenizer.model
-        self._keep = keep
+    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], keep: int = KEEP):
+        self._encode, self._keep = encode, keep
         self._forget()
 
     def _forget(self) -> None:
@@ -47,7 +36,7 @@ class WordIds:
 
     def _learn(self, new: list[bytes]) -> None:
         at = len(self._row)
-        ids = self._encode_words([w.decode() for w in new])
+        ids = self._encode(new)
         count = np.fromiter(map(len, ids), np.int64, len(ids))
         total = int(count.sum())
         while self._used + total > len(self._ids):
@@ -60,16 +49,53 @@ class WordIds:
         self._used += total
         self._row.update(zip(new, range(at, at + len(new)), strict=True))
 
-    def _encode_words(self, new: list[str]) -> list[list[int]]:
+    def ids(self, units: list[bytes], bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all units in turn; of the texts that begin at the units ``bounds``, where their ids begin."""
+        rows = np.fromiter(map(self._row.get, units, repeat(-1)), np.int64, len(units))
+        missing = np.flatnonzero(rows < 0)
+        if len(missing):
+            new = list(dict.fromkeys(units[i] for i in missing.tolist()))
+            if len(self._row) + len(new) > self._keep and self._row:
+                self._forget()
+                new = list(dict.fromkeys(units))
+                missing = np.arange(len(units))
+            self._learn(new)
+            rows[missing] = [self._row[units[i]] for i in missing.tolist()]
+        count = self._count[rows]
+        ends = np.concatenate(([0], np.cumsum(count)))
+        return self._ids[spread(self._start[rows], count)], ends[bounds]
+
+
+class WordIds:
+    """For tokenizers of the word_bpe kind: NFC, lower case, and pre-tokens that never span white space.
+
+    A text's ids are then those of its words in turn, and a plain word's those of its pre-tokens in turn.
+    """
+
+    def __init__(self, path: str, keep: int = KEEP):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self._bytes = ByteLevel(add_prefix_space=False, use_regex=False)
+        self._parts: dict[str, list[int]] = {}
+        self._tokenizer = Tokenizer.from_file(path)
+        self._tokenizer.encode_special_tokens = True
+        self._model = self._tokenizer.model
+        self._keep = keep
+        self._table = IdTable(self._encode_words, keep)
+
+    def _encode_words(self, new: list[bytes]) -> list[list[int]]:
         """Plain words by the library's model, a distinct part at a time; all others by the library's whole chain."""
-        out: list[list[int] | None] = [None] * len(new)
+        out: list[list[int]] = [[]] * len(new)
         parts, known = self._parts, self._parts.get
         if len(parts) > self._keep:
             parts.clear()
         other = []
-        for i, word in enumerate(new):
+        for i, raw in enumerate(new):
+            word = raw.decode()
             if not _PLAIN.fullmatch(word):
-                other.append(i)
+                other.append((i, word))
                 continue
             ids: list[int] = []
             for part in _PARTS.findall(word.lower()):
@@ -79,27 +105,14 @@ class WordIds:
                     own = parts[part] = [t.id for t in self._model.tokenize(mapped)]
                 ids += own
             out[i] = ids
-        for i, e in zip(other, self._tokenizer.encode_batch_fast([new[i] for i in other], add_special_tokens=False), strict=True):
+        for (i, _), e in zip(other, self._tokenizer.encode_batch_fast([w for _, w in other], add_special_tokens=False), strict=True):
             out[i] = e.ids
         return out
 
     def encode(self, text: Utf8) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and the offsets at which each text's ids begin."""
         w = words(text)
-        list_ = w.joined.tobytes().split(b" ") if len(w.start) else []
-        rows = np.fromiter(map(self._row.get, list_, repeat(-1)), np.int64, len(list_))
-        missing = np.flatnonzero(rows < 0)
-        if len(missing):
-            new = list(dict.fromkeys(list_[i] for i in missing.tolist()))
-            if len(self._row) + len(new) > self._keep and self._row:
-                self._forget()
-                new = list(dict.fromkeys(list_))
-                missing = np.arange(len(list_))
-            self._learn(new)
-            rows[missing] = [self._row[list_[i]] for i in missing.tolist()]
-        count = self._count[rows]
-        ends = np.concatenate(([0], np.cumsum(count)))
-        return self._ids[spread(self._start[rows], count)], ends[w.bounds]
+        return self._table.ids(w.joined.tobytes().split(b" ") if len(w.start) else [], w.bounds)
 
 
 _loaded: dict[str, WordIds] = {}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, itq, kneser_ney, langid, packing, pii, sharding, simhash, substring
+from . import exact_dedup, itq, kneser_ney, langid, packing, pii, sentencepiece_codec, sharding, simhash, substring
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,6 +37,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded, verified against the sentencepiece library, and decoded again; digests of the ids."""
+    return sentencepiece_codec.encode(_documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"), with_ids=False)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' tokens into sequences of 2,048, 32 windows open in each partition; a row for each piece."""
     return packing.pack(_documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
@@ -70,6 +75,7 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_sharding": op1_sharding,
     "op2_kneser_ney": op2_kneser_ney,
+    "op3_sentencepiece": op3_sentencepiece,
     "op4_packing": op4_packing,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_simhash": op6_simhash,
