@@ -5,10 +5,6 @@ Work on text is done on Arrow buffers with numpy, a batch of documents at a time
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,36 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
+from ..staging import scratch_path, scratch_root, stage
 
-_own_roots: dict[str, str] = {}
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``, which driver and executors share.
-
-    Only where the setting is absent (tests, a single machine) a temporary folder of our own is used.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if root:
-        return root.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_roots:
-        _own_roots[app] = tempfile.mkdtemp(prefix="sparkloom-")
-        atexit.register(shutil.rmtree, _own_roots[app], ignore_errors=True)
-    return _own_roots[app]
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/sparkloom/{name}-{uuid.uuid4().hex}"
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives the loss of executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+__all__ = ["Utf8", "Words", "input_partitions", "scratch_path", "scratch_root", "small_batches", "spread", "stage", "unsigned_crc32", "utf8", "words"]
 
 def small_batches(spark: SparkSession) -> None:
     """Bounds the Arrow batches handed to Python, which hold whole texts, and makes this package known to the workers."""
@@ -60,15 +29,6 @@ def input_partitions(df: DataFrame) -> int:
     return max(1, df.rdd.getNumPartitions())
 
 
-def only(df: DataFrame, **columns: str) -> DataFrame:
-    """The named columns and no others, so that further columns of the input can't clash: ``only(df, id="doc_id")``."""
-    return df.select(*[df[source].alias(name) for name, source in columns.items()])
-
-
-def nullsafe(column: Column, other: Column) -> Column:
-    return column.eqNullSafe(other)
-
-
 @dataclass
 class Utf8:
     """A string column as one byte buffer; document i is ``data[offsets[i]:offsets[i + 1]]``. Nulls are empty."""

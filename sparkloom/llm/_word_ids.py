@@ -11,7 +11,7 @@ import numpy as np
 
 from ._shared import Utf8, spread, words
 
-#: Distinct units, and distinct parts of words, kept at most; when there are more, a table is begun anew.
+#: Distinct units, and distinct parts of words, kept at most. A full table keeps the units that it met more than once.
 KEEP = 500_000
 
 # Words of printable ASCII and precomposed Latin-1 letters: no normal form changes them but lower case.
@@ -32,17 +32,35 @@ class IdTable:
         self._ids = np.zeros(1 << 16, np.uint32)
         self._start = np.zeros(1 << 16, np.int64)
         self._count = np.zeros(1 << 16, np.int64)
+        self._hits = np.zeros(0, np.int64)
         self._used = 0
 
+    def _shrink(self) -> None:
+        """Keeps units met more than once, the most frequent half of the table at most."""
+        known, hits, ids, start, count = list(self._row), self._hits, self._ids, self._start, self._count
+        rows = np.flatnonzero(hits > 1)
+        if len(rows) > self._keep // 2:
+            rows = np.sort(rows[np.argsort(-hits[rows], kind="stable")[: self._keep // 2]])
+        self._forget()
+        self._row = {known[r]: i for i, r in enumerate(rows.tolist())}
+        n = len(rows)
+        self._ids = ids[spread(start[rows], count[rows])]
+        self._used = len(self._ids)
+        self._count, self._start = count[rows], np.cumsum(count[rows]) - count[rows]
+        self._hits = hits[rows] // 2
+        if not n:
+            self._forget()
+
     def _learn(self, new: list[bytes]) -> None:
         at = len(self._row)
         ids = self._encode(new)
         count = np.fromiter(map(len, ids), np.int64, len(ids))
         total = int(count.sum())
-        while self._used + total > len(self._ids):
-            self._ids = np.concatenate((self._ids, np.zeros_like(self._ids)))
-        while at + len(new) > len(self._start):
-            self._start, self._count = (np.concatenate((x, np.zeros_like(x))) for x in (self._start, self._count))
+        if self._used + total > len(self._ids):
+            self._ids = np.concatenate((self._ids, np.zeros(self._used + total, np.uint32)))
+        if at + len(new) > len(self._start):
+            self._start, self._count = (np.concatenate((x, np.zeros(at + len(new), np.int64))) for x in (self._start, self._count))
+        self._hits = np.concatenate((self._hits, np.zeros(len(new), np.int64)))
         self._ids[self._used : self._used + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
         self._start[at : at + len(new)] = self._used + np.cumsum(count) - count
         self._count[at : at + len(new)] = count
@@ -56,11 +74,13 @@ class IdTable:
         if len(missing):
             new = list(dict.fromkeys(units[i] for i in missing.tolist()))
             if len(self._row) + len(new) > self._keep and self._row:
-                self._forget()
-                new = list(dict.fromkeys(units))
-                missing = np.arange(len(units))
+                self._shrink()
+                rows = np.fromiter(map(self._row.get, units, repeat(-1)), np.int64, len(units))
+                missing = np.flatnonzero(rows < 0)
+                new = list(dict.fromkeys(units[i] for i in missing.tolist()))
             self._learn(new)
             rows[missing] = [self._row[units[i]] for i in missing.tolist()]
+        self._hits += np.bincount(rows, minlength=len(self._hits))
         count = self._count[rows]
         ends = np.concatenate(([0], np.cumsum(count)))
         return self._ids[spread(self._start[rows], count)], ends[bounds]
