@@ -17,13 +17,15 @@ text; repeated rows are scored one by one; an empty table gives an empty result;
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import spread, stage
-from .chunks import ChunkTable
+from .chunks import ChunkTable, text_of
 
 ORDER = 4
 BITS = 12
@@ -31,6 +33,7 @@ QUANTILE = 0.995
 SLACK = 1.1
 FEW = 20
 CHUNK_BYTES = 12 << 20
+SLICE_BYTES = 1 << 20
 #: Log-probabilities travel as whole numbers of this fraction of a nat.
 GRAIN = 1_000_000
 
@@ -61,18 +64,39 @@ def grams(docs: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return gram[spread(bounds[:-1], count)], np.concatenate(([0], np.cumsum(count)))
 
 
+def _slices(docs: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Runs of documents of about ``SLICE_BYTES``, and where each begins: what is held as symbols and grams at once."""
+    ends = np.cumsum(np.diff(text_of(docs).offsets))
+    at = 0
+    while at < docs.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        to = min(docs.num_rows, int(np.searchsorted(ends, before + SLICE_BYTES)) + 1)
+        yield at, docs.slice(at, to - at)
+        at = to
+
+
+def _summed(values: np.ndarray, counts: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values and their counts, with those of ``more`` added."""
+    new, n = np.unique(more, return_counts=True)
+    every, at = np.unique(np.concatenate((values, new)), return_inverse=True)
+    return every, np.bincount(at, np.concatenate((counts, n)), len(every)).astype(np.int64)
+
+
 def _count(_: int, docs: pa.RecordBatch, blobs: np.ndarray) -> pa.RecordBatch:
     trusted = np.sort(np.ascontiguousarray(blobs).view(">i8").astype(np.int64))
     ids = docs.column(0).fill_null(-1).to_numpy()
     rows = np.flatnonzero(np.isin(ids, trusted) & docs.column(0).is_valid().to_numpy(zero_copy_only=False))
-    gram, _ = grams(docs.take(pa.array(rows)))
-    values, counts = np.unique(gram, return_counts=True)
+    values, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for _, part in _slices(docs.take(pa.array(rows))):
+        values, counts = _summed(values, counts, grams(part)[0])
     return pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts, pa.int64())], ["gram", "n"])
 
 
 def _ask(chunk: int, docs: pa.RecordBatch, _: np.ndarray) -> pa.RecordBatch:
-    values = np.unique(grams(docs)[0]).view(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(values), chunk)), pa.array(values)], ["chunk", "gram"])
+    values = np.zeros(0, np.uint64)
+    for _, part in _slices(docs):
+        values = np.union1d(values, grams(part)[0])
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(values), chunk)), pa.array(values.view(np.int64))], ["chunk", "gram"])
 
 
 def _score(_: int, docs: pa.RecordBatch, blobs: np.ndarray) -> pa.RecordBatch:
@@ -80,11 +104,14 @@ def _score(_: int, docs: pa.RecordBatch, blobs: np.ndarray) -> pa.RecordBatch:
     known, cost = answers["gram"].astype(np.uint64), answers["cost"].astype(np.float64) / GRAIN
     order = np.argsort(known)
     known, cost = known[order], cost[order]
-    gram, bounds = grams(docs)
-    sums = np.concatenate(([0.0], np.cumsum(cost[np.searchsorted(known, gram)]))) if len(gram) else np.zeros(1)
-    n = np.diff(bounds)
-    ppl = np.exp((sums[bounds[1:]] - sums[bounds[:-1]]) / np.maximum(n, 1))
-    return pa.RecordBatch.from_arrays([docs.column(0), docs.column(1), pa.array(n, pa.int64()), pa.array(ppl, pa.float64(), mask=n == 0)], ["doc_id", "lang", "n_symbols", "perplexity"])
+    n, ppl = np.zeros(docs.num_rows, np.int64), np.ones(docs.num_rows)
+    for at, part in _slices(docs):
+        gram, bounds = grams(part)
+        sums = np.concatenate(([0.0], np.cumsum(cost[np.searchsorted(known, gram)]))) if len(gram) else np.zeros(1)
+        own = slice(at, at + part.num_rows)
+        n[own] = np.diff(bounds)
+        ppl[own] = np.exp((sums[bounds[1:]] - sums[bounds[:-1]]) / np.maximum(n[own], 1))
+    return pa.RecordBatch.from_arrays([docs.column(0), docs.column(1), pa.array(n), pa.array(ppl, pa.float64(), mask=n == 0)], ["doc_id", "lang", "n_symbols", "perplexity"])
 
 
 def _hex(column: Column, digits: int) -> Column:
