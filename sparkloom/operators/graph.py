@@ -117,6 +117,8 @@ def diverse(scored: DataFrame, limit: int, uses: int = USES) -> DataFrame:
     order = [F.desc("score"), F.asc("i"), F.asc("rk")]
     left = stage(scored.select("i", "j", "rk", "score"), "bridges-left")
     taken: DataFrame | None = None
+    if left.isEmpty():
+        return scored.limit(0)
     while True:
         ends = left.select("i", "j", "rk", "score", F.explode(F.array("i", "j")).alias("node"))
         if taken is not None:
@@ -129,14 +131,10 @@ def diverse(scored: DataFrame, limit: int, uses: int = USES) -> DataFrame:
         state = ranked.groupBy("i", "j", "rk", "score").agg(F.min(F.col("at") <= F.col("room")).alias("best"), F.min("room").alias("room"))
         state = stage(state, "bridges-state")
         now = state.where("best and room > 0").select("i", "j", "rk", "score")
-        if now.isEmpty():
-            break
         taken = now if taken is None else taken.unionByName(now)
         left = state.where("not best and room > 0").select("i", "j", "rk", "score")
         if left.isEmpty():
             break
-    if taken is None:
-        return scored.limit(0)
     first = taken.orderBy(*order).limit(limit).select("i", "j")
     return scored.join(first, ["i", "j"])
 

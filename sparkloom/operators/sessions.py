@@ -33,7 +33,9 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 
 def files(spark: SparkSession, folder: str) -> DataFrame:
     """One row for each file, empty ones too."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl").load(folder).select(F.regexp_extract("path", r"[^/]+$", 0).alias("session"))
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/*.jsonl")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
+    return spark.createDataFrame([(f.getPath().getName(),) for f in found], "session string")
 
 
 def records(lines: DataFrame) -> DataFrame:
@@ -44,16 +46,17 @@ def records(lines: DataFrame) -> DataFrame:
     out = rows.select(
         "session", "seq", F.col("o.timestamp").alias("at"), T.parse_ts(F.col("o.timestamp")).alias("ts"), F.nullif(F.col("o.gitBranch"), F.lit("")).alias("branch"),
         m["role"].alias("role"), F.nullif(m["model"], F.lit("")).alias("model"), m["content"].alias("content"), m["usage"].alias("usage"),
-        F.coalesce(F.col("o.toolUseResult.interrupted") & m.isNotNull(), F.lit(False)).alias("interrupted"), F.from_json(m["content"], BLOCKS).alias("blocks"),
+        F.coalesce(F.col("o.toolUseResult.interrupted") & m.isNotNull(), F.lit(False)).alias("interrupted"), F.when(F.ltrim(m["content"]).startswith("["), F.from_json(m["content"], BLOCKS)).alias("blocks"),
     )
     some = F.coalesce("blocks", F.array().cast(BLOCKS))
     texts = F.transform(F.filter(some, lambda b: (b["type"] == "text") & b["text"].isNotNull()), lambda b: b["text"])
     raw = F.when(F.col("blocks").isNull(), F.coalesce("content", F.lit(""))).otherwise(F.array_join(texts, " "))
     has_result = F.exists(some, lambda b: F.coalesce(b["type"] == "tool_result", F.lit(False)))
     errors = F.size(F.filter(some, lambda b: (b["type"] == "tool_result") & b["is_error"]))
-    out = out.withColumn("blocks", some).withColumn("is_result", (F.col("role") == "user") & has_result).withColumn("n_errors", F.when(F.col("is_result"), errors).otherwise(0))
-    prompt = F.when((F.col("role") == "user") & ~F.col("is_result"), F.nullif(T.strip_system(raw), F.lit("")))
-    return out.withColumn("prompt", prompt)
+    is_user = F.col("role") == "user"
+    prompt = F.when(is_user & ~has_result, F.nullif(T.strip_system(raw), F.lit("")))
+    out = out.select("*", some.alias("_some"), (is_user & has_result).alias("is_result"), prompt.alias("prompt"), F.when(is_user & has_result, errors).otherwise(0).alias("n_errors"))
+    return out.withColumn("blocks", F.col("_some")).drop("_some")
 
 
 def tool_uses(recs: DataFrame) -> DataFrame:

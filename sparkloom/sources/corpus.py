@@ -24,11 +24,11 @@ RECORD = "label:string,name:string,domain:string,text:string,summary:string,body
 
 
 def files(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = TEXT_SUFFIXES) -> DataFrame:
-    """(doc_id, name, text) of all text files under ``folder``; numbered in order of their paths, bad bytes replaced."""
+    """(doc_id, name, text) of all text files under ``folder``; numbered in order of their paths, bad bytes left out."""
     glob = "*.{" + ",".join(sorted({v for s in suffixes for v in (s, s.upper())})) + "}"
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder)
     skipped = "/(" + "|".join(s.replace(".", r"\.") for s in SKIP_DIRS) + ")/"
-    rows = raw.where(~F.col("path").rlike(skipped)).select(F.col("path").alias("name"), F.decode("content", F.lit("UTF-8")).alias("text"))
+    rows = raw.where(~F.col("path").rlike(skipped)).select(F.col("path").alias("name"), F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("\ufffd"), F.lit("")).alias("text"))
     return rows.select((F.row_number().over(W.orderBy("name")) - 1).cast("long").alias("doc_id"), "name", "text")
 
 
@@ -68,7 +68,7 @@ def _rows_of_traces(named: DataFrame) -> DataFrame:
 
 
 def _rows_of_records(named: DataFrame) -> DataFrame:
-    items = named.select("name", F.posexplode(F.from_json("text", f"array<struct<{RECORD}>>")).alias("at", "o"))
+    items = named.select("name", F.posexplode(F.from_json(F.when(F.ltrim("text").startswith("["), F.col("text")), f"array<struct<{RECORD}>>")).alias("at", "o"))
     body = F.coalesce(F.nullif(_entry_text(F.col("o")), F.lit("")), F.col("o.description"), F.lit(""))
     domain = F.when(F.col("o.domain").isNotNull(), T.slug(F.col("o.domain"), 20)).otherwise("item")
     return items.select("name", "at", F.lit(True).alias("ok"), body.alias("body"), domain.alias("domain"), F.coalesce("o.label", "o.name").alias("own_label"), F.lit(MIN_RECORD).alias("least"))
