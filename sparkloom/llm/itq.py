@@ -94,28 +94,38 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat.reshape(len(array), -1)
 
 
-def _index(model: Quantiser):
+def _unit(v: np.ndarray) -> np.ndarray:
+    return v / np.sqrt((v * v).sum(1, keepdims=True))
+
+
+def _index(model: Quantiser, with_vectors: bool = True):
+    """A row for each vector and table: its key there, and its keys in the tables before, by which pairs count once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = model.keys(_matrix(batch.column(2)))
+            keys = model.keys(_unit(_matrix(batch.column(2))))
             n, tables = keys.shape
+            table = [pa.array(np.tile(np.arange(tables, dtype=np.int32), n)), pa.array(keys.ravel())]
+            if not with_vectors:
+                yield pa.RecordBatch.from_arrays(table, ["tab", "key"])
+                continue
             rows = pa.array(np.repeat(np.arange(n), tables))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.tile(np.arange(tables, dtype=np.int32), n)), pa.array(keys.ravel()), *(batch.column(i).take(rows) for i in range(3))],
-                ["tab", "key", "rep", "mult", "v"],
-            )
+            prior = keys[np.repeat(np.arange(n), tables)][np.tile(np.tri(tables, k=-1, dtype=bool), (n, 1))].astype(np.int32)
+            offsets = np.concatenate(([0], np.cumsum(np.tile(np.arange(tables), n)))).astype(np.int32)
+            prior = pa.ListArray.from_arrays(pa.array(offsets), pa.array(prior))
+            yield pa.RecordBatch.from_arrays([*table, *(batch.column(i).take(rows) for i in range(2)), prior, batch.column(2).take(rows)], ["tab", "key", "rep", "mult", "prior", "v"])
 
     return run
 
 
-def _compare(model: Quantiser, cosine: float, at_once: int = 2048):
+def _compare(cosine: float, at_once: int = 2048):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in whole_tasks(batches, ["tab", "key", "task_i", "task_j"]):
-            v = _matrix(table["v"])
-            keys = model.keys(v)
-            v /= np.sqrt((v * v).sum(1, keepdims=True))
+            v = _unit(_matrix(table["v"]))
+            prior = table["prior"].combine_chunks()
+            flat, at_ = prior.flatten().to_numpy(), prior.offsets.to_numpy() - prior.offsets[0].as_py()
             rep, mult = table["rep"].to_numpy(), table["mult"].to_numpy()
             tab, ti, tj, chunk = (table[c].to_numpy() for c in ("tab", "task_i", "task_j", "chunk"))
             links, labels = np.zeros(len(rep), np.int64), np.arange(len(rep))
@@ -123,6 +133,7 @@ def _compare(model: Quantiser, cosine: float, at_once: int = 2048):
                 if hi - lo < 2:
                     continue
                 across = ti[lo] != tj[lo]
+                before = flat[at_[lo] : at_[hi]].reshape(hi - lo, tab[lo])
                 left = lo + np.flatnonzero(chunk[lo:hi] == ti[lo])
                 right = lo + np.flatnonzero(chunk[lo:hi] == tj[lo])
                 for a in range(0, len(left), at_once):
@@ -131,9 +142,8 @@ def _compare(model: Quantiser, cosine: float, at_once: int = 2048):
                         x, y = np.nonzero(v[i] @ v[j].T >= cosine)
                         i, j = i[x], j[y]
                         once = np.ones(len(i), bool) if across else i < j
-                        t = tab[lo]
-                        if t:
-                            once &= ~(keys[i, :t] == keys[j, :t]).any(1)
+                        if tab[lo]:
+                            once &= ~(before[i - lo] == before[j - lo]).any(1)
                         i, j = i[once], j[once]
                         np.add.at(links, i, mult[j])
                         np.add.at(links, j, mult[i])
@@ -163,12 +173,12 @@ def near_duplicates(vectors: DataFrame, id_column: str = "vec_id", vector_column
     fitted = _matrix(picked["v"])
     fitted /= np.sqrt((fitted * fitted).sum(1, keepdims=True))
     model = learn(fitted, *tables_for(n, cosine))
-    unit = F.sqrt(F.aggregate("v", F.lit(0.0).cast("double"), lambda s, x: s + x.cast("double") * x.cast("double")))
-    scaled = classes.select("rep", "mult", F.transform("v", lambda x: x.cast("double")).alias("v"), unit.alias("norm"))
-    scaled = scaled.select("rep", "mult", F.expr("transform(v, x -> x / norm)").alias("v"))
-    indexed = scaled.mapInArrow(_index(model), "tab int, key long, rep long, mult long, v array<double>")
-    dealt = deal(indexed, ["tab", "key"], "rep").select("tab", "key", "task_i", "task_j", "chunk", "rep", "mult", "v")
-    found = stage(dealt.mapInArrow(_compare(model, cosine), "rep long, links long, other long"), "vector-links")
+    rows_of = classes.select("rep", "mult", "v")
+    v_type = classes.schema["v"].dataType.simpleString()
+    indexed = rows_of.mapInArrow(_index(model), f"tab int, key long, rep long, mult long, prior array<int>, v {v_type}")
+    keys = rows_of.mapInArrow(_index(model, with_vectors=False), "tab int, key long")
+    dealt = deal(indexed, ["tab", "key"], "rep", keys).select("tab", "key", "task_i", "task_j", "chunk", "rep", "mult", "prior", "v")
+    found = stage(dealt.mapInArrow(_compare(cosine), "rep long, links long, other long"), "vector-links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("rep").alias("a"), F.col("other").alias("b"))).select(F.col("node").alias("rep"), "root")
     named = classes.select("k1", "k2", "rep", "mult").join(links, "rep", "left").join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))

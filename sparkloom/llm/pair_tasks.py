@@ -6,21 +6,30 @@ so that all its pairs are still met. c grows with the root of the group's size:
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import stage
+
 SMALL = 1024
+#: Rows about hot groups that are broadcast at most; more are joined by shuffle.
+BROADCAST_ROWS = 100_000
+
 
+def deal(rows: DataFrame, group: list[str], spread_by: str, keys: DataFrame | None = None) -> DataFrame:
+    """``rows`` with task_i, task_j and chunk, dealt out and sorted by task. Pairs of one chunk are met in task (i, i).
 
-def deal(rows: DataFrame, group: list[str], spread_by: str) -> DataFrame:
-    """``rows`` with task_i, task_j and chunk, dealt out and sorted by task. Pairs of one chunk are met in task (i, i)."""
-    hot = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > SMALL)
-    hot = hot.select(*group, F.ceil(F.sqrt("_n") / 16).cast("int").alias("_chunks"))
-    many = rows.join(hot, group, "left").withColumn("_chunks", F.coalesce("_chunks", F.lit(1)))
+    ``keys``: a cheaper way to the group columns of ``rows``, if there is one; it is what hot groups are counted on.
+    """
+    hot = (rows if keys is None else keys).groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > SMALL)
+    hot = stage(hot.select(*group, F.ceil(F.sqrt("_n") / 16).cast("int").alias("_chunks")), "hot-groups")
+    n_hot = hot.count()
+    many = rows.join(F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot, group, "left") if n_hot else rows.withColumn("_chunks", F.lit(1))
+    many = many.withColumn("_chunks", F.coalesce("_chunks", F.lit(1)))
     many = many.withColumn("chunk", F.pmod(F.xxhash64(F.lit(11), F.col(spread_by)), F.col("_chunks")).cast("int"))
     many = many.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
     many = many.withColumn("task_i", F.least("chunk", "_other")).withColumn("task_j", F.greatest("chunk", "_other")).drop("_other", "_chunks")
@@ -58,6 +67,3 @@ def whole_tasks(batches: Iterator[pa.RecordBatch], keys: list[str], at_least: in
         table = pa.concat_tables(held).combine_chunks()
         if table.num_rows:
             yield table, starts(table)
-
-
-Compare = Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]]
