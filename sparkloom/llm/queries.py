@@ -99,4 +99,24 @@ ORACLES: dict[str, str] = {
         )
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM w
     """,
+    "op8_itq": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(CAST(embedding AS DOUBLE[]), lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+        ), u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS norm FROM v WHERE len(e) > 0),
+        links AS (SELECT a.vec_id AS i, b.vec_id AS j FROM u a JOIN u b ON a.vec_id <> b.vec_id AND a.norm > 0 AND b.norm > 0 AND list_dot_product(a.e, b.e) >= 0.9 * a.norm * b.norm),
+        reach(i, j) AS (SELECT i, j FROM links UNION SELECT r.i, l.j FROM reach r JOIN links l ON r.j = l.i),
+        n AS (SELECT i, count(*) AS n_links FROM links GROUP BY i), c AS (SELECT i, min(j) AS low FROM reach GROUP BY i)
+        SELECT e.vec_id, coalesce(n.n_links, 0) AS n_links, least(e.vec_id, coalesce(c.low, e.vec_id)) AS component_id, e.vec_id = least(e.vec_id, coalesce(c.low, e.vec_id)) AS kept
+        FROM embeddings e LEFT JOIN n ON e.vec_id = n.i LEFT JOIN c ON e.vec_id = c.i
+    """,
+    "op10_substring": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS pos FROM d),
+        x AS (SELECT doc_id, pos, w[pos] AS word, CASE WHEN pos + 34 <= len(w) THEN md5(array_to_string(list_slice(w, pos, pos + 34), ' ')) END AS h FROM p),
+        r AS (SELECT h FROM x WHERE h IS NOT NULL GROUP BY h HAVING count(*) > 1),
+        m AS (SELECT x.doc_id, x.pos, x.word, max(CASE WHEN r.h IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY x.doc_id ORDER BY x.pos ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM x LEFT JOIN r ON x.h = r.h),
+        k AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE gone = 1) AS n_removed, coalesce(string_agg(CASE WHEN gone = 0 THEN word END, ' ' ORDER BY pos), '') AS kept FROM m GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+    """,
 }
