@@ -252,7 +252,7 @@ ORACLES = {
     "session_shape": f"""{_EV}, st AS (SELECT session, count(*) AS c, CASE WHEN count(*) FILTER (WHERE kind = 'tool') > 0 THEN round(100.0 * count(*) FILTER (WHERE kind = 'error') / count(*) FILTER (WHERE kind = 'tool')::DOUBLE, 1) ELSE 0.0 END AS rate FROM ev GROUP BY session),
         h AS (SELECT e.session, bool_or(coalesce(e.seq <= greatest(3, floor(st.c / 5)) AND e.name = 'purchase', false)) AS has FROM ev e JOIN st ON e.session = st.session GROUP BY e.session)
         SELECT count(*) AS sessions, count(*) FILTER (WHERE has) AS n_with, count(*) FILTER (WHERE NOT has) AS n_without, round(avg(rate) FILTER (WHERE has), 3) AS rate_with, round(avg(rate) FILTER (WHERE NOT has), 3) AS rate_without
-        FROM st JOIN h ON st.session = h.session""",
+        FROM st JOIN h ON st.session = h.session HAVING count(*) >= 6 AND count(*) FILTER (WHERE has) >= 3 AND count(*) FILTER (WHERE NOT has) >= 3""",
     "predict_next": f"""{_EV}, m AS (SELECT *, sum(n) OVER (PARTITION BY k)::BIGINT AS total FROM model WHERE context IN ('view>click', 'click')),
         b AS (SELECT * FROM m WHERE total >= 8 AND k = (SELECT max(k) FROM m WHERE total >= 8))
         SELECT next, b.n, total, round(100 * b.n / total::DOUBLE, 0) AS pct, round(b.n / total::DOUBLE / share, 2) AS lift FROM b JOIN base ON next = name ORDER BY b.n DESC, next LIMIT 5""",
