@@ -7,8 +7,6 @@ size; what is shuffled is n * blocks * keep short rows, and no pair of rows is e
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -201,4 +199,9 @@ def decay(act: Column, seconds: float) -> Column:
     return act * 0.35**seconds
 
 
-Batches = Iterator[pa.RecordBatch]
+def shown(edges: DataFrame, scored: DataFrame, top: int = 3) -> DataFrame:
+    """Long edges in order of display: by score, or by 1 - w where an edge has none; the first ``top`` are revealed."""
+    key = scored.select(F.least("i", "j").alias("s"), F.greatest("i", "j").alias("t"), "score")
+    far = edges.where("is_long").join(key, ["s", "t"], "left").withColumn("rank_by", F.coalesce("score", 1 - F.col("w")))
+    at = F.row_number().over(W.orderBy(F.desc("rank_by"), "s", "t"))
+    return far.withColumn("place", at).select("place", "s", "t", "w", "rank_by", (F.col("place") <= top).alias("revealed"))

@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from ..operators import sequences
-from . import rules
+from . import nudges, rules
 from .sequence_queries import _events
 
 
@@ -61,15 +60,8 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nudges_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nudges mined from the events (chains and what follows errors), selected."""
-    events = _events(spark, sf_dir)
-    chain = sequences.signature(events).select(F.lit("signature").alias("family"), F.lit(88).alias("priority"), F.format_string("The chain %s recurs %d times.", "chain", "n").alias("body"))
-    post = sequences.post_trigger(events)
-    after = post.select(F.concat(F.lit("trans_"), "trigger").alias("family"), F.lit(80).alias("priority"), F.format_string("After an %s comes %s in %.0f %% of cases.", "trigger", "next_tool", "pct").alias("body"), "n")
-    after = after.orderBy(F.desc("n"), "body").limit(1).drop("n")
-    moved = sequences.high_lift(events, min_lift=1.0, above_base=False).orderBy(F.desc("rank_score"), "context").limit(1)
-    moved = moved.select(F.lit("determined").alias("family"), F.lit(90).alias("priority"), F.format_string("After %s comes %s, %.2f times its share.", "context", "next", "lift").alias("body"))
-    return rules.select_nudges(moved.unionByName(chain).unionByName(after))
+    """Relaxed: any lift from 1.0, without the interval test; purchases stand for plans."""
+    return nudges.ranked(_events(spark, sf_dir), min_lift=1.0, above_base=False, early={"a purchase": ("purchase",)})
 
 
 _M = """

@@ -213,3 +213,13 @@ def select_nudges(nudges: DataFrame) -> DataFrame:
     kept = kept.withColumn("_at", at).where(last | (F.col("_at") <= F.col("_slots")))
     place = F.row_number().over(W.orderBy(last, F.desc("priority"), "family"))
     return kept.select(place.cast("long").alias("at"), "family", "priority", "body")
+
+
+def teaser(report: DataFrame) -> DataFrame:
+    """(profile, teaser): a line on the archetype and the first edge, or that there is not enough yet."""
+    head = F.when(F.col("archetype").isNotNull(), F.col("archetype.name"))
+    first = F.try_element_at("edges", F.lit(1))["key"]
+    nothing = head.isNull() & first.isNull()
+    line = F.when(nothing, "Not enough yet.").otherwise(F.concat_ws(": ", head, F.concat(F.lit("edge in "), first)))
+    untaxed = F.when(~nothing & (F.coalesce(F.size("taxes"), F.lit(0)) <= 0), " No tax stands out.").otherwise("")
+    return report.select("profile", F.concat(line, untaxed).alias("teaser"))

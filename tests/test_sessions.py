@@ -118,3 +118,13 @@ def test_manifest_upsert(spark):
     ddl = "name string, label string, count long, synapses long"
     old, new = spark.createDataFrame([("b", "B", 1, 1), ("a", "A", 1, 1)], ddl), spark.createDataFrame([("b", "B2", 5, 5), ("c", "C", 2, 2)], ddl)
     assert [(r.name, r.label) for r in sinks.upsert_manifest(old, new).collect()] == [("a", "A"), ("b", "B2"), ("c", "C")]
+
+
+def test_teaser(row):
+    metrics = row.withColumn("profile", F.lit(1))
+    assert rules.teaser(rules.report(metrics)).first().teaser.startswith("The Pouncer: edge in reflex")
+    empty = metrics.limit(1).withColumn("assistant_turns", F.lit(1)).withColumn("sessions", F.lit(0))
+    for name in ("pounce_median_sec", "workflow_calls", "agent_calls", "bash", "reread_pct", "todo_calls", "distinct_files_edited", "corrections_caught", "max_turns_in_session", "tool_calls"):
+        empty = empty.withColumn(name, F.lit(0))
+    empty = empty.withColumn("top_tools", F.create_map().cast("map<string,bigint>"))
+    assert rules.teaser(rules.report(empty)).first().teaser == "Not enough yet."
