@@ -243,6 +243,14 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, min_score: float = 0.35) -> DataFrame:
-    """The rows of ``docs`` whose language is determined with at least ``min_score``; all their columns."""
-    found = identify(docs).where(F.col("lang_pred") != UNDETERMINED).where(F.col("score") >= min_score).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]), "left_semi")
+    """The rows of ``docs`` whose language is determined with at least ``min_score``; all their columns, and no shuffle."""
+    small_batches(docs.sparkSession)
+    model, at = fit_on(docs), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            labels, score = predict(model, batch.column(at))
+            known = np.array([x != UNDETERMINED for x in labels], bool)
+            yield batch.filter(pa.array(known & (score >= min_score), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
