@@ -110,11 +110,13 @@ def decide(docs: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
 
 def deduplicate(docs: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns. Of rows that repeat id and text, one stays."""
-    decided = stage(decide(docs, fan_in), "exact-decisions")
+    decided = stage(decide(docs, fan_in).select("doc_id", "kept", "text_sha256"), "exact-decisions")
     ids = decided.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("any"))
     plain = ids.where("n = 1 and any").select(F.col("doc_id").alias("_id"))
     out = docs.join(plain, docs["doc_id"].eqNullSafe(plain["_id"]), "left_semi")
     repeated = ids.where("n > 1").select(F.col("doc_id").alias("_id"))
+    if repeated.isEmpty():
+        return out
     again = docs.join(repeated, docs["doc_id"].eqNullSafe(repeated["_id"]), "left_semi").withColumn("_sha", F.sha2(normal_form(F.col("text")), 256)).withColumn("_points", F.char_length(F.coalesce("text", F.lit(""))))
     winners = decided.where("kept").select(F.col("doc_id").alias("_kid"), F.col("text_sha256").alias("_ksha"))
     best = again.join(winners, again["doc_id"].eqNullSafe(winners["_kid"]) & (again["_sha"] == winners["_ksha"]), "left_semi")
