@@ -89,10 +89,11 @@ class IdTable:
 class WordIds:
     """For tokenizers of the word_bpe kind: NFC, lower case, and pre-tokens that never span white space.
 
-    A text's ids are then those of its words in turn, and a plain word's those of its pre-tokens in turn.
+    A text's ids are then those of its words in turn, and a plain word's those of its pre-tokens in turn. ``special``: added
+    tokens' literals in the text give their own ids, as is the library's default; no literal may hold white space then.
     """
 
-    def __init__(self, path: str, keep: int = KEEP):
+    def __init__(self, path: str, keep: int = KEEP, special: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
@@ -100,13 +101,18 @@ class WordIds:
         self._bytes = ByteLevel(add_prefix_space=False, use_regex=False)
         self._parts: dict[str, list[int]] = {}
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
+        self._tokenizer.encode_special_tokens = not special
+        added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
+        if any(re.search(r"\s", t) for t in added):
+            raise ValueError("an added token holds white space; words can't be encoded one by one")
+        # Whatever case: tokens may be sought in normalised text, and a word too many here only takes the longer way.
+        self._added = re.compile("|".join(map(re.escape, added)) if special and added else "(?!)", re.IGNORECASE)
         self._model = self._tokenizer.model
         self._keep = keep
         self._table = IdTable(self._encode_words, keep)
 
     def _encode_words(self, new: list[bytes]) -> list[list[int]]:
-        """Plain words by the library's model, a distinct part at a time; all others by the library's whole chain."""
+        """Plain words by the library's model, a distinct part at a time; others, and added tokens', by its whole chain."""
         out: list[list[int]] = [[]] * len(new)
         parts, known = self._parts, self._parts.get
         if len(parts) > self._keep:
@@ -114,7 +120,7 @@ class WordIds:
         other = []
         for i, raw in enumerate(new):
             word = raw.decode()
-            if not _PLAIN.fullmatch(word):
+            if not _PLAIN.fullmatch(word) or self._added.search(word):
                 other.append((i, word))
                 continue
             ids: list[int] = []
@@ -135,11 +141,11 @@ class WordIds:
         return self._table.ids(w.joined.tobytes().split(b" ") if len(w.start) else [], w.bounds)
 
 
-_loaded: dict[str, WordIds] = {}
+_loaded: dict[tuple[str, bool], WordIds] = {}
 
 
-def word_ids(path: str) -> WordIds:
+def word_ids(path: str, special: bool = False) -> WordIds:
     """The table of this Python worker."""
-    if path not in _loaded:
-        _loaded[path] = WordIds(path)
-    return _loaded[path]
+    if (path, special) not in _loaded:
+        _loaded[path, special] = WordIds(path, special=special)
+    return _loaded[path, special]

@@ -122,12 +122,12 @@ def _left_row(origin: int, windows: list[list[Piece]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, schema=_OUT)
 
 
-def _pack_partition(tokenizer: str, end_id: int, capacity: int, windows: int, with_ids: bool):
+def _pack_partition(tokenizer: str, end_id: int, capacity: int, windows: int, with_ids: bool, special: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         rows = _Rows(part << 28, with_ids)
         packer = Packer(rows, capacity, windows)
-        encoder = word_ids(tokenizer)
+        encoder = word_ids(tokenizer, special)
         for batch in batches:
             docs = batch.column(0).to_pylist()
             ids, bounds = encoder.encode(utf8(batch.column(1)))
@@ -161,13 +161,17 @@ def _merge_leftovers(level: int, capacity: int, windows: int, with_ids: bool):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, windows: int = WINDOWS, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids if asked for."""
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, windows: int = WINDOWS, end_id: int = END_ID, with_ids: bool = False, special: bool = False) -> DataFrame:
+    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids if asked for.
+
+    ``special``: literals of added tokens in the texts give those tokens' ids, as is the library's default; else they are
+    text like any other.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     parts = input_partitions(docs)
     rows = docs.select(docs["doc_id"].cast("long"), docs["text"])
-    done = stage(rows.mapInArrow(_pack_partition(tokenizer, end_id, capacity, windows, with_ids), _DDL), "packed")
+    done = stage(rows.mapInArrow(_pack_partition(tokenizer, end_id, capacity, windows, with_ids, special), _DDL), "packed")
     result, level, left = [done.where("left is null")], 0, done.where("left is not null").select("origin", "left")
     while True:
         level, parts = level + 1, -(-parts // FAN_IN)

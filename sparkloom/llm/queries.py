@@ -44,7 +44,7 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' tokens into sequences of 2,048, 32 windows open in each partition; a row for each piece."""
-    return packing.pack(_documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
+    return packing.pack(_documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), special=True)
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

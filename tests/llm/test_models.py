@@ -192,6 +192,23 @@ def test_packing_is_an_exact_round_trip(make, odd, prose, parts):
     assert len(windows) <= -(-total // 2048) + 1
 
 
+def test_packed_ids_of_queries_are_the_librarys_defaults(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+    from sparkloom.llm.queries import QUERIES
+
+    texts = ["one <|endoftext|> two", "a<|endoftext|>b <|ENDOFTEXT|> c<|startoftext|>", "É<|endoftext|>中\u2003<|endoftext|><|startoftext|>x", "<|endoftext|", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    t = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
+    want = {i: [*t.encode(x or "", add_special_tokens=False).ids, 1] for i, x in enumerate(texts)}
+    for out in (QUERIES["op4_packing"](spark, str(tmp_path)), corpus_pipeline.pack_sequences(spark, docs, str(tmp_path))):
+        got = {r.doc_id: (r.start, r.length, r.doc_tokens, r.ids_crc32) for r in out.where(F.col("length") == F.col("doc_tokens")).collect()}
+        assert got == {i: (0, len(x), len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in want.items()}
+
+
 def test_packing_keeps_null_ids_and_repeats(make):
     rows = packing.pack(make([(None, "a"), (3, "b"), (3, "b")]), vocabulary("word_bpe_49k.json")).collect()
     assert sorted((r.doc_id or 0) for r in rows) == [0, 3, 3] and len({r.sequence_id for r in rows}) == 1
