@@ -4,8 +4,12 @@ Rotations are learned on a bounded sample (``SAMPLE`` vectors with the least has
 then alternating sign codes and orthogonal Procrustes steps, so that the code's bits are balanced and lie close to the
 data. Every vector is indexed: its codes are cut into substrings, each the key of one table. Vectors that share a
 substring are candidates, and are compared by cosine in double precision over the original components. Width and number of
-tables follow from the number of vectors and from the wanted recall at the threshold (``tables_for``); all buckets are
-searched whole, and hot ones are split into chunk pairs (pair_tasks).
+tables begin with what the number of vectors and the wanted recall at the threshold ask for where vectors have no common
+direction (``tables_for``). Tables are then added until pairs at the threshold share a key often enough (``fit``: pairs
+made of the sample's vectors, and its own ones), and again until the links of ``QUERIES`` vectors with all rows, found by
+brute force, are (``recall_of``). Where that takes more than ``MOST`` times the tables, or the buckets hold half of all pairs
+anyway, all pairs are compared (``all_pairs``). All buckets are searched whole, and hot ones are split into chunk pairs
+(pair_tasks).
 
 Equal vectors are indexed once and weigh as many as they are. A pair that shares several substrings counts in the first
 table that has it. A task emits a count for each vector and a spanning forest of its links, never the pairs.
@@ -34,6 +38,12 @@ COSINE = 0.9
 SAMPLE = 4096
 ROUNDS = 30
 RECALL = 0.97
+#: Recall that is measured must come to this.
+LEAST = 0.95
+#: Vectors whose links with all rows are found by brute force.
+QUERIES = 256
+#: Tables are added up to so many times what ``tables_for`` asks for; beyond that, all pairs are compared.
+MOST = 4
 
 
 @dataclass(frozen=True)
@@ -82,6 +92,78 @@ def learn(sample: np.ndarray, width: int, tables: int, rounds: int = ROUNDS, see
     return Quantiser(mean, np.array(rotations), width, tables)
 
 
+def all_pairs(dims: int) -> Quantiser:
+    """One table in which all vectors have the same key."""
+    return Quantiser(np.zeros(dims), np.eye(dims)[None], 0, 1)
+
+
+def _at_threshold(unit: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs at the threshold: each vector with one turned from it towards another, as the data lie."""
+    other = np.roll(unit, 1, axis=0)
+    away = other - (other * unit).sum(1, keepdims=True) * unit
+    size = np.sqrt((away * away).sum(1))
+    some = size > 1e-6
+    unit, away = unit[some], away[some] / size[some, None]
+    return unit, cosine * unit + math.sqrt(max(0.0, 1 - cosine * cosine)) * away
+
+
+def _own_pairs(unit: np.ndarray, cosine: float, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of the sample within the threshold."""
+    found, total = [], 0
+    for at in range(0, len(unit), 512):
+        i, j = np.nonzero(unit[at : at + 512] @ unit.T >= cosine)
+        apart = i + at < j
+        found.append((i[apart] + at, j[apart]))
+        total += int(apart.sum())
+        if total > most:  # enough to judge by
+            break
+    return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
+
+
+def fit(sample: np.ndarray, n: int, cosine: float = COSINE, tables: int = 0) -> Quantiser:
+    """A quantiser for n vectors, of ``tables`` tables at least, by whose tables the pairs of the sample are met."""
+    width, first = tables_for(n, cosine)
+    tables = max(tables, first)
+    left, right = _at_threshold(sample, cosine)
+    i, j = _own_pairs(sample, cosine)
+    while tables <= MOST * first:
+        model = learn(sample, width, tables)
+        keys = model.keys(sample)
+        if (keys == np.roll(keys, 1, axis=0)).mean(0).sum() >= 0.5 and len(sample) > 256:  # as random pairs go
+            break
+        recall = [float((model.keys(left) == model.keys(right)).any(1).mean())] if len(left) else []
+        recall += [float((keys[i] == keys[j]).any(1).mean())] if len(i) >= 100 else []
+        if all(x >= LEAST for x in recall):
+            return model
+        tables += -(-tables // 2)
+    return all_pairs(sample.shape[1])
+
+
+def _meet(model: Quantiser, rep: np.ndarray, asked: np.ndarray, cosine: float):
+    keys = model.keys(asked)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        links = met = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            v = _unit(_matrix(batch.column(1)))
+            i, j = np.nonzero((v @ asked.T >= cosine) & (batch.column(0).to_numpy()[:, None] != rep))
+            links += len(i)
+            met += int((model.keys(v)[i] == keys[j]).any(1).sum())
+        yield pa.RecordBatch.from_arrays([pa.array([links], pa.int64()), pa.array([met], pa.int64())], ["links", "met"])
+
+    return run
+
+
+def recall_of(model: Quantiser, classes: DataFrame, cosine: float, queries: int = QUERIES) -> float:
+    """Of the links of ``queries`` vectors with all others, by brute force, the part that the tables meet. 1 if there are none."""
+    asked = classes.select("rep", "v").orderBy(F.xxhash64(F.lit(5), F.col("rep")), "rep").limit(queries).toArrow()
+    run = _meet(model, asked["rep"].to_numpy(), _unit(_matrix(asked["v"])), cosine)
+    links, met = classes.select("rep", "v").mapInArrow(run, "links long, met long").agg(F.sum("links"), F.sum("met")).first()
+    return met / links if links else 1.0
+
+
 def _usable(vectors: DataFrame) -> DataFrame:
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     some = F.exists("v", lambda x: x != 0)
@@ -172,7 +254,9 @@ def near_duplicates(vectors: DataFrame, id_column: str = "vec_id", vector_column
     picked = classes.select("rep", "v").orderBy(F.xxhash64("rep"), "rep").limit(sample).toArrow()
     fitted = _matrix(picked["v"])
     fitted /= np.sqrt((fitted * fitted).sum(1, keepdims=True))
-    model = learn(fitted, *tables_for(n, cosine))
+    model = fit(fitted, n, cosine)
+    while model.width and recall_of(model, classes, cosine) < LEAST:
+        model = fit(fitted, n, cosine, model.tables + -(-model.tables // 2))
     rows_of = classes.select("rep", "mult", "v")
     v_type = classes.schema["v"].dataType.simpleString()
     indexed = rows_of.mapInArrow(_index(model), f"tab int, key long, rep long, mult long, prior array<int>, v {v_type}")

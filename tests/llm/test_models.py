@@ -244,6 +244,21 @@ def test_links_reach_the_recall_and_are_right(spark, monkeypatch):
     assert all(got[i].component_id == got[199].component_id for i in range(200, 260))
 
 
+@pytest.mark.parametrize("shift", [0.82, 0.92])
+def test_links_of_vectors_with_a_common_direction_are_found(spark, shift):
+    r = np.random.default_rng(4)
+    side = lambda n: (x := r.normal(size=(n, 31))) / np.linalg.norm(x, axis=1, keepdims=True) * math.sqrt(1 - shift**2)
+    w = np.concatenate((np.full((900, 1), shift), side(900)), axis=1)
+    for k in range(0, 600, 2):  # partners at cosines from 0.9
+        near, c = np.append(shift, side(1)), r.uniform(0.9, 0.95)
+        near -= (near @ w[k]) * w[k]
+        w[k + 1] = c * w[k] + math.sqrt(1 - c * c) * near / np.linalg.norm(near)
+    links = w @ w.T >= itq.COSINE
+    np.fill_diagonal(links, False)
+    got = itq.near_duplicates(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(w)], "vec_id long, embedding array<double>")).collect()
+    assert sum(x.n_links for x in got) >= 0.95 * links.sum() > 500 and all(x.n_links <= links[x.vec_id].sum() + 1 for x in got)
+
+
 def test_odd_vectors_link_with_nothing(spark):
     inf, nan = float("inf"), float("nan")
     rows = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, [1.0, 2.0]), (8, [2.0, 4.0]), (8, [2.0, 4.0]), (None, [1.0, 2.0]), (9, [1.0, 2.0, 3.0])]
