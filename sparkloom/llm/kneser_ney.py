@@ -1,7 +1,7 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model trained on trusted text.
 
-The model is of character n-grams (``ORDER`` symbols; any character is a symbol of 12 bits, so a gram is exact in a long).
-Its types are few however long the corpus is, so that counts, adjusted counts and probabilities are small sharded tables:
+The model is of character n-grams of ``ORDER`` symbols. Any code point is a symbol of its own, three bytes in a gram. Its
+types are few however long the corpus is, so that counts, adjusted counts and probabilities are small sharded tables:
 
 1. documents are written once in chunks; trusted ids reach the chunks that hold their documents as small rows;
 2. each chunk counts the grams of its trusted documents, and the sums are joined order by order into discounts, context
@@ -28,7 +28,11 @@ from ._shared import spread, stage
 from .chunks import ChunkTable, text_of
 
 ORDER = 4
-BITS = 12
+BITS = 21
+#: A gram is handled in two halves, each of which fits a long.
+HALF = ORDER // 2
+#: Bytes of a symbol in a gram.
+BYTES = 3
 QUANTILE = 0.995
 SLACK = 1.1
 FEW = 20
@@ -37,7 +41,8 @@ SLICE_BYTES = 1 << 20
 #: Log-probabilities travel as whole numbers of this fraction of a nat.
 GRAIN = 1_000_000
 
-_ANSWER = np.dtype([("gram", ">u8"), ("cost", ">u4")])
+_ANSWER = np.dtype([("gram", "u1", ORDER * BYTES), ("cost", ">u4")])
+_SHIFTS = np.arange(HALF - 1, -1, -1, dtype=np.uint64) * np.uint64(BITS)
 
 
 def symbols(docs: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -48,20 +53,54 @@ def symbols(docs: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     padded = length + ORDER
     bounds = np.concatenate(([0], np.cumsum(padded)))
     out = np.zeros(int(bounds[-1]), np.uint64)
-    out[spread(bounds[:-1] + ORDER - 1, length)] = np.minimum(code + 2, (1 << BITS) - 1)
+    out[spread(bounds[:-1] + ORDER - 1, length)] = code + 2
     out[bounds[1:] - 1] = 1
     return out, bounds
 
 
-def grams(docs: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """A gram for each character and for the end of each text, and the offsets of the texts' grams. Empty texts have none."""
+def halves(docs: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last half of a gram for each character and for the end of each text, and the offsets of the texts' grams.
+
+    Empty texts have none.
+    """
     symbol, bounds = symbols(docs)
-    gram = np.zeros(max(len(symbol) - ORDER + 1, 0), np.uint64)
-    for k in range(ORDER):
-        gram = (gram << np.uint64(BITS)) | symbol[k : k + len(gram)]
+    half = np.zeros(max(len(symbol) - HALF + 1, 0), np.uint64)
+    for k in range(HALF):
+        half = (half << np.uint64(BITS)) | symbol[k : k + len(half)]
     count = np.diff(bounds) - ORDER + 1
     count[count == 1] = 0
-    return gram[spread(bounds[:-1], count)], np.concatenate(([0], np.cumsum(count)))
+    at = spread(bounds[:-1], count)
+    return half[at], half[at + HALF], np.concatenate(([0], np.cumsum(count)))
+
+
+class Halves:
+    """The distinct halves of a chunk's grams; a gram is the ranks of its halves among them, in one long."""
+
+    def __init__(self, docs: pa.RecordBatch):
+        self.values = np.zeros(0, np.uint64)
+        for _, part in _slices(docs):
+            first, last, _ = halves(part)
+            self.values = np.union1d(self.values, np.concatenate((first, last)))
+
+    def _keys(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.values, first) << 32 | np.searchsorted(self.values, last)
+
+    def grams(self, docs: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        first, last, bounds = halves(docs)
+        return self._keys(first, last), bounds
+
+    def write(self, keys: np.ndarray) -> pa.Array:
+        both = self.values[np.stack((keys >> 32, keys & 0xFFFFFFFF), 1)] if len(keys) else np.zeros((0, 2), np.uint64)
+        symbol = ((both[:, :, None] >> _SHIFTS) & np.uint64((1 << BITS) - 1)).astype(">u4")
+        raw = np.ascontiguousarray(symbol.view(np.uint8).reshape(len(keys), ORDER, 4)[:, :, 4 - BYTES :])
+        offsets = np.arange(len(keys) + 1, dtype=np.int32) * (ORDER * BYTES)
+        return pa.Array.from_buffers(pa.binary(), len(keys), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
+
+    def read(self, raw: np.ndarray) -> np.ndarray:
+        b = raw.reshape(-1, ORDER, BYTES).astype(np.uint32)
+        symbol = (b[:, :, 0] << 16 | b[:, :, 1] << 8 | b[:, :, 2]).reshape(-1, 2, HALF)
+        both = np.bitwise_or.reduce(symbol.astype(np.uint64) << _SHIFTS, axis=2)
+        return self._keys(both[:, 0], both[:, 1])
 
 
 def _slices(docs: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -86,27 +125,31 @@ def _count(_: int, docs: pa.RecordBatch, blobs: np.ndarray) -> pa.RecordBatch:
     trusted = np.sort(np.ascontiguousarray(blobs).view(">i8").astype(np.int64))
     ids = docs.column(0).fill_null(-1).to_numpy()
     rows = np.flatnonzero(np.isin(ids, trusted) & docs.column(0).is_valid().to_numpy(zero_copy_only=False))
-    values, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    for _, part in _slices(docs.take(pa.array(rows))):
-        values, counts = _summed(values, counts, grams(part)[0])
-    return pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts, pa.int64())], ["gram", "n"])
+    values, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    docs = docs.take(pa.array(rows))
+    known = Halves(docs)
+    for _, part in _slices(docs):
+        values, counts = _summed(values, counts, known.grams(part)[0])
+    return pa.RecordBatch.from_arrays([known.write(values), pa.array(counts, pa.int64())], ["gram", "n"])
 
 
 def _ask(chunk: int, docs: pa.RecordBatch, _: np.ndarray) -> pa.RecordBatch:
-    values = np.zeros(0, np.uint64)
+    values = np.zeros(0, np.int64)
+    known = Halves(docs)
     for _, part in _slices(docs):
-        values = np.union1d(values, grams(part)[0])
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(values), chunk)), pa.array(values.view(np.int64))], ["chunk", "gram"])
+        values = np.union1d(values, known.grams(part)[0])
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(values), chunk)), known.write(values)], ["chunk", "gram"])
 
 
 def _score(_: int, docs: pa.RecordBatch, blobs: np.ndarray) -> pa.RecordBatch:
     answers = np.frombuffer(np.ascontiguousarray(blobs), _ANSWER)
-    known, cost = answers["gram"].astype(np.uint64), answers["cost"].astype(np.float64) / GRAIN
+    own_halves = Halves(docs)
+    known, cost = own_halves.read(answers["gram"]), answers["cost"].astype(np.float64) / GRAIN
     order = np.argsort(known)
     known, cost = known[order], cost[order]
     n, ppl = np.zeros(docs.num_rows, np.int64), np.ones(docs.num_rows)
     for at, part in _slices(docs):
-        gram, bounds = grams(part)
+        gram, bounds = own_halves.grams(part)
         sums = np.concatenate(([0.0], np.cumsum(cost[np.searchsorted(known, gram)]))) if len(gram) else np.zeros(1)
         own = slice(at, at + part.num_rows)
         n[own] = np.diff(bounds)
@@ -123,7 +166,12 @@ def _members(chunk: int, docs: pa.RecordBatch, _: np.ndarray) -> pa.RecordBatch:
 
 
 def _suffix(gram: Column, order: int) -> Column:
-    return gram.bitwiseAND(F.lit((1 << BITS * order) - 1))
+    return F.substring(gram, -BYTES * order, BYTES * order)
+
+
+def _head(gram: str) -> Column:
+    """All symbols but the last."""
+    return F.expr(f"substring({gram}, 1, length({gram}) - {BYTES})")
 
 
 class Model:
@@ -151,7 +199,7 @@ class Model:
     @staticmethod
     def _context(level: DataFrame, d: tuple[float, float, float]) -> DataFrame:
         n = F.col("n")
-        grouped = level.groupBy(F.shiftright("gram", BITS).alias("context")).agg(
+        grouped = level.groupBy(_head("gram").alias("context")).agg(
             F.sum("n").alias("total"), F.sum(F.when(n == 1, d[0]).when(n == 2, d[1]).otherwise(d[2])).alias("held")
         )
         return stage(grouped.select("context", "total", (F.col("held") / F.col("total")).alias("gamma")), "contexts")
@@ -164,7 +212,7 @@ class Model:
             own = level.select(F.col("gram").alias("_g"), "n")
             ctx = context.select(F.col("context").alias("_c"), "total", "gamma")
             suffix = out.withColumn("_g", _suffix(F.col("gram"), k))
-            suffix = suffix.withColumn("_c", F.shiftright("_g", BITS)).join(own, "_g", "left").join(ctx, "_c", "left")
+            suffix = suffix.withColumn("_c", _head("_g")).join(own, "_g", "left").join(ctx, "_c", "left")
             n = F.coalesce("n", F.lit(0))
             kept = F.greatest(n - F.when(n == 1, d[0]).when(n == 2, d[1]).when(n > 2, d[2]).otherwise(0.0), F.lit(0.0))
             p = F.when(F.col("total").isNull(), F.col("p")).otherwise(kept / F.col("total") + F.col("gamma") * F.col("p"))
@@ -182,12 +230,12 @@ def score(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     table = ChunkTable.write(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["lang"].alias("lang"), docs["text"].alias("text")), CHUNK_BYTES)
     where = table.finish(_members, "chunk long, doc_id long")
     told = where.join(trusted, "doc_id", "left_semi").select("chunk", F.unhex(_hex(F.col("doc_id"), 16)).alias("blob"))
-    counted = table.finish(_count, "gram long, n long", told).groupBy("gram").agg(F.sum("n").alias("n"))
+    counted = table.finish(_count, "gram binary, n long", told).groupBy("gram").agg(F.sum("n").alias("n"))
     model = Model(counted)
-    asked = stage(table.finish(_ask, "chunk long, gram long"), "asked")
+    asked = stage(table.finish(_ask, "chunk long, gram binary"), "asked")
     cost = F.least(F.round(F.col("cost") * GRAIN), F.lit(4_000_000_000.0))
-    known = stage(model.costs(asked.select("gram").distinct()).select("gram", F.concat(_hex(F.col("gram"), 16), _hex(cost, 8)).alias("blob")), "costs")
-    answers = asked.join(known, "gram").select("chunk", F.unhex("blob").alias("blob"))
+    known = stage(model.costs(asked.select("gram").distinct()).select("gram", F.concat(F.col("gram"), F.unhex(_hex(cost, 8))).alias("blob")), "costs")
+    answers = asked.join(known, "gram").select("chunk", "blob")
     out = stage(table.finish(_score, "doc_id long, lang string, n_symbols long, perplexity double", answers), "perplexities")
     table.drop()
     return out

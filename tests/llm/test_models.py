@@ -119,6 +119,12 @@ def test_classifier_keeps_clean_and_rejects_noise(spark, make, prose):
     assert kneser_ney.classify(make(["a"]).where("false"), labels).count() == 0
 
 
+def test_letters_beyond_latin_are_told_apart(spark, make):
+    texts = ["中文字很好看" * 30, "한국어도좋다" * 30, "中文字很好看"]
+    got = {x.doc_id: x.perplexity for x in kneser_ney.score(make(texts), spark.createDataFrame([(0,)], "doc_id long")).collect()}
+    assert got[1] > 5 * got[0] and got[1] > got[2]
+
+
 # --- SentencePiece ----------------------------------------------------------------------------------------------------
 
 TEXTS = ["", " ", "  ", "\n", "a", " a", "a ", "a  b   c", "\n\nx \n y", "tab\tx\r\n", "ünï 中文 \U0001f600\x00", "▁x ▁", "Hello world.\nNext <s> </s> <unk> <0x41>", "x" * 3000, " \n ", None]
