@@ -5,6 +5,8 @@ Work on text is done on Arrow buffers with numpy, a batch of documents at a time
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,13 +17,39 @@ from pyspark.sql import functions as F
 from ..shipping import ship
 from ..staging import scratch_path, scratch_root, stage
 
-__all__ = ["Utf8", "Words", "input_partitions", "scratch_path", "scratch_root", "small_batches", "spread", "stage", "unsigned_crc32", "utf8", "words"]
+__all__ = [
+    "Utf8", "Words", "fresh", "input_partitions", "long_id", "scratch_path", "scratch_root", "slices", "small_batches", "spread", "stage", "tokenizer_path",
+    "unsigned_crc32", "utf8", "without", "words",
+]
+
+#: Bytes of text that numpy works on at once; its arrays take some thirty times as much.
+SLICE_BYTES = 1 << 20
+#: Ids that are broadcast at most; more are joined by shuffle.
+BROADCAST_IDS = 500_000
+
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the Arrow batches handed to Python, which hold whole texts, and makes this package known to the workers."""
+    """Bounds the Arrow batches handed to Python, which hold whole texts, and makes this package known to the workers.
+
+    The two settings are the session's, and lowered only where they are larger.
+    """
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2048), ("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)):
+        now = spark.conf.get(key).removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
+def slices(batch: pa.RecordBatch, text: int, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of about ``size`` bytes in the column ``text``; a row is never cut. Unused Arrow memory is given back."""
+    ends = np.cumsum(np.diff(utf8(batch.column(text)).offsets))
+    at = 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + size)))
+        yield batch.slice(at, to - at)
+        at = to
+    pa.default_memory_pool().release_unused()
 
 
 def input_partitions(df: DataFrame) -> int:
@@ -29,6 +57,36 @@ def input_partitions(df: DataFrame) -> int:
     return max(1, df.rdd.getNumPartitions())
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A name like ``name`` that is none of ``df``'s columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def long_id(column: Column) -> Column:
+    """Ids as longs. Those that are no whole numbers are null, as documents without an id are."""
+    return column.try_cast("long")
+
+
+def without(docs: DataFrame, id_column: str, gone: DataFrame) -> DataFrame:
+    """``docs`` less the rows whose id is in ``gone`` (one column, staged). Few ids go to the rows; many meet them by shuffle."""
+    name = fresh(docs, "gone_id")
+    few = gone.count() <= BROADCAST_IDS
+    gone = gone.toDF(name)
+    return docs.join(F.broadcast(gone) if few else gone, long_id(docs[id_column]) == gone[name], "left_anti")
+
+
+def tokenizer_path(name: str) -> str:
+    """Where this machine has the file ``name``: as it stands where it is a path, else that of a public tokenizer."""
+    if os.path.exists(name):
+        return name
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 @dataclass
 class Utf8:
     """A string column as one byte buffer; document i is ``data[offsets[i]:offsets[i + 1]]``. Nulls are empty."""

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-import os
+import json
 import re
 from collections.abc import Callable
 from itertools import repeat
+from pathlib import Path
 
 import numpy as np
 
-from ._shared import Utf8, spread, words
+from ._shared import Utf8, spread, tokenizer_path, words
 
-#: Distinct units, and distinct parts of words, kept at most. A full table keeps the units that it met more than once.
-KEEP = 500_000
+#: Bytes of distinct units, their ids and their places that a table keeps at most; a full one keeps the units that it met
+#: more than once. As many bytes go to distinct parts of words.
+KEEP = 96 << 20
+#: What a unit takes besides its bytes and ids: an object, a place in a dictionary and four numbers.
+_EACH = 160
 
 # Words of printable ASCII and precomposed Latin-1 letters: no normal form changes them but lower case.
 _PLAIN = re.compile("[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
@@ -34,14 +38,17 @@ class IdTable:
         self._count = np.zeros(1 << 16, np.int64)
         self._hits = np.zeros(0, np.int64)
         self._used = 0
+        self._bytes = 0
 
     def _shrink(self) -> None:
-        """Keeps units met more than once, the most frequent half of the table at most."""
+        """Keeps units met more than once, the most frequent ones of half the table's bytes at most."""
         known, hits, ids, start, count = list(self._row), self._hits, self._ids, self._start, self._count
         rows = np.flatnonzero(hits > 1)
-        if len(rows) > self._keep // 2:
-            rows = np.sort(rows[np.argsort(-hits[rows], kind="stable")[: self._keep // 2]])
+        rows = rows[np.argsort(-hits[rows], kind="stable")]
+        each = np.fromiter((len(known[r]) for r in rows.tolist()), np.int64, len(rows)) + 4 * count[rows] + _EACH
+        rows = np.sort(rows[np.cumsum(each) <= self._keep // 2])
         self._forget()
+        self._bytes = int(sum(len(known[r]) for r in rows.tolist()) + 4 * count[rows].sum() + _EACH * len(rows))
         self._row = {known[r]: i for i, r in enumerate(rows.tolist())}
         n = len(rows)
         self._ids = ids[spread(start[rows], count[rows])]
@@ -65,6 +72,7 @@ class IdTable:
         self._start[at : at + len(new)] = self._used + np.cumsum(count) - count
         self._count[at : at + len(new)] = count
         self._used += total
+        self._bytes += sum(map(len, new)) + 4 * total + _EACH * len(new)
         self._row.update(zip(new, range(at, at + len(new)), strict=True))
 
     def ids(self, units: list[bytes], bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,7 +81,7 @@ class IdTable:
         missing = np.flatnonzero(rows < 0)
         if len(missing):
             new = list(dict.fromkeys(units[i] for i in missing.tolist()))
-            if len(self._row) + len(new) > self._keep and self._row:
+            if self._bytes > self._keep and self._row:
                 self._shrink()
                 rows = np.fromiter(map(self._row.get, units, repeat(-1)), np.int64, len(units))
                 missing = np.flatnonzero(rows < 0)
@@ -86,15 +94,28 @@ class IdTable:
         return self._ids[spread(self._start[rows], count)], ends[bounds]
 
 
+# The settings of tokenizers of the word_bpe kind, for which words can be encoded one by one.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+
+
+def parts_words(settings: dict) -> bool:
+    """Whether a tokenizer's file, as JSON, is of the kind whose words can be encoded one by one."""
+    pre = settings.get("pre_tokenizer") or {}
+    steps = pre.get("pretokenizers") or [{}]
+    drops = steps[0] == {"type": "Split", "pattern": {"Regex": _SPLIT}, "behavior": "Removed", "invert": True}
+    return settings.get("normalizer") == _NORMALIZER and drops and [s.get("type") for s in steps[1:]] == ["ByteLevel"] and settings["model"]["type"] == "BPE"
+
+
 class WordIds:
     """For tokenizers of the word_bpe kind: NFC, lower case, and pre-tokens that never span white space.
 
     A text's ids are then those of its words in turn, and a plain word's those of its pre-tokens in turn. ``special``: added
     tokens' literals in the text give their own ids, as is the library's default; no literal may hold white space then.
+    Whether a tokenizer is of that kind is read off its file (``parts_words``); with any other, whole texts are encoded.
     """
 
     def __init__(self, path: str, keep: int = KEEP, special: bool = False):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
@@ -103,20 +124,20 @@ class WordIds:
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = not special
         added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
-        if any(re.search(r"\s", t) for t in added):
-            raise ValueError("an added token holds white space; words can't be encoded one by one")
         # Whatever case: tokens may be sought in normalised text, and a word too many here only takes the longer way.
         self._added = re.compile("|".join(map(re.escape, added)) if special and added else "(?!)", re.IGNORECASE)
         self._model = self._tokenizer.model
-        self._keep = keep
+        self.by_words = parts_words(json.loads(Path(path).read_text())) and not any(re.search(r"\s", t) for t in added)
+        self._keep, self._part_bytes = keep, 0
         self._table = IdTable(self._encode_words, keep)
 
     def _encode_words(self, new: list[bytes]) -> list[list[int]]:
         """Plain words by the library's model, a distinct part at a time; others, and added tokens', by its whole chain."""
         out: list[list[int]] = [[]] * len(new)
         parts, known = self._parts, self._parts.get
-        if len(parts) > self._keep:
+        if self._part_bytes > self._keep:
             parts.clear()
+            self._part_bytes = 0
         other = []
         for i, raw in enumerate(new):
             word = raw.decode()
@@ -129,6 +150,7 @@ class WordIds:
                 if own is None:
                     mapped = part if part.isascii() else self._bytes.pre_tokenize_str(part)[0][0]
                     own = parts[part] = [t.id for t in self._model.tokenize(mapped)]
+                    self._part_bytes += len(part) + 8 * len(own) + 2 * _EACH
                 ids += own
             out[i] = ids
         for (i, _), e in zip(other, self._tokenizer.encode_batch_fast([w for _, w in other], add_special_tokens=False), strict=True):
@@ -137,6 +159,11 @@ class WordIds:
 
     def encode(self, text: Utf8) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and the offsets at which each text's ids begin."""
+        if not self.by_words:
+            raw = text.data.tobytes()
+            texts = [raw[a:b].decode() for a, b in zip(text.offsets.tolist(), text.offsets[1:].tolist(), strict=False)]
+            whole = [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            return np.array([i for x in whole for i in x], np.uint32), np.concatenate(([0], np.cumsum([len(x) for x in whole]))).astype(np.int64)
         w = words(text)
         return self._table.ids(w.joined.tobytes().split(b" ") if len(w.start) else [], w.bounds)
 
@@ -147,5 +174,5 @@ _loaded: dict[tuple[str, bool], WordIds] = {}
 def word_ids(path: str, special: bool = False) -> WordIds:
     """The table of this Python worker."""
     if (path, special) not in _loaded:
-        _loaded[path, special] = WordIds(path, special=special)
+        _loaded[path, special] = WordIds(tokenizer_path(path), special=special)
     return _loaded[path, special]

@@ -10,8 +10,9 @@ Texts are equal when they are identical without the characters of ``[\\x20\\x09-
 normal form (SHA-256 and a 64-bit hash) must agree at every merge. Of equal texts the row with the most code points in
 its original text stays, then the smallest id, then the first row of repeated rows.
 
-Defined cases: a null text counts as empty; null ids come last among ids; an empty table gives an empty result; other
-columns are ignored.
+Defined cases: a null text counts as empty; ids that are no whole numbers are null, and null ids come last among ids; very
+long texts are hashed whole; an empty table gives an empty result; other columns are ignored, or kept by ``deduplicate``
+whatever their names.
 """
 
 from __future__ import annotations
@@ -22,10 +23,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._shared import input_partitions, small_batches, stage
+from ._shared import fresh, input_partitions, long_id, small_batches, stage, without
 
 FAN_IN = 8
 _SPACES = " \t\n\x0b\x0c\r"
@@ -35,10 +35,11 @@ def normal_form(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), _SPACES, "")
 
 
-def digests(docs: DataFrame) -> DataFrame:
+def digests(docs: DataFrame, row_id: Column | None = None) -> DataFrame:
     """row_id, doc_id, n_points, digest, check: a row of 70 bytes for each document."""
-    return docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text")).select(
-        F.monotonically_increasing_id().alias("row_id"), "doc_id", normal_form(F.col("text")).alias("plain"),
+    row_id = F.monotonically_increasing_id() if row_id is None else row_id
+    return docs.select(row_id.alias("row_id"), long_id(docs["doc_id"]).alias("doc_id"), docs["text"].alias("text")).select(
+        "row_id", "doc_id", normal_form(F.col("text")).alias("plain"),
         F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_points"),
     ).select("row_id", "doc_id", "n_points", F.unhex(F.sha2("plain", 256)).alias("digest"), F.xxhash64("plain").alias("check"))
 
@@ -84,7 +85,7 @@ def tree_merge(rows: DataFrame, leaves: int, fan_in: int = FAN_IN) -> DataFrame:
         rounds, places = rounds + 1, places * fan_in
     rounds, places = max(rounds, 1), max(places, fan_in)
     leaf = F.pmod(F.shiftrightunsigned("row_id", 33), F.lit(places))
-    runs = rows.select(leaf.alias("leaf"), "digest", "check", "n_points", F.col("doc_id").cast("long").alias("keep_id"), F.col("row_id").alias("keep_row"), F.lit(1).cast("long").alias("members"))
+    runs = rows.select(leaf.alias("leaf"), "digest", "check", "n_points", F.col("doc_id").alias("keep_id"), F.col("row_id").alias("keep_row"), F.lit(1).cast("long").alias("members"))
     target = F.pmod(F.conv(F.hex(F.substring("digest", 1, 7)), 16, 10).cast("long"), F.lit(places))
     runs = _exchange(runs.withColumnRenamed("leaf", "place"), places)  # round 0: each leaf sorts and merges its own run
     for r in range(1, rounds + 1):
@@ -93,34 +94,36 @@ def tree_merge(rows: DataFrame, leaves: int, fan_in: int = FAN_IN) -> DataFrame:
     return runs.select("digest", "check", "keep_id", "keep_row", "members")
 
 
-def decide(docs: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 for every row of ``docs``."""
-    small_batches(docs.sparkSession)
-    leaves = input_partitions(docs)
-    rows = stage(digests(docs), "digests")
+def _decided(rows: DataFrame, leaves: int, fan_in: int) -> DataFrame:
     winners = tree_merge(rows, leaves, fan_in)
     leaf = F.shiftrightunsigned("row_id", 33)
     held = rows.select(leaf.alias("leaf"), "digest", "check").distinct()
     back = held.join(winners, ["digest", "check"])
     return rows.withColumn("leaf", leaf).join(back, ["leaf", "digest", "check"]).select(
-        "doc_id", "keep_id", F.col("members").alias("group_size"), (F.col("row_id") == F.col("keep_row")).alias("kept"),
+        "row_id", "doc_id", "keep_id", F.col("members").alias("group_size"), (F.col("row_id") == F.col("keep_row")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
 
+def decide(docs: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 for every row of ``docs``."""
+    small_batches(docs.sparkSession)
+    return _decided(stage(digests(docs), "digests"), input_partitions(docs), fan_in).drop("row_id")
+
+
 def deduplicate(docs: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns. Of rows that repeat id and text, one stays."""
-    decided = stage(decide(docs, fan_in).select("doc_id", "kept", "text_sha256"), "exact-decisions")
-    ids = decided.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("any"))
-    plain = ids.where("n = 1 and any").select(F.col("doc_id").alias("_id"))
-    out = docs.join(plain, docs["doc_id"].eqNullSafe(plain["_id"]), "left_semi")
-    repeated = ids.where("n > 1").select(F.col("doc_id").alias("_id"))
-    if repeated.isEmpty():
-        return out
-    again = docs.join(repeated, docs["doc_id"].eqNullSafe(repeated["_id"]), "left_semi").withColumn("_sha", F.sha2(normal_form(F.col("text")), 256)).withColumn("_points", F.char_length(F.coalesce("text", F.lit(""))))
-    winners = decided.where("kept").select(F.col("doc_id").alias("_kid"), F.col("text_sha256").alias("_ksha"))
-    best = again.join(winners, again["doc_id"].eqNullSafe(winners["_kid"]) & (again["_sha"] == winners["_ksha"]), "left_semi")
-    first = F.row_number().over(W.partitionBy("doc_id", "_sha").orderBy(F.desc("_points")))
-    best = best.withColumn("_rank", first).where("_rank = 1")
-    return out.unionByName(best.drop("_sha", "_points", "_rank"))
+    """The rows of ``docs`` that stay, with all their columns. It is decided by row: of rows that repeat id and text, one stays.
 
+    Where ids repeat or are null, the rows are written once with numbers of their own.
+    """
+    small_batches(docs.sparkSession)
+    leaves, rows = input_partitions(docs), stage(digests(docs), "digests")
+    odd = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null")
+    if odd.isEmpty():
+        gone = _decided(rows, leaves, fan_in).where("not kept").select("doc_id")
+        return without(docs, "doc_id", stage(gone, "exact-copies"))
+    row = fresh(docs, "row_number")
+    held = stage(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    rows = stage(digests(held, held[row]), "digests")
+    gone = _decided(rows, input_partitions(held), fan_in).where("not kept").select("row_id")
+    return without(held, row, stage(gone, "exact-copies")).select(*[held[c] for c in docs.columns])

@@ -8,8 +8,11 @@ holds a single window, so that at most one sequence ends up with a large gap.
 
 Ids are kept only where asked for; a row of about 60 bytes stands for a piece otherwise.
 
-Defined cases: a null or empty text is a document of the end id alone; equal rows are packed one by one; null ids are
-kept; an empty table gives an empty result; other columns are ignored.
+Texts are encoded in slices of about 1 MB, so that a task holds one slice, its open windows and tables of bounded bytes; a
+very long text is one slice of its own.
+
+Defined cases: a null or empty text is a document of the end id alone; equal rows are packed one by one; null ids, and ids
+that are no whole numbers, are kept as null; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import input_partitions, small_batches, stage, utf8
+from ._shared import input_partitions, long_id, slices, small_batches, stage, utf8
 from ._word_ids import word_ids
 
 CAPACITY = 2048
@@ -129,12 +132,12 @@ def _pack_partition(tokenizer: str, end_id: int, capacity: int, windows: int, wi
         packer = Packer(rows, capacity, windows)
         encoder = word_ids(tokenizer, special)
         for batch in batches:
-            docs = batch.column(0).to_pylist()
-            ids, bounds = encoder.encode(utf8(batch.column(1)))
-            for i, doc in enumerate(docs):
-                own = np.append(ids[bounds[i] : bounds[i + 1]], np.uint32(end_id))
-                packer.add((doc, 0, len(own), own))
-            yield rows.batch()
+            for part_ in slices(batch, 1):
+                ids, bounds = encoder.encode(utf8(part_.column(1)))
+                for i, doc in enumerate(part_.column(0).to_pylist()):
+                    own = np.append(ids[bounds[i] : bounds[i + 1]], np.uint32(end_id))
+                    packer.add((doc, 0, len(own), own))
+                yield rows.batch()
         yield rows.batch()
         if packer.open:
             yield _left_row(part, packer.leftovers())
@@ -170,7 +173,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, windows: int
     spark = docs.sparkSession
     small_batches(spark)
     parts = input_partitions(docs)
-    rows = docs.select(docs["doc_id"].cast("long"), docs["text"])
+    rows = docs.select(long_id(docs["doc_id"]).alias("doc_id"), docs["text"])
     done = stage(rows.mapInArrow(_pack_partition(tokenizer, end_id, capacity, windows, with_ids, special), _DDL), "packed")
     result, level, left = [done.where("left is null")], 0, done.where("left is not null").select("origin", "left")
     while True:

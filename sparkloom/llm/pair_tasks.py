@@ -36,10 +36,13 @@ def deal(rows: DataFrame, group: list[str], spread_by: str, keys: DataFrame | No
     return many.repartition(*group, "task_i", "task_j").sortWithinPartitions(*group, "task_i", "task_j")
 
 
-def whole_tasks(batches: Iterator[pa.RecordBatch], keys: list[str], at_least: int = 8192) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Regroups a sorted stream into tables that hold whole tasks only, with the row at which each task starts."""
+def whole_tasks(batches: Iterator[pa.RecordBatch], keys: list[str], at_least: int = 8192, at_least_bytes: int = 16 << 20) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Regroups a sorted stream into tables that hold whole tasks only, with the row at which each task starts.
+
+    A table has so many rows, or bytes, or a single task that has more.
+    """
     held: list[pa.Table] = []
-    rows = 0
+    rows = size = 0
 
     def starts(table: pa.Table) -> np.ndarray:
         new = np.ones(table.num_rows, bool)
@@ -55,14 +58,15 @@ def whole_tasks(batches: Iterator[pa.RecordBatch], keys: list[str], at_least: in
             continue
         held.append(pa.Table.from_batches([batch]))
         rows += batch.num_rows
-        if rows < at_least:
+        size += batch.nbytes
+        if rows < at_least and size < at_least_bytes:
             continue
         table = pa.concat_tables(held).combine_chunks()
         cut = starts(table)
         if len(cut) > 1:
             yield table.slice(0, cut[-1]), cut[:-1]
             table = table.slice(cut[-1])
-        held, rows = [table], 0
+        held, rows, size = [table], 0, 0
     if held:
         table = pa.concat_tables(held).combine_chunks()
         if table.num_rows:

@@ -7,12 +7,13 @@ The patterns are the given ones in a form that Java matches in one pass without
 nothing that follows could use what they would give back, and a look-behind stops a match from being tried inside a run
 that was already tried from its start (``\\G``: unless the previous match ended there). They match the same spans.
 
-Kinds: email, ip, card, phone as given, always kept; ``iban`` is added where mod-97 holds. Every span has a score: a base
-by kind, raised where a checksum holds and where a word that goes with the kind stands shortly before it. ``redact``
-replaces spans by their kind; it replaces those with at least ``min_score``.
+Kinds: email, ip, card, phone as given, always kept; ``iban`` is added where the length is its country's and mod-97 holds.
+Every span has a score: a base by kind, raised where a checksum holds and where a word that goes with the kind stands
+shortly before or after it. ``report`` counts the spans of at least ``CONFIDENT``; ``redact`` replaces spans by their kind,
+those of at least ``min_score`` (by default all).
 
-Defined cases: a null or empty text has no spans; equal rows get equal results; other columns are ignored; an empty table
-gives an empty result.
+Defined cases: a null or empty text has no spans; very long texts are searched whole; equal rows get equal results; other
+columns are ignored, or kept by ``redact`` whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,10 +23,22 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import fresh
+
 _SPAN = "array<struct<kind:string,start:int,end:int,score:double>>"
 
-#: Code points before a span in which context words count.
-CONTEXT = 48
+#: Code points before and after a span in which context words count.
+CONTEXT, AFTER = 48, 24
+#: Spans of this score have a checksum or a word nearby that speaks for them, or a form that hardly anything else has.
+CONFIDENT = 0.7
+
+# How many characters an account number (IBAN) has, by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "PT ST", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+}
+_IBAN = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\\x20?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items())
 
 
 @dataclass(frozen=True)
@@ -43,7 +56,7 @@ KINDS = (
     Kind("ip", r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", ".", 0.6, "ip|host|server|address|addr|login|from"),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", "", 0.7, "card|visa|master|credit|amex|karte|carte|tarjeta|pay"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", 0.6, "tel|phone|call|mobile|fax|contact|anruf|appel"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+", "", 0.7, "iban|bank|account|konto|compte|cuenta"),
+    Kind("iban", rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{_IBAN})(?![A-Za-z0-9])", "", 0.7, "iban|bank|account|konto|compte|cuenta"),
 )
 BASE = ("email", "ip", "card", "phone")
 
@@ -72,7 +85,7 @@ def _mod97(match: Column) -> Column:
         code = F.ascii(c)
         return F.when(code >= 65, (rest * 100 + code - 55) % 97).otherwise((rest * 10 + code - 48) % 97)
 
-    return (F.length(plain) <= 34) & (F.aggregate(F.split(turned, ""), F.lit(0), lambda r, c: F.when(c == "", r).otherwise(add(r, c))) == 1)
+    return (F.aggregate(F.split(turned, ""), F.lit(0), lambda r, c: F.when(c == "", r).otherwise(add(r, c))) == 1)
 
 
 def _holds(kind: str, match: Column) -> Column:
@@ -114,23 +127,24 @@ def _scored(text: Column, kind: Kind, hits: Column) -> Column:
     def one(h: Column) -> Column:
         before = F.lower(F.substr(text, F.greatest(h["start"] - CONTEXT, F.lit(0)) + 1, F.least(h["start"], F.lit(CONTEXT))))
         checked = 0.2 if kind.name in ("card", "iban") else 0.0
-        near = F.when(before.rlike(kind.words), 0.1).otherwise(0.0)
+        after = F.lower(F.substr(text, h["start"] + F.length(h["match"]) + 1, F.lit(AFTER)))
+        near = F.when(before.rlike(kind.words) | after.rlike(kind.words), 0.1).otherwise(0.0)
         return F.struct(F.lit(kind.name).alias("kind"), h["start"].alias("start"), (h["start"] + F.length(h["match"])).alias("end"), (F.lit(kind.score + checked) + near).alias("score"))
 
     return F.transform(F.filter(hits, lambda h: _holds(kind.name, h["match"])), one).cast(_SPAN)
 
 
-def with_spans(df: DataFrame, text: str = "text", into: str = "_spans") -> DataFrame:
-    """``df`` and a column of all its spans, by kind as listed and then by start."""
-    plain = F.coalesce(df[text], F.lit(""))
-    hits = df.select("*", *[_located(plain, k).alias(f"_hits_{k.name}") for k in KINDS])
-    spans = hits.withColumn(into, F.concat(*[_scored(F.coalesce(F.col(text), F.lit("")), k, F.col(f"_hits_{k.name}")) for k in KINDS]))
-    return spans.drop(*[f"_hits_{k.name}" for k in KINDS])
+def with_spans(df: DataFrame, into: str, text: str = "text") -> DataFrame:
+    """``df`` and a column ``into`` of all its spans, by kind as listed and then by start."""
+    plain, names = F.coalesce(df[text], F.lit("")), {k.name: fresh(df, f"hits_{k.name}") for k in KINDS}
+    hits = df.select("*", *[_located(plain, k).alias(names[k.name]) for k in KINDS])
+    spans = hits.withColumn(into, F.concat(*[_scored(F.coalesce(F.col(text), F.lit("")), k, F.col(names[k.name])) for k in KINDS]))
+    return spans.drop(*names.values())
 
 
 def spans(docs: DataFrame) -> DataFrame:
     """doc_id, spans: array of (kind, start, end, score)."""
-    return with_spans(docs.select(docs["doc_id"], docs["text"]), into="spans").select("doc_id", "spans")
+    return with_spans(docs.select(docs["doc_id"], docs["text"]), "spans").select("doc_id", "spans")
 
 
 def _text_of(spans_: Column) -> Column:
@@ -142,11 +156,11 @@ def _is(kind: str):
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, a count for each given kind, the hash of the given kinds' spans, and all spans as text and with scores."""
+    """doc_id, a count for each given kind, the hash of the given kinds' spans, all spans as text and with scores, and how many are confident."""
     found = spans(docs)
     counts = [F.size(F.filter("spans", _is(k))).cast("long").alias(f"n_{k}") for k in BASE]
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
-    return found.select("doc_id", *counts, F.sha2(_text_of(base), 256).alias("base_sha256"), _text_of(F.col("spans")).alias("spans"), F.col("spans").alias("scored"))
+    return found.select("doc_id", *counts, F.sha2(_text_of(base), 256).alias("base_sha256"), _text_of(F.col("spans")).alias("spans"), F.col("spans").alias("scored"), F.size(F.filter("spans", lambda s: s["score"] >= CONFIDENT)).cast("long").alias("n_confident"))
 
 
 def redact(docs: DataFrame, min_score: float = 0.0) -> DataFrame:
@@ -154,8 +168,9 @@ def redact(docs: DataFrame, min_score: float = 0.0) -> DataFrame:
 
     Null texts stay null; n_chars, where the table has it, follows the new text.
     """
-    found = with_spans(docs)
-    wanted = F.array_sort(F.transform(F.filter("_spans", lambda s: s["score"] >= min_score), lambda s: F.struct(s["start"], s["end"], s["kind"])))
+    held = fresh(docs, "spans")
+    found = with_spans(docs, held)
+    wanted = F.array_sort(F.transform(F.filter(held, lambda s: s["score"] >= min_score), lambda s: F.struct(s["start"], s["end"], s["kind"])))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(state: Column, s: Column) -> Column:
@@ -166,8 +181,8 @@ def redact(docs: DataFrame, min_score: float = 0.0) -> DataFrame:
     def close(state: Column) -> Column:
         return F.concat(state["out"], F.substr("text", state["at"] + 1))
 
-    cleaned = F.when(F.size("_spans") == 0, F.col("text")).otherwise(F.aggregate(wanted, start, step, close))
-    out = found.withColumn("text", F.when(F.col("text").isNotNull(), cleaned)).drop("_spans")
+    cleaned = F.when(F.size(held) == 0, F.col("text")).otherwise(F.aggregate(wanted, start, step, close))
+    out = found.withColumn("text", F.when(F.col("text").isNotNull(), cleaned)).drop(held)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.char_length("text").cast("long")))
     return out.select(*docs.columns)

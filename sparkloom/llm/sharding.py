@@ -5,8 +5,11 @@ small table maps slots to shards: built longest-first onto the lightest shard, s
 shards are added, so that only as many slots move as balance needs. Everything runs as DataFrame functions: the map has
 ``n_slots`` rows whatever the corpus, so it is the one thing that is gathered and broadcast.
 
-Defined cases: a null text has no bytes (size 16) and a null CRC of 0; null ids hash like any other value; equal rows
-share a slot; an empty table gives an empty result; other columns of the input are ignored.
+A stored map is a folder with a folder for each version. A version is written once: a second write of it is refused.
+
+Defined cases: a null text has no bytes (size 16) and a CRC of 0; null ids hash like any other value; equal rows share a
+slot; a very long text is a record like any other, and its slot is as heavy; an empty table gives an empty result; other
+columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._shared import scratch_root, stage, unsigned_crc32
+from ._shared import scratch_path, stage, unsigned_crc32
 
 N_SLOTS = 8192
 OVERHEAD = 16
@@ -99,28 +102,30 @@ def rebalance(current: DataFrame, n_shards: int, version: int) -> DataFrame:
     return marked.where("stays").select("virtual_slot", "shard", "bytes", "rows").unionByName(moved).select(F.lit(version).alias("version"), "virtual_slot", "shard", "bytes", "rows")
 
 
-def save_map(slot_map: DataFrame, name: str = "slot_map") -> str:
-    """Appends the map's version to the stored table in the shared folder; older versions stay readable."""
-    path = f"{scratch_root(slot_map.sparkSession)}/sparkloom/{name}"
-    slot_map.coalesce(1).write.mode("append").parquet(path)
-    return path
+def save_map(slot_map: DataFrame, path: str, version: int) -> DataFrame:
+    """Writes the map as ``version`` of the stored one at ``path``, in a folder of its own, and returns what is stored."""
+    slot_map.drop("version").coalesce(1).write.mode("errorifexists").parquet(f"{path}/version={version}")
+    return load_map(slot_map.sparkSession, path, version)
 
 
 def load_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
     """One version of a stored map, the newest by default."""
     every = spark.read.parquet(path)
     version = version if version is not None else every.agg(F.max("version")).first()[0]
-    return every.where(F.col("version") == version)
+    return every.where(F.col("version") == version).select("version", "virtual_slot", "shard", "bytes", "rows")
+
 
+def shard(docs: DataFrame, n_shards: int = 40, n_slots: int = N_SLOTS, map_path: str | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, virtual_slot, shard, map_version and ``position``, a gapless number within the shard.
 
-def shard(docs: DataFrame, n_shards: int = 40, n_slots: int = N_SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32, virtual_slot, shard and ``position``, a gapless number within the shard.
+    The map is stored as version 1 at ``map_path`` and read from there; ``rebalance`` makes later versions of it. Without a
+    path it gets a folder of its own in the shared folder.
 
     The position is the slot's offset in its shard (a prefix sum over the map) plus the row's rank in its slot, so that
     no task ever orders more than one virtual slot.
     """
     recs = stage(records(docs, n_slots), "shard-records")
-    slot_map = stage(build_map(slot_stats(recs), n_shards), "slot-map")
+    slot_map = save_map(build_map(slot_stats(recs), n_shards), map_path or scratch_path(docs.sparkSession, "slot-map"), 1)
     before = W.partitionBy("shard").orderBy("virtual_slot").rowsBetween(W.unboundedPreceding, -1)
     placed = slot_map.select("virtual_slot", "shard", "version", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("offset"))
     rank = F.row_number().over(W.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size"))
