@@ -99,13 +99,16 @@ class ChunkTable:
         return self.table.join(gathered.hint("shuffle_merge"), "chunk", "left").select("chunk", "docs", "blobs")
 
     def keys(self, extract: Keys, side: DataFrame | None = None) -> DataFrame:
-        """(bucket int, chunk long, blob binary): the sorted keys that ``extract`` finds in each chunk, by key bucket."""
+        """(bucket int, chunk long, blob binary): the sorted keys that ``extract`` finds in each chunk, by key bucket.
+
+        Keys are longs, or records of which the field ``a`` is one.
+        """
         buckets = self.buckets
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for chunk, docs, blobs in _rows(batches):
                 found = extract(docs, blobs)
-                of = bucket_of(found, buckets)
+                of = bucket_of(found["a"] if found.dtype.names else found, buckets)
                 order = np.argsort(of, kind="stable")
                 values, first = np.unique(of[order], return_index=True)
                 parts = np.split(found[order], first[1:]) if len(values) else []
