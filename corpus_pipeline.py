@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sparkloom.llm import exact_dedup, langid, packing, pii, simhash
 from sparkloom.llm._shared import stage
-from sparkloom.llm.queries import vocabulary
+from sparkloom.llm.queries import VOCABULARY
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -28,7 +28,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by their fingerprints, the one with the smallest id stays."""
+    """Of each group of documents linked by a similarity of 0.8 over shingles of five words, the one with the smallest id stays."""
     return simhash.deduplicate(docs)
 
 
@@ -39,7 +39,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of 2,048; a row for each piece of a document."""
-    return packing.pack(docs, vocabulary("word_bpe_49k.json"), special=True)
+    return packing.pack(docs, VOCABULARY, special=True)
 
 
 STAGES: list[tuple[str, Stage]] = [

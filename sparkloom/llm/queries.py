@@ -30,21 +30,18 @@ def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.classify(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-def vocabulary(name: str) -> str:
-    """The path of a public tokenizer's file on this machine; executors have the same files at the same place."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
+#: Files of public tokenizers, which each worker looks up on its own machine.
+VOCABULARY, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded, verified against the sentencepiece library, and decoded again; digests of the ids."""
-    return sentencepiece_codec.encode(_documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"), with_ids=False)
+    return sentencepiece_codec.encode(_documents(spark, sf_dir), PIECES, with_ids=False)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' tokens into sequences of 2,048, 32 windows open in each partition; a row for each piece."""
-    return packing.pack(_documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), special=True)
+    return packing.pack(_documents(spark, sf_dir), VOCABULARY, special=True)
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

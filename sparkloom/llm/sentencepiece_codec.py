@@ -2,22 +2,19 @@
 
 The model's protobuf is parsed here (pieces, scores and types, trainer and normaliser settings) and rebuilt as a tokenizer:
 normaliser (character map, extra white space), metaspace marker, unigram scores or, for BPE models, the merges that the
-scores imply, byte fallback, and the decoder. ``Codec.encode_batch`` encodes whole texts on all threads of the library.
+scores imply, byte fallback, and the decoder. Whole texts are encoded in batches of about 1 MB on ``THREADS`` threads of the
+library, and decoded again by the rebuilt decoder.
 
-Corpora are encoded by units where that is exact. No piece spans the place before a marker that follows other text, nor a
-character that no piece of several characters holds (such as the line feed); a text's ids are then those of its units in
-turn, and each distinct unit is encoded once for each worker. This is read off the vocabulary, not assumed; models for
-which it doesn't hold, or whose normaliser changes text, are encoded whole. Parity is verified against the sentencepiece
-library for every distinct unit (or whole text); where they differ, its ids are taken and the row says so.
+The ids returned are always the rebuilt tokenizer's. Parity is a verdict on them: whole texts are encoded by the
+sentencepiece library, too, and the row says whether it gives the same ids.
 
-Defined cases: a null or empty text has no ids; equal rows get equal ids; very long texts are encoded whole; other columns
-are ignored; an empty table gives an empty result.
+Defined cases: a null or empty text has no ids; equal rows get equal ids; very long texts are encoded whole; ids that are no
+whole numbers are null; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -28,10 +25,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._shared import small_batches, spread, utf8
-from ._word_ids import IdTable
+from ._shared import long_id, slices, small_batches, tokenizer_path, utf8
 
 MARK = "▁"
+#: Threads of the library in each Python worker.
+THREADS = 2
 
 # Piece types and model types of the protobuf.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -109,19 +107,16 @@ class Codec:
     """Encodes and decodes like the sentencepiece library does with the model at ``path``."""
 
     def __init__(self, path: str, check: bool = True):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
-        self.proto = proto = ModelProto.parse(Path(path).read_bytes())
-        self.tokenizer = self._build(proto)
-        self._model = self.tokenizer.model
-        self.mismatched: set[bytes] = set()
+        os.environ["TOKENIZERS_PARALLELISM"] = "true"
+        os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
+        raw = Path(path).read_bytes()
+        self.proto = ModelProto.parse(raw)
+        self.tokenizer = self._build(self.proto)
         self._reference = None
         if check:
             import sentencepiece
 
-            self._reference = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.by_units = self._units_are_exact()
-        self._table = IdTable(self._encode_units)
-        self._piece_bytes = self._bytes_of_pieces()
+            self._reference = sentencepiece.SentencePieceProcessor(model_proto=raw)
 
     @staticmethod
     def _build(proto: ModelProto):
@@ -143,90 +138,28 @@ class Codec:
         tokenizer.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *[decoders.Strip(" ", 1, 0)] * proto.dummy_prefix])
         return tokenizer
 
-    def _units_are_exact(self) -> bool:
-        proto = self.proto
-        if proto.kind != BPE or proto.charsmap or proto.remove_extra or not proto.dummy_prefix or not proto.byte_fallback or USER_DEFINED in proto.types:
-            return False
-        normal = [p for p, t in zip(proto.pieces, proto.types, strict=True) if t == NORMAL]
-        return not any(re.search(f"[^{MARK}]{MARK}", p) or "\n" in p for p in normal)
-
-    def _bytes_of_pieces(self) -> list[bytes]:
-        out = []
-        for piece, kind in zip(self.proto.pieces, self.proto.types, strict=True):
-            out.append(bytes([int(piece[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else piece.replace(MARK, " ").encode())
-        return out
-
-    _UNIT = re.compile(rb"\n| *[^ \n]+| +")
-
-    def _encode_units(self, new: list[bytes]) -> list[list[int]]:
-        out = []
-        line_feed = self._reference.encode("\n") if self._reference else []
-        for unit in new:
-            text = unit.decode()
-            ids = [t.id for t in self._model.tokenize(text.replace(" ", MARK))]
-            if self._reference:
-                want = self._reference.encode(text[1:]) if text[0] == " " else self._reference.encode("\n" + text)[len(line_feed) :]
-                if len(text) == 1 and text == " ":
-                    want = self._reference.encode("\n ")[len(line_feed) :]
-                if ids != want:
-                    self.mismatched.add(unit)
-                    ids = want
-            out.append(ids)
-        return out
-
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
         """Whole texts, on the library's threads. An empty text has no ids."""
         out = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         return [ids if t else [] for ids, t in zip(out, texts, strict=True)]
 
-    def encode_arrow(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of all texts, where each text's begin, and whether both libraries agree on each."""
-        text = utf8(column)
-        data = text.data.tobytes()
-        if not self.by_units:
-            texts = [data[a:b].decode() for a, b in zip(text.offsets, text.offsets[1:], strict=False)]
-            own = self.encode_batch(texts)
-            want = self._reference.encode(texts) if self._reference else own
-            bounds = np.concatenate(([0], np.cumsum([len(x) for x in want]))).astype(np.int64)
-            return np.array([i for x in want for i in x], np.uint32), bounds, np.array([a == b for a, b in zip(own, want, strict=True)], bool)
-        units: list[bytes] = []
-        bounds = [0]
-        for a, b in zip(text.offsets.tolist(), text.offsets[1:].tolist(), strict=False):
-            if b > a:
-                units += self._UNIT.findall(b" " + data[a:b])
-            bounds.append(len(units))
-        at = np.array(bounds)
-        ids, starts = self._table.ids(units, at)
-        agree = np.ones(len(text), bool)
-        if self.mismatched:
-            bad = np.flatnonzero([u in self.mismatched for u in units])
-            agree[np.searchsorted(at, bad, side="right") - 1] = False
-        return ids, starts, agree
-
-    def decode(self, ids: list[int]) -> str:
+    def decode_batch(self, ids: list[list[int]]) -> list[str]:
         """By the rebuilt decoder."""
-        return self.tokenizer.decode(ids, skip_special_tokens=False) if len(ids) else ""
+        return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
 
-    def decoded_bytes(self, ids: np.ndarray, starts: np.ndarray) -> list[bytes]:
-        """The bytes that each text's ids stand for, without the dummy prefix; for many texts at once."""
-        lengths = np.fromiter(map(len, self._piece_bytes), np.int64, len(self._piece_bytes))
-        flat = np.frombuffer(b"".join(self._piece_bytes), np.uint8)
-        first = np.cumsum(lengths) - lengths
-        each = lengths[ids]
-        ends = np.concatenate(([0], np.cumsum(each)))[starts]
-        raw = flat[spread(first[ids], each)].tobytes()
-        skip = int(self.proto.dummy_prefix)
-        return [raw[a + skip : b] if b > a else b"" for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
+    def parity(self, texts: list[str], ids: list[list[int]]) -> list[bool]:
+        """Whether the sentencepiece library gives the same ids for each text."""
+        return [a == b for a, b in zip(ids, self._reference.encode(texts, num_threads=1), strict=True)]
 
 
 _loaded: dict[str, Codec] = {}
 
 
-def codec(path: str) -> Codec:
-    """The codec of this Python worker."""
-    if path not in _loaded:
-        _loaded[path] = Codec(path)
-    return _loaded[path]
+def codec(model: str) -> Codec:
+    """The codec of this Python worker. ``model`` is a path, or the name of a public tokenizer's file."""
+    if model not in _loaded:
+        _loaded[model] = Codec(tokenizer_path(model))
+    return _loaded[model]
 
 
 def encode(docs: DataFrame, model: str, with_ids: bool = True) -> DataFrame:
@@ -236,21 +169,21 @@ def encode(docs: DataFrame, model: str, with_ids: bool = True) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model)
         for batch in batches:
-            ids, starts, agree = own.encode_arrow(batch.column(1))
-            text = utf8(batch.column(1))
-            raw = text.data.tobytes()
-            back = own.decoded_bytes(ids, starts)
-            same = [x == raw[a:b] for x, a, b in zip(back, text.offsets.tolist(), text.offsets[1:].tolist(), strict=False)]
-            crc = [zlib.crc32(np.ascontiguousarray(ids[a:b], "<u4")) for a, b in zip(starts.tolist(), starts[1:].tolist(), strict=False)]
-            columns = [batch.column(0), pa.array(np.diff(starts), pa.int64()), pa.array(crc, pa.int64()), pa.array(agree), pa.array(same, pa.bool_())]
-            names = ["doc_id", "n_ids", "ids_crc32", "parity", "round_trip"]
-            if with_ids:
-                columns.append(pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids.astype(np.int32))))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(columns, names)
+            for part in slices(batch, 1):
+                raw, bounds = (text := utf8(part.column(1))).data.tobytes(), text.offsets.tolist()
+                texts = [raw[a:b].decode() for a, b in zip(bounds, bounds[1:], strict=False)]
+                ids = own.encode_batch(texts)
+                same = [x == t for x, t in zip(own.decode_batch(ids), texts, strict=True)]
+                crc = [zlib.crc32(np.array(x, "<u4").tobytes()) for x in ids]
+                columns = [part.column(0), pa.array(list(map(len, ids)), pa.int64()), pa.array(crc, pa.int64()), pa.array(own.parity(texts, ids), pa.bool_()), pa.array(same, pa.bool_())]
+                names = ["doc_id", "n_ids", "ids_crc32", "parity", "round_trip"]
+                if with_ids:
+                    columns.append(pa.array(ids, pa.list_(pa.int32())))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     ddl = "doc_id long, n_ids long, ids_crc32 long, parity boolean, round_trip boolean" + ", ids array<int>" * with_ids
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).mapInArrow(run, ddl)
+    return docs.select(long_id(docs["doc_id"]).alias("doc_id"), docs["text"].alias("text")).mapInArrow(run, ddl)
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
@@ -260,10 +193,7 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model)
         for batch in batches:
-            lists = batch.column(1).fill_null([]) if batch.column(1).null_count else batch.column(1)
-            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            starts = np.concatenate(([0], np.cumsum(np.fromiter(map(len, lists.to_pylist()), np.int64, len(lists)))))
-            texts = [b.decode(errors="replace") for b in own.decoded_bytes(flat, starts)]
+            texts = own.decode_batch([x or [] for x in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select(encoded["doc_id"].cast("long").alias("doc_id"), encoded["ids"].alias("ids")).mapInArrow(run, "doc_id long, text string")
+    return encoded.select(long_id(encoded["doc_id"]).alias("doc_id"), encoded["ids"].alias("ids")).mapInArrow(run, "doc_id long, text string")
