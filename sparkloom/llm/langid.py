@@ -1,16 +1,21 @@
 """Language identification by a bidirectional gated recurrent network over bytes, trained in numpy.
 
-The network reads ``STRIDE`` bytes a step in either direction: their embeddings, already multiplied by the input weights,
-are rows of four tables and simply add up. Each step's two states give a label distribution for the positions it covers;
-a document's probabilities are the mean of its positions' log-probabilities, taken to probabilities again. Long texts are
-cut into windows of ``WINDOW`` steps, which run side by side, so whole texts are read in bounded memory.
-
-Training is backpropagation through time with Adam, on a documented, bounded sample: up to ``PER_LANG`` labelled
-documents of each language, chosen by a hash of the id among those that are not held out, and the first ``EXCERPT`` bytes
-of each. Prediction reads whole texts. Weights are some 20 kB, whatever the corpus, and go to executors with the task.
-
-Defined cases: a null text or one without any letter is ``und`` with score 0; without labelled rows all are ``und``; null
-ids are never trained on; equal texts get equal results; other columns are ignored; an empty table gives an empty result.
+The network advances ``STRIDE`` bytes a step in either direction: their embeddings, already multiplied by the input weights,
+are rows of four tables and simply add up. From each step's two states every byte that it covers gets a label distribution of
+its own (weights by its place in the step); a document's probabilities are the mean of its bytes' log-probabilities, taken
+to probabilities again. Long texts are cut into windows of up to ``WINDOW`` steps that run side by side. Each begins
+``MARGIN`` steps earlier and ends as many later, so that states don't start anew at its edges and no byte is labelled without
+its surroundings; whole texts are read in bounded memory.
+
+Training is backpropagation through time with Adam, on a documented, bounded sample: of the ``LABELS`` most frequent
+languages up to ``PER_LANG`` labelled documents each, those with the least hashes of their ids among the ones not held out,
+and of each ``EXCERPTS`` excerpts of ``EXCERPT`` characters from places all over its text, chosen by hash. Prediction reads
+whole texts. Weights are some 20 kB, whatever the corpus, and go to executors with the task.
+
+Defined cases: a null text or one without any letter is ``und`` with score 0; without labelled rows all are ``und``; of equal
+scores the label that comes first in order is taken; ids that are no whole numbers are null, and null ids are never trained
+on; equal texts get equal results; other columns are ignored, or kept by ``keep_identified`` whatever their names; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,13 +30,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._shared import Utf8, small_batches, spread, utf8
+from ._shared import Utf8, long_id, slices, small_batches, spread, utf8
 
 STRIDE = 4
-WINDOW = 64
+WINDOW, TRAINED = 256, 32
+MARGIN = 16
 HIDDEN = 16
+LABELS = 256
 PER_LANG = 192
-EXCERPT = 1024
+EXCERPTS, EXCERPT = 4, 256
+#: Rows of a language that may come to be sorted for the sample, in times ``PER_LANG``.
+SPARE = 16
 STEPS = 220
 BATCH = 96
 UNDETERMINED = "und"
@@ -43,7 +52,10 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Of each direction: tables (STRIDE, 257, 3 * hidden) and recurrent weights (hidden, 3 * hidden); then the output."""
+    """Of each direction: tables (STRIDE, 257, 3 * hidden) and recurrent weights (hidden, 3 * hidden); then the output.
+
+    The output has STRIDE * labels columns: those of the first byte of a step come first.
+    """
 
     labels: list[str]
     tables: list[np.ndarray]
@@ -58,7 +70,7 @@ class Model:
         r = np.random.default_rng(seed)
         tables = [r.normal(0, 0.3, (STRIDE, 257, 3 * hidden)).astype(np.float32) for _ in range(2)]
         recurrent = [r.normal(0, hidden**-0.5, (hidden, 3 * hidden)).astype(np.float32) for _ in range(2)]
-        return cls(labels, tables, recurrent, r.normal(0, 0.3, (2 * hidden, len(labels))).astype(np.float32), np.zeros(len(labels), np.float32), hidden)
+        return cls(labels, tables, recurrent, r.normal(0, 0.3, (2 * hidden, STRIDE * len(labels))).astype(np.float32), np.zeros(STRIDE * len(labels), np.float32), hidden)
 
     def weights(self) -> list[np.ndarray]:
         return [*self.tables, *self.recurrent, self.out, self.bias]
@@ -98,7 +110,7 @@ def _forward(model: Model, codes: np.ndarray, traces: tuple[list, list] | None =
     ahead = _run(_inputs(codes, model.tables[0]), model.recurrent[0], model.hidden, traces and traces[0])
     back = _run(_inputs(codes[::-1], model.tables[1]), model.recurrent[1], model.hidden, traces and traces[1])[::-1]
     both = np.concatenate((ahead, back), -1)
-    return both, _log_softmax(both @ model.out + model.bias)
+    return both, _log_softmax((both @ model.out + model.bias).reshape(*both.shape[:2], STRIDE, -1))
 
 
 def _backward(u: np.ndarray, trace: list, d_states: np.ndarray, hidden: int) -> tuple[np.ndarray, np.ndarray]:
@@ -120,14 +132,16 @@ def _backward(u: np.ndarray, trace: list, d_states: np.ndarray, hidden: int) ->
 
 
 def gradients(model: Model, codes: np.ndarray, target: np.ndarray) -> tuple[float, list[np.ndarray]]:
-    """Mean cross-entropy over all steps and its gradients, in the order of ``Model.weights``."""
+    """Mean cross-entropy over all bytes and its gradients, in the order of ``Model.weights``."""
     traces: tuple[list, list] = ([], [])
     both, logp = _forward(model, codes, traces)
-    steps, batch, _ = codes.shape
-    loss = -logp[:, np.arange(batch), target].mean()
+    batch = codes.shape[1]
+    real = codes != 256
+    n = max(int(real.sum()), 1)
+    loss = -(logp[:, np.arange(batch), :, target].transpose(1, 0, 2) * real).sum() / n
     d = np.exp(logp)
-    d[:, np.arange(batch), target] -= 1
-    d = (d / (steps * batch)).astype(np.float32)
+    d[:, np.arange(batch), :, target] -= 1
+    d = (d * (real / n)[..., None]).astype(both.dtype).reshape(*both.shape[:2], -1)
     flat, d_flat = both.reshape(-1, both.shape[-1]), d.reshape(-1, d.shape[-1])
     d_out, d_bias = flat.T @ d_flat, d_flat.sum(0)
     d_both = d @ model.out.T
@@ -147,27 +161,34 @@ def gradients(model: Model, codes: np.ndarray, target: np.ndarray) -> tuple[floa
     return float(loss), [*d_tables, *d_recurrent, d_out, d_bias]
 
 
-def _windows(text: Utf8) -> tuple[np.ndarray, np.ndarray]:
-    """Codes (windows, WINDOW, STRIDE) with 256 beyond a text's end, and the document of each window."""
-    span = WINDOW * STRIDE
-    length = np.diff(text.offsets)
-    per = -(-length // span)
+def _windows(text: Utf8, steps: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where windows of ``steps`` steps over each text begin, their bytes, and their documents."""
+    span = steps * STRIDE
+    per = -(-np.diff(text.offsets) // span)
     doc = np.repeat(np.arange(len(text)), per)
     begin = spread(np.zeros(len(per), np.int64), per) * span + text.offsets[:-1][doc]
-    size = np.minimum(span, text.offsets[1:][doc] - begin)
-    codes = np.full((len(doc), span), 256, np.int16)
-    codes[np.repeat(np.arange(len(doc)), size), spread(np.zeros(len(doc), np.int64), size)] = text.data[spread(begin, size)]
-    return codes.reshape(-1, WINDOW, STRIDE), doc
+    return begin, np.minimum(span, text.offsets[1:][doc] - begin), doc
+
+
+def _codes(text: Utf8, begin: np.ndarray, size: np.ndarray, doc: np.ndarray, steps: int, margin: int) -> np.ndarray:
+    """(windows, steps + 2 * margin, STRIDE), with 256 beyond a text's ends; the window proper follows the margin."""
+    edge = margin * STRIDE
+    codes = np.full((len(doc), steps * STRIDE + 2 * edge), 256, np.int16)
+    first = np.maximum(begin - edge, text.offsets[:-1][doc])
+    count = np.minimum(begin + size + edge, text.offsets[1:][doc]) - first
+    codes[np.repeat(np.arange(len(doc)), count), spread(first - begin + edge, count)] = text.data[spread(first, count)]
+    return codes.reshape(len(doc), -1, STRIDE)
 
 
 def fit(texts: list[str], langs: list[str], steps: int = STEPS, seed: int = 7) -> Model | None:
-    """Trains on excerpts of the given texts."""
+    """Trains on windows of ``TRAINED`` steps of the given texts, which are excerpts, with margins as in prediction."""
     labels = sorted(set(langs))
     if not labels:
         return None
     model = Model.fresh(labels)
-    raw = utf8(pa.array([t.encode()[:EXCERPT] for t in texts], pa.large_binary()))
-    codes, doc = _windows(raw)
+    raw = utf8(pa.array(texts, pa.large_string()))
+    begin, size, doc = _windows(raw, TRAINED)
+    codes = _codes(raw, begin, size, doc, TRAINED, MARGIN)
     target = np.array([labels.index(x) for x in langs])[doc]
     if len(labels) == 1 or not len(codes):
         return model
@@ -188,21 +209,24 @@ def fit(texts: list[str], langs: list[str], steps: int = STEPS, seed: int = 7) -
     return model
 
 
-def predict(model: Model | None, column: pa.Array, at_once: int = 1024) -> tuple[list[str], np.ndarray]:
+def predict(model: Model | None, column: pa.Array, at_once: int = 512) -> tuple[list[str], np.ndarray]:
     """Label and score of each text; whole texts, ``at_once`` windows at a time."""
     text = utf8(column)
     letters = pc.match_substring_regex(column.cast(pa.large_string()), r"\p{L}").fill_null(False).to_numpy(zero_copy_only=False) if len(column) else np.zeros(0, bool)
     if model is None:
         return [UNDETERMINED] * len(text), np.zeros(len(text))
-    codes, doc = _windows(text)
+    begin, size, doc = _windows(text, WINDOW)
+    order = np.argsort(size, kind="stable")  # windows of about one length run together
     total, seen = np.zeros((len(text), len(model.labels))), np.zeros(len(text))
-    for lo in range(0, len(codes), at_once):
-        part = np.ascontiguousarray(codes[lo : lo + at_once].transpose(1, 0, 2))
+    for lo in range(0, len(order), at_once):
+        own = order[lo : lo + at_once]
+        steps = -(-int(size[own[-1]]) // STRIDE)
+        part = np.ascontiguousarray(_codes(text, begin[own], size[own], doc[own], steps, MARGIN).transpose(1, 0, 2))
         _, logp = _forward(model, part)
-        covered = (part != 256).sum(-1)  # bytes of a step, each of which has its label
-        of = doc[lo : lo + at_once]
-        np.add.at(total, of, np.einsum("tbk,tb->bk", logp, covered))
-        np.add.at(seen, of, covered.sum(0))
+        inner = slice(MARGIN, MARGIN + steps)
+        covered = np.arange(steps * STRIDE).reshape(steps, 1, STRIDE) < size[own][None, :, None]
+        np.add.at(total, doc[own], np.einsum("tbsk,tbs->bk", logp[inner], covered))
+        np.add.at(seen, doc[own], size[own])
     p = np.exp(_log_softmax(total / np.maximum(seen, 1)[:, None]))
     best = p.argmax(1)
     found = letters & (seen > 0)
@@ -215,12 +239,25 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
-    """The bounded sample: of each language the labelled, not held-out rows with the least hashes of their ids."""
-    rows = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text"), docs["lang"].alias("lang"))
-    rows = rows.where(rows["text"].isNotNull() & rows["lang"].isNotNull() & rows["doc_id"].isNotNull() & ~held_out(rows["doc_id"]))
-    rows = rows.select("doc_id", "lang", F.substr("text", F.lit(1), F.lit(EXCERPT)).alias("text"), F.xxhash64("doc_id").alias("h"))
-    first = F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id", "text"))
-    return rows.withColumn("_rank", first).where(F.col("_rank") <= per_lang).select("lang", "text", "h")
+    """The bounded sample: lang, text (an excerpt) and a place in the order of training.
+
+    Hashes above what ``SPARE * per_lang`` rows of a language are expected to stay under are left out before anything is
+    sorted, so that the rows that meet in a language's task don't grow with the table.
+    """
+    rows = docs.select(long_id(docs["doc_id"]).alias("doc_id"), docs["text"].alias("text"), docs["lang"].alias("lang")).withColumn("h", F.xxhash64("doc_id"))
+    rows = rows.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LABELS).collect()
+    if not counts:
+        return rows.select("lang", "text", "h").where("false")
+    most = [(r["lang"], min(SPARE * per_lang * 2**63 // r["n"], 2**63 - 1)) for r in counts]
+    bounds = docs.sparkSession.createDataFrame(most, "lang string, most long")
+    near = rows.join(F.broadcast(bounds), "lang").where((F.shiftrightunsigned("h", 1) <= F.col("most")) & F.col("text").isNotNull())
+    first = F.row_number().over(W.partitionBy("lang").orderBy(F.shiftrightunsigned("h", 1), "doc_id", F.xxhash64("text")))
+    room = F.greatest(F.char_length("text") - EXCERPT, F.lit(0)) + 1
+    cuts = [F.struct(F.xxhash64("h", F.lit(k)).alias("h"), F.substr("text", (F.pmod(F.xxhash64("h", F.lit(k), F.lit(1)), room) + 1).cast("int"), F.lit(EXCERPT)).alias("text")) for k in range(EXCERPTS)]
+    near = near.select("lang", "h", "doc_id", F.array(*cuts).alias("cuts"), F.col("text"))
+    chosen = near.withColumn("rank", first).where(F.col("rank") <= per_lang)
+    return chosen.select("lang", F.inline("cuts")).select("lang", "text", "h")
 
 
 def fit_on(docs: DataFrame, per_lang: int = PER_LANG) -> Model | None:
@@ -235,10 +272,11 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            labels, score = predict(model, batch.column(2))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(labels, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
+            for part in slices(batch, 2):
+                labels, score = predict(model, part.column(2))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(labels, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), held_out(docs["doc_id"]).alias("held_out"), docs["text"].alias("text"))
+    rows = docs.select(long_id(docs["doc_id"]).alias("doc_id"), held_out(docs["doc_id"]).alias("held_out"), docs["text"].alias("text"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
@@ -249,8 +287,9 @@ def keep_identified(docs: DataFrame, min_score: float = 0.35) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            labels, score = predict(model, batch.column(at))
-            known = np.array([x != UNDETERMINED for x in labels], bool)
-            yield batch.filter(pa.array(known & (score >= min_score), pa.bool_()))
+            for part in slices(batch, at):
+                labels, score = predict(model, part.column(at))
+                known = np.array([x != UNDETERMINED for x in labels], bool)
+                yield part.filter(pa.array(known & (score >= min_score), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

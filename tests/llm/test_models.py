@@ -1,15 +1,18 @@
 from __future__ import annotations
 
 import math
+import struct
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.errors import AnalysisException
 
+from sparkloom.llm._shared import tokenizer_path
 from sparkloom.llm import itq, kneser_ney, langid, packing, sentencepiece_codec, sharding
-from sparkloom.llm.queries import vocabulary
+from sparkloom.llm.queries import PIECES, VOCABULARY
 
 
 # --- sharding ---------------------------------------------------------------------------------------------------------
@@ -45,13 +48,29 @@ def test_rebalance_moves_little_and_stays_even(spark):
     assert {r.shard for r in gone.select("shard").distinct().collect()} == set(range(8))
 
 
-def test_map_versions_are_stored(spark):
+def test_map_versions_are_stored_once(spark, tmp_path):
     stats = spark.createDataFrame([(i, 10, 1) for i in range(20)], "virtual_slot int, bytes long, rows long")
-    name = f"map_test_{id(stats)}"
-    path = sharding.save_map(sharding.build_map(stats, 2), name)
-    sharding.save_map(sharding.rebalance(sharding.load_map(spark, path), 3, 2), name)
+    path = str(tmp_path / "map")
+    first = sharding.save_map(sharding.build_map(stats, 2), path, 1)
+    sharding.save_map(sharding.rebalance(first, 3, 2), path, 2)
     assert {r.shard for r in sharding.load_map(spark, path).collect()} == {0, 1, 2}
     assert {r.shard for r in sharding.load_map(spark, path, 1).collect()} == {0, 1}
+    with pytest.raises(AnalysisException):
+        sharding.save_map(first, path, 2)
+    assert sharding.load_map(spark, path, 2).count() == 20
+
+
+def test_shards_are_the_longest_first_fold_of_slots(make, prose):
+    rows = sharding.shard(make(prose * 3), 5, 32).collect()
+    size, to = Counter(), {}
+    for r in rows:
+        size[r.virtual_slot] += r.size
+        to.setdefault(r.virtual_slot, set()).add(r.shard)
+    load, want = [0] * 5, {}
+    for b, slot in sorted(((b, s) for s, b in size.items()), reverse=True):
+        want[slot] = {load.index(min(load))}
+        load[load.index(min(load))] += b
+    assert to == want
 
 
 def test_sharding_null_ids_repeats_and_empty(make):
@@ -130,18 +149,44 @@ def test_letters_beyond_latin_are_told_apart(spark, make):
 TEXTS = ["", " ", "  ", "\n", "a", " a", "a ", "a  b   c", "\n\nx \n y", "tab\tx\r\n", "ünï 中文 \U0001f600\x00", "▁x ▁", "Hello world.\nNext <s> </s> <unk> <0x41>", "x" * 3000, " \n ", None]
 
 
-def test_codec_has_parity_by_units_and_whole(prose):
+def test_codec_has_parity(prose):
     import sentencepiece
 
-    own = sentencepiece_codec.Codec(vocabulary("piece_bpe_32k.model"))
-    library = sentencepiece.SentencePieceProcessor(model_file=vocabulary("piece_bpe_32k.model"))
-    texts = TEXTS + prose[:20]
-    ids, starts, agree = own.encode_arrow(pa.array(texts, pa.string()))
-    want = [library.encode(t or "") for t in texts]
-    assert own.by_units and agree.all() and not own.mismatched
-    assert [ids[a:b].tolist() for a, b in zip(starts, starts[1:], strict=False)] == want
-    assert own.encode_batch([t or "" for t in texts]) == want
-    assert [b.decode(errors="replace") for b in own.decoded_bytes(ids, starts)] == [library.decode(w) if w else "" for w in want] == [own.decode(w) for w in want]
+    path = tokenizer_path(PIECES)
+    own, library = sentencepiece_codec.Codec(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = [t or "" for t in TEXTS + prose[:20]]
+    want = [library.encode(t) for t in texts]
+    ids = own.encode_batch(texts)
+    assert ids == want and all(own.parity(texts, ids))
+    assert own.decode_batch(ids) == [library.decode(w) if w else "" for w in want]
+    assert own.parity(["a", "b"], [own.encode_batch(["a"])[0], [7]]) == [True, False]
+
+
+def _field(number, value):
+    def varint(n):
+        out = b""
+        while n > 0x7F:
+            out, n = out + bytes([n & 0x7F | 0x80]), n >> 7
+        return out + bytes([n])
+
+    if isinstance(value, float):
+        return varint(number << 3 | 5) + struct.pack("<f", value)
+    if isinstance(value, int):
+        return varint(number << 3) + varint(value)
+    return varint(number << 3 | 2) + varint(len(value)) + value
+
+
+def test_unigram_models_with_byte_fallback_have_parity(tmp_path):
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *[(f"<0x{b:02X}>", -20.0, 6) for b in range(256)]]
+    pieces += [(p, -1.0 - math.sqrt(k + 2), 1) for k, p in enumerate("▁ ▁a ▁the ▁he t h e a b ab abc c ▁ab ra ▁bra ca d da o ▁o er ▁th in ing".split())]
+    raw = b"".join(_field(1, _field(1, p.encode()) + _field(2, s) + _field(3, k)) for p, s, k in pieces)
+    raw += _field(2, _field(3, 1) + _field(35, 1)) + _field(3, _field(3, 1) + _field(4, 1) + _field(5, 1))
+    path = tmp_path / "unigram.model"
+    path.write_bytes(raw)
+    own = sentencepiece_codec.Codec(str(path))
+    texts = ["the abracadabra", "thing in the  other", " a ", "b", "ünï 中 😀", "", "zzz", "abc" * 50]
+    ids = own.encode_batch(texts)
+    assert all(own.parity(texts, ids)) and own.decode_batch(ids)[0] == "the abracadabra"
 
 
 def test_merges_of_a_bpe_model_come_from_its_scores():
@@ -157,14 +202,14 @@ def test_unigram_models_are_built():
 
 def test_encode_and_decode_frames(make, prose):
     texts = TEXTS + prose[:10]
-    encoded = sentencepiece_codec.encode(make(texts), vocabulary("piece_bpe_32k.model"))
+    encoded = sentencepiece_codec.encode(make(texts), PIECES)
     rows = encoded.collect()
     assert len(rows) == len(texts) and all(r.parity for r in rows)
     assert all(r.round_trip == ("▁" not in (texts[r.doc_id] or "")) for r in rows)  # the marker itself decodes to a space
     assert all(r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes()) and r.n_ids == len(r.ids) for r in rows)
-    back = {r.doc_id: r.text for r in sentencepiece_codec.decode(encoded, vocabulary("piece_bpe_32k.model")).collect()}
+    back = {r.doc_id: r.text for r in sentencepiece_codec.decode(encoded, PIECES).collect()}
     assert back == {i: (t or "").replace("▁", " ") for i, t in enumerate(texts)}
-    assert sentencepiece_codec.encode(make(["a"]).where("false"), vocabulary("piece_bpe_32k.model")).count() == 0
+    assert sentencepiece_codec.encode(make(["a"]).where("false"), PIECES).count() == 0
 
 
 # --- packing ----------------------------------------------------------------------------------------------------------
@@ -174,7 +219,7 @@ def test_encode_and_decode_frames(make, prose):
 def test_packing_is_an_exact_round_trip(make, odd, prose, parts):
     from tokenizers import Tokenizer
 
-    path = vocabulary("word_bpe_49k.json")
+    path = tokenizer_path(VOCABULARY)
     t = Tokenizer.from_file(path)
     texts = [x for x in odd if not x or len(x) < 20_000] + prose + ["Don't can'T İSTANBUL ẞß x́ ́a 3.14 中文 \U0001f600 \x00 x\x1cy \x85z ﬁ Σας", "<|endoftext|>", "ÀÉ×ª"]
     rows = packing.pack(make(texts, parts), path, with_ids=True).collect()
@@ -208,7 +253,7 @@ def test_packed_ids_of_queries_are_the_librarys_defaults(spark, tmp_path):
     texts = ["one <|endoftext|> two", "a<|endoftext|>b <|ENDOFTEXT|> c<|startoftext|>", "É<|endoftext|>中\u2003<|endoftext|><|startoftext|>x", "<|endoftext|", None]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
-    t = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
+    t = Tokenizer.from_file(tokenizer_path(VOCABULARY))
     want = {i: [*t.encode(x or "", add_special_tokens=False).ids, 1] for i, x in enumerate(texts)}
     for out in (QUERIES["op4_packing"](spark, str(tmp_path)), corpus_pipeline.pack_sequences(spark, docs, str(tmp_path))):
         got = {r.doc_id: (r.start, r.length, r.doc_tokens, r.ids_crc32) for r in out.where(F.col("length") == F.col("doc_tokens")).collect()}
@@ -216,9 +261,9 @@ def test_packed_ids_of_queries_are_the_librarys_defaults(spark, tmp_path):
 
 
 def test_packing_keeps_null_ids_and_repeats(make):
-    rows = packing.pack(make([(None, "a"), (3, "b"), (3, "b")]), vocabulary("word_bpe_49k.json")).collect()
+    rows = packing.pack(make([(None, "a"), (3, "b"), (3, "b")]), VOCABULARY).collect()
     assert sorted((r.doc_id or 0) for r in rows) == [0, 3, 3] and len({r.sequence_id for r in rows}) == 1
-    assert packing.pack(make(["a"]).where("false"), vocabulary("word_bpe_49k.json")).count() == 0
+    assert packing.pack(make(["a"]).where("false"), VOCABULARY).count() == 0
 
 
 # --- ITQ --------------------------------------------------------------------------------------------------------------
@@ -267,10 +312,13 @@ def test_links_of_vectors_with_a_common_direction_are_found(spark, shift):
 
 def test_odd_vectors_link_with_nothing(spark):
     inf, nan = float("inf"), float("nan")
-    rows = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, [1.0, 2.0]), (8, [2.0, 4.0]), (8, [2.0, 4.0]), (None, [1.0, 2.0]), (9, [1.0, 2.0, 3.0])]
+    rows = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, [1.0, 2.0]), (8, [2.0, 4.0]), (8, [2.0, 4.0]), (None, [1.0, 2.0]), (9, [1.0, 2.0, 3.0]), (10, [2.0, 4.0, 6.0])]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = sorted(((r.vec_id or 0), r.n_links, r.component_id) for r in itq.near_duplicates(table).collect())
-    assert got == [(0, 0, None), *[(i, 0, i) for i in range(1, 7)], (7, 2, 7), (8, 2, 7), (8, 2, 7), (9, 0, 9)]
+    assert got == [(0, 0, None), *[(i, 0, i) for i in range(1, 7)], (7, 2, 7), (8, 2, 7), (8, 2, 7), (9, 1, 9), (10, 1, 9)]
+    kept = itq.deduplicate(table).collect()
+    assert sorted(r.vec_id for r in kept if r.vec_id) == [1, 2, 3, 4, 5, 6, 7, 9] and sum(r.vec_id is None for r in kept) == 1
+    assert itq.deduplicate(table.where("false")).count() == 0
     assert itq.near_duplicates(table.where("false")).count() == 0
 
 

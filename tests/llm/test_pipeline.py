@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from sparkloom.llm import exact_dedup, langid, packing, pii, simhash
-from sparkloom.llm.queries import QUERIES, vocabulary
+from sparkloom.llm.queries import QUERIES, VOCABULARY
 
 
 def test_each_stage_is_its_operator_on_what_the_last_one_kept(spark, tmp_path):
@@ -23,12 +23,12 @@ def test_each_stage_is_its_operator_on_what_the_last_one_kept(spark, tmp_path):
         if k == 1:
             assert {r.doc_id for r in docs.collect()} == {r.doc_id for r in exact_dedup.decide(last).where("kept").collect()}
         if k == 2:
-            assert {r.doc_id for r in docs.collect()} == {r.component_id for r in simhash.near_duplicates(last).collect()}
+            assert {r.doc_id for r in docs.collect()} == {r.component_id for r in simhash.similar_texts(last).collect()}
         if k == 3:
             assert pii.report(docs).selectExpr("sum(n_email + n_ip + n_card + n_phone)").first()[0] == 0
             assert pii.report(last).selectExpr("sum(n_email)").first()[0] > 0
         if k == 4:
-            whole = packing.pack(last, vocabulary("word_bpe_49k.json"))
+            whole = packing.pack(last, VOCABULARY, special=True)
             assert whole.selectExpr("sum(length)").first()[0] == docs.selectExpr("sum(length)").first()[0]
     assert kept == sorted(kept, reverse=True) and kept[0] >= 0.97 * 200 and kept[2] < kept[0]
 
