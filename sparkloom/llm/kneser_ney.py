@@ -8,11 +8,13 @@ types are few however long the corpus is, so that counts, adjusted counts and pr
    totals and back-off weights (Chen and Goodman's three discounts for each order);
 3. each chunk asks for the distinct grams of all its documents; the distinct questions are answered by joins with the
    count tables, and the answers go back to the chunks that asked, where every document's whole text is scored;
-4. per language, a quantile of the trusted documents' perplexities is the limit that a document must not exceed.
+4. a fifth of the trusted documents, by hash of the id, is held out of training. Per language, a quantile of these
+   documents' perplexities is the limit that a document must not exceed; one at the limit is kept.
 
-Defined cases: a null or empty text has no perplexity and isn't kept; a language with under ``FEW`` trusted documents, or
-null, takes the limit of all trusted documents; without any trusted document nothing is known and all is kept that has a
-text; repeated rows are scored one by one; an empty table gives an empty result; other columns are ignored.
+Defined cases: a null or empty text has no perplexity and isn't kept; a language with under ``FEW`` held-out documents, or
+null, takes the limit of all held-out documents; where these are under ``FEW``, too, there is no limit and all is kept that
+has a text; repeated rows are scored one by one; very long texts are scored whole, and are chunks of their own; ids that are
+no whole numbers are null, and such rows are never trusted; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import spread, stage
+from ._shared import BROADCAST_IDS, long_id, spread, stage
 from .chunks import ChunkTable, text_of
 
 ORDER = 4
@@ -34,8 +36,9 @@ HALF = ORDER // 2
 #: Bytes of a symbol in a gram.
 BYTES = 3
 QUANTILE = 0.995
-SLACK = 1.1
 FEW = 20
+#: One in so many trusted documents is held out.
+HELD_OUT = 5
 CHUNK_BYTES = 12 << 20
 SLICE_BYTES = 1 << 20
 #: Log-probabilities travel as whole numbers of this fraction of a nat.
@@ -222,12 +225,12 @@ class Model:
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
     """Ids of documents labelled as good and not toxic."""
-    return labels.where((labels["quality"] == 1) & (labels["toxic"] == 0)).select(labels["doc_id"].cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    return labels.where((labels["quality"] == 1) & (labels["toxic"] == 0)).select(long_id(labels["doc_id"]).alias("doc_id")).where("doc_id is not null").distinct()
 
 
 def score(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """doc_id, lang, n_symbols, perplexity of every row of ``docs``; ``trusted`` has the ids to train on."""
-    table = ChunkTable.write(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["lang"].alias("lang"), docs["text"].alias("text")), CHUNK_BYTES)
+    table = ChunkTable.write(docs.select(long_id(docs["doc_id"]).alias("doc_id"), docs["lang"].alias("lang"), docs["text"].alias("text")), CHUNK_BYTES)
     where = table.finish(_members, "chunk long, doc_id long")
     told = where.join(trusted, "doc_id", "left_semi").select("chunk", F.unhex(_hex(F.col("doc_id"), 16)).alias("blob"))
     counted = table.finish(_count, "gram binary, n long", told).groupBy("gram").agg(F.sum("n").alias("n"))
@@ -241,14 +244,20 @@ def score(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     return out
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
+def held_out(doc_id: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit(29), doc_id), F.lit(HELD_OUT)) == 0
+
+
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """doc_id, lang, n_symbols, perplexity, limit, kept for every row of ``docs``."""
-    trusted = stage(trusted_ids(labels), "trusted")
-    scored = score(docs, trusted)
-    good = scored.join(trusted, "doc_id", "left_semi").where("perplexity is not null")
-    at = F.percentile_approx("perplexity", F.lit(quantile), F.lit(100_000))
-    per_lang = good.where("lang is not null").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), at.alias("own")).where(F.col("n") >= FEW).select("lang", "own")
-    overall = good.agg(at.alias("overall"))
-    out = scored.join(per_lang, "lang", "left").crossJoin(F.broadcast(overall))
-    limit = F.coalesce("own", "overall") * slack
-    return out.select("doc_id", "lang", "n_symbols", "perplexity", limit.alias("limit"), (F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= limit, F.lit(True))).alias("kept"))
+    trusted = stage(trusted_ids(labels).withColumn("held", held_out(F.col("doc_id"))), "trusted")
+    scored = score(docs, trusted.where("not held").select("doc_id"))
+    judged = scored.join(trusted.where("held"), "doc_id", "left_semi").where("perplexity is not null")
+    n, at = F.count(F.lit(1)), F.percentile_approx("perplexity", F.lit(quantile), F.lit(100_000))
+    limits = stage(judged.where("lang is not null").groupBy("lang").agg(n.alias("n"), at.alias("own")).where(F.col("n") >= FEW).select("lang", "own"), "limits")
+    overall = judged.agg(F.when(n >= FEW, at).alias("overall"))
+    few = limits.count() <= BROADCAST_IDS  # one row a language
+    out = scored.join(F.broadcast(limits) if few else limits, "lang", "left").crossJoin(F.broadcast(overall))
+    limit = F.coalesce("own", "overall")
+    kept = F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= limit, F.lit(True))
+    return out.select("doc_id", "lang", "n_symbols", "perplexity", limit.alias("limit"), kept.alias("kept"))

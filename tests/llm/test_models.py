@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
 
 from sparkloom.llm._shared import tokenizer_path
 from sparkloom.llm import itq, kneser_ney, langid, packing, sentencepiece_codec, sharding
@@ -129,12 +130,31 @@ def test_perplexities_equal_brute_force(spark, make, odd, prose):
         assert r.perplexity is None or r.perplexity == pytest.approx(want[r.doc_id], rel=1e-4), r.doc_id
 
 
-def test_classifier_keeps_clean_and_rejects_noise(spark, make, prose):
-    texts = prose[:60] + [prose[3].upper().replace(" ", "!! "), None]
-    labels = spark.createDataFrame([(i, 1, 0) for i in range(40)] + [(60, 0, 0), (50, 1, 1)], "doc_id long, quality int, toxic int")
-    rows = {r.doc_id: r.kept for r in kneser_ney.classify(make(texts), labels).collect()}
-    assert sum(rows[i] for i in range(60)) >= 59 and not rows[60] and not rows[61]
-    assert all(r.kept for r in kneser_ney.classify(make(["a", "b"]), labels.where("false")).collect())
+def test_classifier_equals_brute_force(spark):
+    r = np.random.default_rng(3)
+    line = lambda parts, n: " ".join("".join(r.choice(parts, 3)) for _ in range(n))
+    sound = [line(["sch", "ung", "ei"], 25) if i % 4 == 0 else line(["th", "ing", "ea", "sh"], 25) for i in range(600)]
+    texts = [*sound, *[line(["#x", "Q!", "9z"], 25) for _ in range(20)], None, ""]
+    langs = [("de" if i % 4 == 0 else "en") if i < 600 else [None, "fr", "en"][i % 3] for i in range(len(texts))]
+    docs = spark.createDataFrame(list(zip(range(len(texts)), texts, langs, strict=True)), "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(500)] + [(601, 0, 0), (602, 1, 1)], "doc_id long, quality int, toxic int")
+    rows = {x.doc_id: x for x in kneser_ney.classify(docs, labels).collect()}
+    held = {x.id for x in spark.range(500).where(kneser_ney.held_out(F.col("id"))).collect()}
+    assert 60 < len(held) < 140
+    ppl = kn_brute([texts[i] for i in range(500) if i not in held], texts)
+    top = lambda ids: (v := sorted(ppl[i] for i in ids))[math.ceil(0.995 * len(v)) - 1]
+    of = {k: [i for i in held if langs[i] == k] for k in ("de", "en")}
+    limit = {k: top(of[k]) if len(of[k]) >= kneser_ney.FEW else top(held) for k in of} | {"fr": top(held), None: top(held)}
+    for i, x in rows.items():
+        assert x.limit == pytest.approx(limit[langs[i]], rel=1e-4)
+        assert x.kept == (ppl[i] is not None and ppl[i] <= limit[langs[i]] * (1 + 1e-9)) or abs(ppl[i] / limit[langs[i]] - 1) < 1e-4
+    assert sum(rows[i].kept for i in range(600)) >= 570 and not any(rows[i].kept for i in range(600, 622))
+
+
+def test_classifier_without_enough_trusted_documents_keeps_all_texts(spark, make):
+    labels = spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int")
+    assert [x.kept for x in kneser_ney.classify(make(["a", "b", None]), labels).orderBy("doc_id").collect()] == [True, True, False]
+    assert all(x.kept for x in kneser_ney.classify(make(["a", "b"]), labels.where("false")).collect())
     assert kneser_ney.classify(make(["a"]).where("false"), labels).count() == 0
 
 
