@@ -5,6 +5,7 @@ Work on text is done on Arrow buffers with numpy, a batch of documents at a time
 
 from __future__ import annotations
 
+import ctypes
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -40,8 +41,16 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+def _give_back() -> None:
+    """Returns memory that Arrow and the C library keep for later; workers are reused, and so is what they keep."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, text: int, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Runs of rows of about ``size`` bytes in the column ``text``; a row is never cut. Unused Arrow memory is given back."""
+    """Runs of rows of about ``size`` bytes in the column ``text``; a row is never cut. Memory is given back after each batch."""
     ends = np.cumsum(np.diff(utf8(batch.column(text)).offsets))
     at = 0
     while at < batch.num_rows:
@@ -49,7 +58,7 @@ def slices(batch: pa.RecordBatch, text: int, size: int = SLICE_BYTES) -> Iterato
         to = max(at + 1, int(np.searchsorted(ends, before + size)))
         yield batch.slice(at, to - at)
         at = to
-    pa.default_memory_pool().release_unused()
+    _give_back()
 
 
 def input_partitions(df: DataFrame) -> int:

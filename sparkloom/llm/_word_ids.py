@@ -13,8 +13,8 @@ import numpy as np
 from ._shared import Utf8, spread, tokenizer_path, words
 
 #: Bytes of distinct units, their ids and their places that a table keeps at most; a full one keeps the units that it met
-#: more than once. As many bytes go to distinct parts of words.
-KEEP = 96 << 20
+#: more than once. Half as many bytes go to distinct parts of words.
+KEEP = 64 << 20
 #: What a unit takes besides its bytes and ids: an object, a place in a dictionary and four numbers.
 _EACH = 160
 
@@ -25,9 +25,9 @@ _PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-
 
 
 class IdTable:
-    """Ids of units, looked up by their bytes; ``encode`` is asked for those that aren't known yet."""
+    """Ids of units, looked up by their bytes; ``encode`` is asked for those that aren't known yet, as 32-bit numbers in a row."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], keep: int = KEEP):
+    def __init__(self, encode: Callable[[list[bytes]], list[bytes]], keep: int = KEEP):
         self._encode, self._keep = encode, keep
         self._forget()
 
@@ -61,14 +61,14 @@ class IdTable:
     def _learn(self, new: list[bytes]) -> None:
         at = len(self._row)
         ids = self._encode(new)
-        count = np.fromiter(map(len, ids), np.int64, len(ids))
+        count = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         total = int(count.sum())
         if self._used + total > len(self._ids):
             self._ids = np.concatenate((self._ids, np.zeros(self._used + total, np.uint32)))
         if at + len(new) > len(self._start):
             self._start, self._count = (np.concatenate((x, np.zeros(at + len(new), np.int64))) for x in (self._start, self._count))
         self._hits = np.concatenate((self._hits, np.zeros(len(new), np.int64)))
-        self._ids[self._used : self._used + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
+        self._ids[self._used : self._used + total] = np.frombuffer(b"".join(ids), np.uint32)
         self._start[at : at + len(new)] = self._used + np.cumsum(count) - count
         self._count[at : at + len(new)] = count
         self._used += total
@@ -120,7 +120,7 @@ class WordIds:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self._bytes = ByteLevel(add_prefix_space=False, use_regex=False)
-        self._parts: dict[str, list[int]] = {}
+        self._parts: dict[str, bytes] = {}
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = not special
         added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
@@ -131,11 +131,11 @@ class WordIds:
         self._keep, self._part_bytes = keep, 0
         self._table = IdTable(self._encode_words, keep)
 
-    def _encode_words(self, new: list[bytes]) -> list[list[int]]:
+    def _encode_words(self, new: list[bytes]) -> list[bytes]:
         """Plain words by the library's model, a distinct part at a time; others, and added tokens', by its whole chain."""
-        out: list[list[int]] = [[]] * len(new)
+        out = [b""] * len(new)
         parts, known = self._parts, self._parts.get
-        if self._part_bytes > self._keep:
+        if self._part_bytes > self._keep // 2:
             parts.clear()
             self._part_bytes = 0
         other = []
@@ -144,17 +144,17 @@ class WordIds:
             if not _PLAIN.fullmatch(word) or self._added.search(word):
                 other.append((i, word))
                 continue
-            ids: list[int] = []
+            ids = []
             for part in _PARTS.findall(word.lower()):
                 own = known(part)
                 if own is None:
                     mapped = part if part.isascii() else self._bytes.pre_tokenize_str(part)[0][0]
-                    own = parts[part] = [t.id for t in self._model.tokenize(mapped)]
-                    self._part_bytes += len(part) + 8 * len(own) + 2 * _EACH
-                ids += own
-            out[i] = ids
+                    own = parts[part] = np.array([t.id for t in self._model.tokenize(mapped)], np.uint32).tobytes()
+                    self._part_bytes += len(part) + len(own) + _EACH
+                ids.append(own)
+            out[i] = b"".join(ids)
         for (i, _), e in zip(other, self._tokenizer.encode_batch_fast([w for _, w in other], add_special_tokens=False), strict=True):
-            out[i] = e.ids
+            out[i] = np.array(e.ids, np.uint32).tobytes()
         return out
 
     def encode(self, text: Utf8) -> tuple[np.ndarray, np.ndarray]:
