@@ -54,7 +54,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 class Model:
     """Of each direction: tables (STRIDE, 257, 3 * hidden) and recurrent weights (hidden, 3 * hidden); then the output.
 
-    The output has STRIDE * labels columns: those of the first byte of a step come first.
+    The output is (labels, 2 * hidden, STRIDE): for each label a column for each byte of a step.
     """
 
     labels: list[str]
@@ -70,7 +70,7 @@ class Model:
         r = np.random.default_rng(seed)
         tables = [r.normal(0, 0.3, (STRIDE, 257, 3 * hidden)).astype(np.float32) for _ in range(2)]
         recurrent = [r.normal(0, hidden**-0.5, (hidden, 3 * hidden)).astype(np.float32) for _ in range(2)]
-        return cls(labels, tables, recurrent, r.normal(0, 0.3, (2 * hidden, STRIDE * len(labels))).astype(np.float32), np.zeros(STRIDE * len(labels), np.float32), hidden)
+        return cls(labels, tables, recurrent, r.normal(0, 0.3, (len(labels), 2 * hidden, STRIDE)).astype(np.float32), np.zeros((len(labels), STRIDE), np.float32), hidden)
 
     def weights(self) -> list[np.ndarray]:
         return [*self.tables, *self.recurrent, self.out, self.bias]
@@ -102,15 +102,17 @@ def _inputs(codes: np.ndarray, tables: np.ndarray) -> np.ndarray:
 
 
 def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(-1, keepdims=True)
-    return x - np.log(np.exp(x).sum(-1, keepdims=True))
+    """Over the first axis, the labels."""
+    x = x - x.max(0)
+    return x - np.log(np.exp(x).sum(0))
 
 
 def _forward(model: Model, codes: np.ndarray, traces: tuple[list, list] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Both states of each step, and the log-probabilities (labels, steps, batch, STRIDE) of each byte."""
     ahead = _run(_inputs(codes, model.tables[0]), model.recurrent[0], model.hidden, traces and traces[0])
     back = _run(_inputs(codes[::-1], model.tables[1]), model.recurrent[1], model.hidden, traces and traces[1])[::-1]
     both = np.concatenate((ahead, back), -1)
-    return both, _log_softmax((both @ model.out + model.bias).reshape(*both.shape[:2], STRIDE, -1))
+    return both, _log_softmax(np.stack([both @ w + b for w, b in zip(model.out, model.bias, strict=True)]))
 
 
 def _backward(u: np.ndarray, trace: list, d_states: np.ndarray, hidden: int) -> tuple[np.ndarray, np.ndarray]:
@@ -138,13 +140,13 @@ def gradients(model: Model, codes: np.ndarray, target: np.ndarray) -> tuple[floa
     batch = codes.shape[1]
     real = codes != 256
     n = max(int(real.sum()), 1)
-    loss = -(logp[:, np.arange(batch), :, target].transpose(1, 0, 2) * real).sum() / n
+    loss = -(logp[target, :, np.arange(batch)].transpose(1, 0, 2) * real).sum() / n
     d = np.exp(logp)
-    d[:, np.arange(batch), :, target] -= 1
-    d = (d * (real / n)[..., None]).astype(both.dtype).reshape(*both.shape[:2], -1)
-    flat, d_flat = both.reshape(-1, both.shape[-1]), d.reshape(-1, d.shape[-1])
-    d_out, d_bias = flat.T @ d_flat, d_flat.sum(0)
-    d_both = d @ model.out.T
+    d[target, :, np.arange(batch)] -= 1
+    d = (d * (real / n)).astype(both.dtype)
+    flat = both.reshape(-1, both.shape[-1])
+    d_out, d_bias = np.stack([flat.T @ x.reshape(-1, STRIDE) for x in d]), d.sum((1, 2))
+    d_both = sum(x @ w.T for x, w in zip(d, model.out, strict=True))
     d_tables, d_recurrent = [], []
     for k, seen in ((0, codes), (1, codes[::-1])):
         half = d_both[..., k * model.hidden : (k + 1) * model.hidden]
@@ -209,7 +211,7 @@ def fit(texts: list[str], langs: list[str], steps: int = STEPS, seed: int = 7) -
     return model
 
 
-def predict(model: Model | None, column: pa.Array, at_once: int = 512) -> tuple[list[str], np.ndarray]:
+def predict(model: Model | None, column: pa.Array, at_once: int = 256) -> tuple[list[str], np.ndarray]:
     """Label and score of each text; whole texts, ``at_once`` windows at a time."""
     text = utf8(column)
     letters = pc.match_substring_regex(column.cast(pa.large_string()), r"\p{L}").fill_null(False).to_numpy(zero_copy_only=False) if len(column) else np.zeros(0, bool)
@@ -225,9 +227,9 @@ def predict(model: Model | None, column: pa.Array, at_once: int = 512) -> tuple[
         _, logp = _forward(model, part)
         inner = slice(MARGIN, MARGIN + steps)
         covered = np.arange(steps * STRIDE).reshape(steps, 1, STRIDE) < size[own][None, :, None]
-        np.add.at(total, doc[own], np.einsum("tbsk,tbs->bk", logp[inner], covered))
+        np.add.at(total, doc[own], np.stack([(x[inner] * covered).sum((0, 2)) for x in logp], 1))
         np.add.at(seen, doc[own], size[own])
-    p = np.exp(_log_softmax(total / np.maximum(seen, 1)[:, None]))
+    p = np.exp(_log_softmax((total / np.maximum(seen, 1)[:, None]).T)).T
     best = p.argmax(1)
     found = letters & (seen > 0)
     labels = [model.labels[b] if ok else UNDETERMINED for b, ok in zip(best.tolist(), found.tolist(), strict=True)]
