@@ -1,4 +1,5 @@
-"""The live walk over the graph: attention follows strong, little visited synapses, dreams along bridges, and jumps.
+"""The live walk over the graph: attention follows strong, little visited synapses or jumps; what fires spreads to its
+neighbours; and now and then a dream lights up both ends of a bridge, which moves neither attention nor counts of visits.
 
 A walk is sequential, so walkers are what runs in parallel: each walker's steps are one group of ``applyInPandas``, with the
 graph, whose node number the caller bounds, broadcast behind a check of its size.
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 
+# Chances of following a synapse and of a dream, spread, decay a second, nodes sampled for a jump, seconds a step.
 FOLLOW, DREAM, GAIN, DECAY, SAMPLES, STEP_SECONDS = 0.72, 0.13, 0.6, 0.35, 6, 0.13
 #: The graph is sent to every task; beyond so many edges ``walk`` refuses.
 MAX_EDGES = 2_000_000
@@ -34,7 +36,8 @@ def pick(scores: np.ndarray, draw: float) -> int:
 class Walker:
     def __init__(self, n: int, neighbours: list[np.ndarray], weights: list[np.ndarray], far: np.ndarray, random):
         self.neighbours, self.weights, self.far, self.random = neighbours, weights, far, random
-        self.n, self.act, self.visits, self.focus = n, np.zeros(n), np.zeros(n), -1
+        self.n, self.act, self.visits = n, np.zeros(n), np.zeros(n)
+        self.focus = int(random() * n)
 
     def _jump(self) -> int:
         best = int(self.random() * self.n)
@@ -44,32 +47,34 @@ class Walker:
                 best = other
         return best
 
-    def step(self) -> tuple[str, int, int, float]:
-        """One thought: (kind, node, from, weight)."""
+    def step(self) -> list[tuple[str, int, int, float]]:
+        """What one thought fires: (kind, node, from, weight), first the node attended to, then its synapses, then a dream."""
         self.act *= DECAY**STEP_SECONDS
-        if len(self.far) and self.random() < DREAM:
-            s, t, w = self.far[int(self.random() * len(self.far))]
-            s, t = int(s), int(t)
-            self.act[[s, t]] = 1.0
-            self.visits[t] += 1
-            self.focus = t
-            return "insight", t, s, float(w)
-        before = self.focus
-        if before >= 0 and len(self.neighbours[before]) and self.random() < FOLLOW:
-            near = self.neighbours[before]
+        before, weight = self.focus, 0.0
+        near = self.neighbours[before]
+        if len(near) and self.random() < FOLLOW:
             at = pick(self.weights[before] * novelty(self.visits[near]), self.random())
-            node, kind, weight = int(near[at]), "synapse", float(self.weights[before][at])
+            node, weight = int(near[at]), float(self.weights[before][at])
         else:
-            node, kind, weight = self._jump(), "neuron", 0.0
+            node = self._jump()
         self.focus = node
         self.visits[node] += 1
-        self.act[self.neighbours[node]] = np.minimum(1.0, self.act[self.neighbours[node]] + np.maximum(0.0, self.weights[node]) * GAIN)
         self.act[node] = 1.0
-        return kind, node, before, weight
+        near, weights = self.neighbours[node], self.weights[node]
+        self.act[near] = np.minimum(1.0, self.act[near] + np.maximum(0.0, weights) * GAIN)
+        fired = [("neuron", node, before, weight), *(("synapse", int(j), node, float(w)) for j, w in zip(near, weights, strict=True))]
+        if len(self.far) and self.random() < DREAM:
+            s, t, w = self.far[int(self.random() * len(self.far))]
+            self.act[[int(s), int(t)]] = 1.0
+            fired.append(("insight", int(t), int(s), float(w)))
+        return fired
 
 
 def walk(edges: DataFrame, walkers: int, steps: int, seed: int = 7) -> DataFrame:
-    """walker, step, kind, node, came_from, weight. ``edges(s, t, w, is_long)``; node ids are those of the edges."""
+    """walker, step, kind (neuron, synapse, insight), node, came_from, weight. ``edges(s, t, w, is_long)``; ids are the edges'.
+
+    A neuron comes from the one attended to before; its weight is that of the synapse followed, or 0 after a jump.
+    """
     spark = edges.sparkSession
     ship(spark)
     n_edges = edges.count()
@@ -90,10 +95,10 @@ def walk(edges: DataFrame, walkers: int, steps: int, seed: int = 7) -> DataFrame
         ids, near, weight, far = graph.value
         me = int(group["walker"].iloc[0])
         walker = Walker(len(ids), near, weight, far, np.random.default_rng((seed, me)).random)
-        rows = [(me, k, *walker.step()) for k in range(steps)] if len(ids) else []
+        rows = [(me, k, *event) for k in range(steps) for event in walker.step()] if len(ids) else []
         out = pd.DataFrame(rows, columns=["walker", "step", "kind", "node", "came_from", "weight"])
         out["node"] = [ids[x] for x in out["node"]]
-        out["came_from"] = [ids[x] if x >= 0 else -1 for x in out["came_from"]]
+        out["came_from"] = [ids[x] for x in out["came_from"]]
         return out
 
     return spark.range(walkers).select(F.col("id").alias("walker")).groupBy("walker").applyInPandas(run, "walker long, step long, kind string, node long, came_from long, weight double")

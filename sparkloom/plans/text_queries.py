@@ -74,9 +74,8 @@ def sentence_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def passage_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir)
-    files = docs.select("doc_id", F.concat_ws("/", F.lit("corpus"), "source", F.concat(F.col("doc_id").cast("string"), F.lit(".md"))).alias("name"))
-    return passages.to_concepts(passages.split(docs.select("doc_id", "text")), files).select("doc_id", F.col("passage_idx").cast("long").alias("passage_idx"), "id", "label", "domain", F.md5("text").alias("md5"))
+    name = F.concat_ws("/", F.lit("corpus"), "source", F.concat(F.col("doc_id").cast("string"), F.lit(".md")))
+    return passages.to_concepts(passages.split(_docs(spark, sf_dir).select("doc_id", name.alias("name"), "text"))).select("doc_id", F.col("passage_idx").cast("long").alias("passage_idx"), "id", "label", "domain", F.md5("text").alias("md5"))
 
 
 def short_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

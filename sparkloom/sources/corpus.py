@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import passages
+from ..staging import stage
 
 # What is read, and folders that are not looked into.
 TEXT_SUFFIXES = ("md", "markdown", "mdx", "txt", "text", "rst")
-SKIP_DIRS = (".git", "node_modules", "__pycache__", ".venv", "venv", "dist", "build")
+SKIP_DIRS = (".git", "node_modules", ".venv", "venv", "dist", "__pycache__", ".obsidian")
 MIN_TRACE, MIN_RECORD, CAP = 30, 20, 600
 
 TRACE = "role string, type string, entry string, text string, summary string, body string, content string, message struct<role:string,content:string>"
@@ -24,12 +25,17 @@ RECORD = "label:string,name:string,domain:string,text:string,summary:string,body
 
 
 def files(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = TEXT_SUFFIXES) -> DataFrame:
-    """(doc_id, name, text) of all text files under ``folder``; numbered in order of their paths, bad bytes left out."""
+    """(doc_id, name, text) of all text files under ``folder``; bad bytes are left out.
+
+    Numbers rise with the paths, and have gaps. Paths alone are sorted, over as many tasks as they need; texts only meet them.
+    """
     glob = "*.{" + ",".join(sorted({v for s in suffixes for v in (s, s.upper())})) + "}"
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder)
     skipped = "/(" + "|".join(s.replace(".", r"\.") for s in SKIP_DIRS) + ")/"
     rows = raw.where(~F.col("path").rlike(skipped)).select(F.col("path").alias("name"), F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("\ufffd"), F.lit("")).alias("text"))
-    return rows.select((F.row_number().over(W.orderBy("name")) - 1).cast("long").alias("doc_id"), "name", "text")
+    ordered = rows.select("name").repartitionByRange("name").sortWithinPartitions("name")
+    numbers = stage(ordered.select("name", F.monotonically_increasing_id().alias("doc_id")), "file-numbers")
+    return rows.join(numbers, "name").select("doc_id", "name", "text")
 
 
 def corpus(spark: SparkSession, path: str) -> DataFrame:
@@ -86,8 +92,7 @@ def ingest(named: DataFrame) -> tuple[DataFrame, DataFrame]:
     traces, arrays = _rows_of_traces(routed.where("kind = 'trace'")), _rows_of_records(routed.where("kind = 'records'"))
     texts = routed.where("kind = 'text'").select(F.xxhash64("name").alias("doc_id"), "name", "text")
     long_enough = texts.where(F.length(T.clean_markdown(F.col("text"))) >= passages.MIN)
-    prose = passages.to_concepts(passages.split(long_enough), texts).join(texts.select("doc_id", "name"), "doc_id")
-    prose = prose.select("name", F.col("passage_idx").alias("at"), "id", "label", "domain", "text", "source")
+    prose = passages.to_concepts(passages.split(long_enough)).select("name", F.col("passage_idx").alias("at"), "id", "label", "domain", "text", "source")
     rest = _structured(traces).unionByName(_structured(arrays)).withColumn("source", F.lit(None).cast("string"))
     first = F.row_number().over(W.partitionBy("id").orderBy("name", "at"))
     concepts = prose.unionByName(rest).withColumn("_at", first).where("_at = 1").select("id", "label", "domain", "text", "source")

@@ -96,7 +96,13 @@ def test_layout_has_its_radii_and_no_mean(nodes):
 def test_walk_follows_edges_dreams_and_is_repeatable(spark):
     ring = spark.createDataFrame([(min(k, (k + 1) % 6), max(k, (k + 1) % 6), 0.9, k == 2) for k in range(6)], "s long, t long, w double, is_long boolean")
     rows = walk.walk(ring, 3, 120).collect()
-    assert len(rows) == 360 and {r.kind for r in rows} == {"neuron", "synapse", "insight"}
+    by = {k: [r for r in rows if r.kind == k] for k in ("neuron", "synapse", "insight")}
+    assert len(by["neuron"]) == 360 and len(by["synapse"]) == 720 and 20 < len(by["insight"]) < 80 and len(rows) == sum(map(len, by.values()))
+    follows = [r for r in by["neuron"] if r.weight > 0]
+    assert 200 < len(follows) < 320 and all((r.node - r.came_from) % 6 in (1, 5) for r in follows)
+    for w in range(3):  # a dream moves no attention: each neuron comes from the one before
+        path = sorted((r.step, r.came_from, r.node) for r in by["neuron"] if r.walker == w)
+        assert all(b[1] == a[2] for a, b in zip(path, path[1:], strict=False))
     assert all((r.node - r.came_from) % 6 in (1, 5) for r in rows if r.kind == "synapse") and all({r.node, r.came_from} == {2, 3} for r in rows if r.kind == "insight")
     assert rows == walk.walk(ring, 3, 120).collect()
     assert walk.pick(np.array([0.0, 3.0, 1.0]), 0.74) == 1 and walk.pick(np.zeros(4), 0.5) == 2 and walk.novelty(1) == 0.5
