@@ -9,7 +9,9 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from sparkloom.llm import exact_dedup, simhash, substring
+from pyspark.sql import functions as F
+
+from sparkloom.llm import exact_dedup, langid, pii, simhash, substring
 from sparkloom.llm._xxh64 import xxh64
 from sparkloom.llm.components import components, fold_labels
 
@@ -130,6 +132,42 @@ def test_link_splits_hot_groups_without_losing_links(spark):
     assert {frozenset(g) for g in groups.values()} == {frozenset(g) for g in got.values()}
 
 
+def test_similar_texts_equal_brute_force(make, prose, monkeypatch):
+    monkeypatch.setattr("sparkloom.llm.pair_tasks.SMALL", 20)
+    hub = " ".join(f"hub{i % 97}x{i}" for i in range(150)).split()
+    copies = [" ".join([*hub[:k], "other", *hub[k + 1 :]]) for k in range(0, 150, 3)]  # 0.93 with the hub, less with each other
+    texts = [None, "", "a b", *prose, " ".join(hub), *copies, " ".join(hub[:75] + prose[0].split())]
+    w = [WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for t in texts]
+    sets = [{tuple(x[i : i + 5]) for i in range(max(1, len(x) - 4))} if x else set() for x in w]
+    near = lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b)
+    want = reach(len(texts), [(a, b) for a in range(len(texts)) for b in range(a) if near(sets[a], sets[b])])
+    got = {r.doc_id: r.component_id for r in simhash.similar_texts(make(texts)).collect()}
+    assert got == dict(enumerate(want)) and len(set(want)) < len(texts) - 50
+    assert {r.doc_id for r in simhash.deduplicate(make(texts)).collect()} == set(want)
+
+
+def test_rows_that_repeat_an_id_are_decided_one_by_one(make):
+    a, b = "one two three four five six seven", "entirely other words stand in this text here"
+    docs = make([(1, a), (1, a + " "), (1, b), (None, b), (None, "x"), (None, "x"), (7, a)])
+    for kept in (simhash.deduplicate(docs), exact_dedup.deduplicate(docs)):
+        assert sorted(r.text.strip() for r in kept.collect()) == sorted([a, b, "x"]) and kept.columns == docs.columns
+
+
+CLASH = ["_sha", "_points", "_rank", "_kept", "row_number", "gone_id", "_spans", "spans", "hits_ip", "_hits_ip", "component_id", "node", "root"]
+
+
+@pytest.mark.parametrize("apply", [exact_dedup.deduplicate, simhash.deduplicate, pii.redact, langid.keep_identified])
+def test_stages_keep_columns_whatever_their_names_and_take_empty_tables(spark, apply):
+    rows = [(i, t, "en", *range(len(CLASH))) for i, t in enumerate(["a b c d e f", "a b c d e f ", None, "", "mail x@y.zz 1.2.3.4", "m n"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, " + ", ".join(f"{c} int" for c in CLASH))
+    out = apply(docs)
+    assert out.columns == docs.columns and all(r[3:] == tuple(range(len(CLASH))) for r in out.collect())
+    assert apply(docs.where("false")).count() == 0
+    named = docs.select(F.concat(F.lit("d"), "doc_id").alias("doc_id"), *docs.columns[1:])
+    # Ids that are no whole numbers count as none; languages aren't learned from such rows, so that none is known.
+    assert (apply(named).count() > 0) == (apply is not langid.keep_identified)
+
+
 def test_simhash_null_ids_empty_table_and_columns(make):
     docs = make([(None, "a b c d"), (4, "a b c d"), (9, "A b c d")])
     assert sorted((r.doc_id or 0, r.component_id) for r in simhash.near_duplicates(docs).collect()) == [(0, 4), (4, 4), (9, 4)]
@@ -176,5 +214,40 @@ def test_repeats_equal_brute_force(make, odd, prose, window, seed, monkeypatch):
     assert len(rows) == len(texts) and sum(x[1] for x in want) > 0
 
 
+def test_words_are_removed_by_matches_alone(make, prose, monkeypatch):
+    from sparkloom.llm._shared import utf8
+
+    texts = [prose[3], f"first {prose[3]} last", prose[4]]
+    chunk = substring._Chunk(utf8(pa.array(texts)), 12)
+    none = np.zeros(0, np.uint8)
+    assert substring._marked(chunk, none).sum() == 2 * len(prose[3].split())
+    found = substring._occurrences
+    monkeypatch.setattr(substring, "_occurrences", lambda w, patterns, window: found(w, patterns, window)[:0])
+    assert substring._marked(chunk, none).sum() == 0
+
+
+def test_colliding_hashes_change_nothing(prose, monkeypatch):
+    from sparkloom.llm._shared import utf8
+
+    keys = substring._Chunk.window_keys
+
+    def weak(self, at):
+        out = keys(self, at)
+        out["a"] = (out["a"] >> np.uint64(1) & np.uint64(3)) << np.uint64(1)
+        return out
+
+    def worst(self, at):
+        return np.zeros(len(at), substring._KEY)
+
+    texts = [prose[3], f"first {prose[3]} last", prose[4], prose[5]]
+    chunk, sent = substring._Chunk(utf8(pa.array(texts)), 12), np.frombuffer((prose[5] + "\n" + prose[6] + "\n").encode(), np.uint8)
+    want = substring._marked(chunk, sent)
+    assert want.sum() == 2 * len(prose[3].split()) + len(prose[5].split())
+    monkeypatch.setattr(substring._Chunk, "window_keys", weak)
+    assert (substring._marked(chunk, sent) == want).all()
+    monkeypatch.setattr(substring._Chunk, "window_keys", worst)
+    assert not (substring._marked(chunk, sent) & ~want).any()  # nothing is removed that doesn't recur, whatever the hashes
+
+
 def test_repeats_empty_table(make):
     assert substring.remove_repeats(make(["a"]).where("false")).count() == 0

@@ -280,6 +280,16 @@ def test_packed_ids_of_queries_are_the_librarys_defaults(spark, tmp_path):
         assert got == {i: (0, len(x), len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in want.items()}
 
 
+def test_other_tokenizers_encode_whole_texts(make):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    t, texts = Tokenizer.from_file(path), ["Two  spaces and\tTabs", "Upper Case, ünï", "", None]
+    t.encode_special_tokens = True
+    rows = {r.doc_id: list(r.ids) for r in packing.pack(make(texts), "byte_bpe_50k.json", with_ids=True).collect()}
+    assert rows == {i: [*t.encode(x or "", add_special_tokens=False).ids, 1] for i, x in enumerate(texts)}
+
+
 def test_packing_keeps_null_ids_and_repeats(make):
     rows = packing.pack(make([(None, "a"), (3, "b"), (3, "b")]), VOCABULARY).collect()
     assert sorted((r.doc_id or 0) for r in rows) == [0, 3, 3] and len({r.sequence_id for r in rows}) == 1

@@ -51,6 +51,13 @@ def test_very_long_runs_do_not_break(make, odd):
     assert pii.report(make([t for t in odd if t and len(t) >= 20_000])).count() == 4
 
 
+def test_iban_ends_where_its_country_says(make):
+    texts = ["DE89 3704 0044 0532 0130 00 BIC COBADEFF", "DE89370400440532013000 Bank", "GB82WEST12345698765432 I paid", "DE8937040044053201300", "XX89370400440532013000"]
+    rows = {r.doc_id: r.spans for r in pii.report(make(texts)).collect()}
+    found = [[texts[i][int(a) : int(b)] for k, a, b in (s.split(":") for s in rows[i].split(",") if s) if k == "iban"] for i in range(5)]
+    assert found == [["DE89 3704 0044 0532 0130 00"], ["DE89370400440532013000"], ["GB82WEST12345698765432"], [], []]
+
+
 def test_iban_is_confirmed_by_mod_97(make):
     spans = pii.report(make(TEXTS)).where("doc_id = 4").first().spans
     assert [TEXTS[4][int(a) : int(b)] for k, a, b in (s.split(":") for s in spans.split(",")) if k == "iban"] == ["GB82 WEST 1234 5698 7654 32", "DE89370400440532013000"]

@@ -38,3 +38,19 @@ def test_all_queries_are_registered():
 
     assert {"pipeline", *QUERIES} <= set(__spark_entry__.queries())
     assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
+
+
+def test_all_stages_take_odd_rows_empty_tables_and_further_columns(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row_number int, spans string"
+    rows = [(i, " ".join(["the", "thing", "is", f"w{i}"] * 9), "en", "s", 1, 7, "k") for i in range(12)]
+    rows += [(None, None, None, None, None, None, None), (20, "", "en", None, 0, 1, ""), (3, rows[3][1], "en", "s", 1, 7, "k"), (None, "Mail me at a.b@c.de, the thing", None, None, 3, 2, "x"), (30, "long " * 20_000, "en", "s", 1, 1, "")]
+    full = spark.createDataFrame(rows, schema)
+    for name, docs in (("full", full), ("empty", full.where("false"))):
+        (tmp_path / name).mkdir()
+        docs.write.parquet(str(tmp_path / name / "documents.parquet"))
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, str(tmp_path / name))
+            assert k == 4 or out.columns == full.columns
+            out.write.parquet(str(tmp_path / name / str(k)))
+            docs = spark.read.parquet(str(tmp_path / name / str(k)))
+        assert (docs.count() > 0) == (name == "full")
