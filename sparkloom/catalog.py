@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import graph_queries, pipelines, rule_queries, sequence_queries, text_queries
+from .plans import graph_queries, pipelines, rule_queries, sequence_queries, session_queries, text_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = (graph_queries, sequence_queries, text_queries, rule_queries, pipelines)
+_MODULES = (graph_queries, sequence_queries, session_queries, text_queries, rule_queries, pipelines)
 
 QUERIES: dict[str, Query] = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES: dict[str, str] = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}

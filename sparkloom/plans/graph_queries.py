@@ -169,6 +169,17 @@ ORACLES = {
         FROM near m JOIN sets a ON m.i = a.i JOIN sets b ON m.j = b.i WHERE m.rk = 1""",
     "bridge_candidates": f"{_BASE} SELECT i, j, rk, round(sim, 6) AS sim FROM cand",
     "surprise_ranked": f'{_BASE} SELECT i, j, round(sim, 4) AS sim, round(overlap, 4) AS overlap, "cross", same_source, round(score, 4) AS score FROM scored',
+    "bridges_diverse": f"""{_BASE.replace("WITH", "WITH RECURSIVE", 1)},
+        ranked AS MATERIALIZED (SELECT i, j, score, row_number() OVER (ORDER BY score DESC, i, rk) AS place FROM scored), most AS MATERIALIZED (SELECT greatest(8, n // 4) AS n FROM n),
+        go AS (
+            SELECT 0::BIGINT AS place, NULL::BIGINT AS i, NULL::BIGINT AS j, NULL::DOUBLE AS score, false AS took, []::BIGINT[] AS ends
+            UNION ALL
+            SELECT place, i, j, score, took, CASE WHEN took THEN list_concat(ends, [i, j]) ELSE ends END FROM (
+                SELECT r.place, r.i, r.j, r.score, g.ends, len(list_filter(g.ends, lambda x: x = r.i)) < {graph.USES} AND len(list_filter(g.ends, lambda x: x = r.j)) < {graph.USES} AS took
+                FROM go g JOIN ranked r ON r.place = g.place + 1, most WHERE len(g.ends) < 2 * most.n
+            )
+        )
+        SELECT i, j, round(score, 4) AS score FROM go WHERE took""",
     "bridge_cards": f"{_BASE} {_CARDS} SELECT i, j, why, angle FROM cards",
     "insight_digest": f"""{_BASE} {_CARDS}, numbered AS (SELECT *, row_number() OVER (ORDER BY score DESC, i, j) AS place FROM cards)
         SELECT string_agg(CAST(place AS VARCHAR) || '. **c' || CAST(i AS VARCHAR) || '** and **c' || CAST(j AS VARCHAR) || '**' || CASE WHEN "cross" THEN ' (cross-domain)' ELSE '' END || ': ' || why || ' ' || angle, chr(10) ORDER BY place) AS digest,

@@ -138,8 +138,7 @@ def _q(s: str) -> str:
     return s.replace("'", "''")
 
 
-def _redacted() -> str:
-    s = "text"
+def _redacted(s: str = "text") -> str:
     for pattern, to in T.SECRETS:
         s = f"regexp_replace({s}, '{_q(pattern)}', '{to.replace('$1$2', chr(92) + '1' + chr(92) + '2')}', 'g')"
     return s
@@ -149,12 +148,94 @@ _RED = _redacted()
 _SENT = rf"regexp_extract_all(text, '[^.!?]+[.!?]+(?:{_WS}|$)|[^.!?]+$')"
 _TRIMMED = f"regexp_replace(text, '^{_WS}+|{_WS}+$', '', 'g')"
 
+
+def _trim(s: str) -> str:
+    return f"regexp_replace({s}, '^{_WS}+|{_WS}+$', '', 'g')"
+
+
+def _slugged(s: str, limit: int, otherwise: str) -> str:
+    return f"coalesce(nullif(left(regexp_replace(regexp_replace(lower({s}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), {limit}), ''), '{otherwise}')"
+
+
+def _words(s: str, n: int) -> str:
+    return f"array_to_string(list_slice(regexp_split_to_array({s}, '{_WS}+'), 1, {n}), ' ')"
+
+
+def _pieces(s: str) -> str:
+    """A list of sentences packed in order into pieces of at most 900 characters."""
+    found = _SENT.replace("(text,", f"({s},")
+    states = f"list_transform(CASE WHEN len({found}) = 0 THEN [{s}] ELSE {found} END, lambda x: {{'buf': x, 'out': []::VARCHAR[]}})"
+    put = f"CASE WHEN length(a.buf) + length(b.buf) > {passages.TARGET} THEN {{'buf': b.buf, 'out': list_append(a.out, a.buf)}} ELSE {{'buf': a.buf || b.buf, 'out': a.out}} END"
+    whole = f"[list_reduce({states}, lambda a, b: {put})]"
+    return f"list_filter(list_transform(flatten(list_transform({whole}, lambda s: list_append(s.out, s.buf))), lambda x: {_trim('x')}), lambda x: x <> '')"
+
+
+_LINE_HEAD = r"#{1,6}[ \t]"
+_TITLE = f"regexp_extract(text, '(?m)^{_WS}*{_LINE_HEAD}+(.*)$', 1)"
+_PASSAGES = f"""
+    WITH RECURSIVE doc AS (SELECT doc_id, source, text, {_trim(_TITLE)} AS title FROM documents),
+    cut AS (SELECT doc_id, title, unnest(s) AS section, generate_subscripts(s, 1) AS sat FROM (
+        SELECT doc_id, title, string_split(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '\n([ \t\x0B\f\r]*{_LINE_HEAD})', chr(1) || '\1', 'g'), chr(1)) AS s FROM doc)),
+    headed AS (SELECT doc_id, title, sat, section, split_part(section, chr(10), 1) AS line, regexp_matches(split_part(section, chr(10), 1), '^{_WS}*{_LINE_HEAD}') AS has FROM cut),
+    body AS (SELECT doc_id, sat, CASE WHEN has THEN {_trim(f"regexp_extract(line, '^{_WS}*{_LINE_HEAD}+(.*)$', 1)")} ELSE title END AS heading,
+        string_split_regex(CASE WHEN has THEN substr(section, length(line) + 2) ELSE section END, '\n{_WS}*\n') AS b FROM headed),
+    raw AS (SELECT doc_id, sat, heading, unnest(b) AS text, generate_subscripts(b, 1) AS pat FROM body),
+    plain AS (SELECT doc_id, sat, pat, heading, {_STRIP} AS text FROM raw),
+    para AS MATERIALIZED (SELECT doc_id, heading, text, row_number() OVER w AS place, coalesce(heading <> lag(heading) OVER w, true) AS moved, length(text) > {passages.TARGET} AS wall,
+        CASE WHEN length(text) > {passages.TARGET} THEN {_pieces("text")} END AS pieces FROM plain WHERE text <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY sat, pat)),
+    -- one step a paragraph: what it lets out in order, each as text that is a new passage or is glued to the last one of its heading
+    fold AS (
+        SELECT doc_id, 0::BIGINT AS place, '' AS heading, '' AS buf, []::STRUCT(h VARCHAR, t VARCHAR, short BOOLEAN)[] AS lets FROM doc
+        UNION ALL
+        SELECT p.doc_id, p.place, p.heading, CASE WHEN p.wall OR length(p.joined) >= {passages.MIN} THEN '' ELSE p.joined END,
+            CASE WHEN p.old <> '' THEN [{{'h': p.old_heading, 't': p.old, 'short': length({_trim("p.old")}) < {passages.MIN}}}] ELSE []::STRUCT(h VARCHAR, t VARCHAR, short BOOLEAN)[] END
+            || CASE WHEN p.wall THEN list_transform(p.pieces, lambda x: {{'h': p.heading, 't': x, 'short': false}})
+                    WHEN length(p.joined) >= {passages.MIN} THEN [{{'h': p.heading, 't': p.joined, 'short': length({_trim("p.joined")}) < {passages.MIN}}}] ELSE []::STRUCT(h VARCHAR, t VARCHAR, short BOOLEAN)[] END
+        FROM (
+            SELECT q.*, f.heading AS old_heading, CASE WHEN q.moved OR q.wall THEN f.buf ELSE '' END AS old, CASE WHEN q.moved OR f.buf = '' THEN q.text ELSE f.buf || ' ' || q.text END AS joined
+            FROM fold f JOIN para q ON q.doc_id = f.doc_id AND q.place = f.place + 1
+        ) p
+    ),
+    ends AS (SELECT doc_id, place, lets FROM fold UNION ALL
+        SELECT doc_id, max(place) + 1, [{{'h': arg_max(heading, place), 't': arg_max(buf, place), 'short': length({_trim("arg_max(buf, place)")}) < {passages.MIN}}}] FROM fold GROUP BY doc_id HAVING arg_max(buf, place) <> ''),
+    flat AS (SELECT doc_id, place, unnest(lets) AS l, generate_subscripts(lets, 1) AS k FROM ends),
+    let AS (SELECT doc_id, place, k, l.h AS h, {_trim("l.t")} AS t, l.short AS short, lag(l.h) OVER w AS before FROM flat WHERE {_trim("l.t")} <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY place, k)),
+    made AS (SELECT doc_id, h, t, place, k, count(*) FILTER (WHERE NOT (short AND before IS NOT DISTINCT FROM h AND before IS NOT NULL)) OVER (PARTITION BY doc_id ORDER BY place, k) AS g FROM let),
+    glued AS (SELECT doc_id, g, min(h) AS heading, {_trim("string_agg(t, ' ' ORDER BY place, k)")} AS text FROM made GROUP BY doc_id, g),
+    kept AS (SELECT doc_id, heading, text, row_number() OVER (PARTITION BY doc_id ORDER BY g) - 1 AS passage_idx FROM glued WHERE length(text) >= {passages.MIN}),
+    named AS (
+        SELECT k.*, d.source AS folder, d.title, CAST(d.doc_id AS VARCHAR) AS stem, count(*) OVER (PARTITION BY k.doc_id) > 1 AS several, left(coalesce(nullif(d.title, ''), CAST(d.doc_id AS VARCHAR)), 60) AS doc_label
+        FROM kept k JOIN doc d ON k.doc_id = d.doc_id WHERE passage_idx < {passages.PER_DOC}
+    ),
+    concept AS (
+        SELECT doc_id, passage_idx, 'corpus/' || folder || '/' || stem || CASE WHEN several THEN '-' || passage_idx ELSE '' END AS name, folder,
+            CASE WHEN heading <> '' AND heading <> title THEN heading WHEN several THEN doc_label || ' — ' || {_words("text", 5)} ELSE doc_label END AS label,
+            CASE WHEN heading <> '' THEN heading || '. ' || text ELSE text END AS whole FROM named
+    )
+"""
+_TRACE_WS = _trim(f"regexp_replace(text, '{_WS}+', ' ', 'g')")
+_TRACE = f"""
+    WITH body AS (SELECT 'conv' || conv_id || '.jsonl' AS file, role, {_TRACE_WS} AS body, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS place FROM conversations)
+"""
+
 QUERIES = {f.__name__: f for f in (
     slugify_labels, first_words_label, trim_to_limit, clean_markdown, strip_markdown, redact_documents, leak_flags, escape_pages, short_numbers, tool_names,
     sentence_counts, sentence_chunks, passage_concepts, short_documents, trace_concepts, ingest_notes, manifest, parsed_times, last_first_per_id,
 )}
 
 ORACLES = {
+    "short_numbers": """WITH s AS (SELECT source, sum(n_chars)::BIGINT AS one, sum(n_chars)::BIGINT * 10000 AS n FROM documents GROUP BY source)
+        SELECT source, CASE WHEN n >= 1000000000 THEN printf('%.1f', round(n / 1e9, 1)) || 'B' WHEN n >= 1000000 THEN printf('%.1f', round(n / 1e6, 1)) || 'M' ELSE format('{:,}', n) END AS shown,
+               CASE WHEN one >= 1000000000 THEN printf('%.1f', round(one / 1e9, 1)) || 'B' WHEN one >= 1000000 THEN printf('%.1f', round(one / 1e6, 1)) || 'M' ELSE format('{:,}', one) END AS plain FROM s""",
+    "sentence_chunks": f"""WITH p AS (SELECT doc_id, {_STRIP} AS text FROM documents), c AS (SELECT doc_id, {_pieces("text")} AS c FROM p), r AS (SELECT doc_id, unnest(c) AS piece, generate_subscripts(c, 1) - 1 AS place FROM c)
+        SELECT doc_id, place AS "at", length(piece) AS n, md5(piece) AS md5 FROM r""",
+    "passage_concepts": f"""{_PASSAGES} SELECT doc_id, passage_idx, {_slugged("name", 60, "c")} AS id, {_redacted("left(label, 60)")} AS label, {_slugged("folder", 20, "note")} AS domain,
+        md5({_redacted(f"left(whole, {passages.CAP})")}) AS md5 FROM concept""",
+    "trace_concepts": f"""{_TRACE} SELECT {_slugged("file", 60, "c")} || '-' || place AS id, {_redacted(f"left({_words('body', 6)}, 60)")} AS label, {_slugged("role", 20, "trace")} AS domain,
+        md5({_redacted(f"left(body, {corpus.CAP})")}) AS md5 FROM body WHERE length(body) >= {corpus.MIN_TRACE}""",
+    "ingest_notes": f"""{_TRACE}, c AS (SELECT file, count(*) AS n, count(*) FILTER (WHERE length(body) >= {corpus.MIN_TRACE}) AS k FROM body GROUP BY file)
+        SELECT file, CASE WHEN k = 0 THEN 'error' WHEN k < n THEN 'warn' ELSE 'info' END AS level,
+               CASE WHEN k = 0 THEN 'no usable text in ' || n || ' entries' ELSE k || ' of ' || n || ' entries used, 0 broken, ' || (n - k) || ' too short' END AS message FROM c""",
     "slugify_labels": f"SELECT doc_id, {_SLUG} AS slug FROM documents",
     "last_first_per_id": f"SELECT {_SLUG} AS slug, min(doc_id) AS doc_id FROM documents GROUP BY 1",
     "first_words_label": f"SELECT doc_id, array_to_string(list_slice(regexp_split_to_array(text, '{_WS}+'), 1, 6), ' ') AS label FROM documents",
