@@ -16,12 +16,13 @@ from __future__ import annotations
 
 import os
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import Path
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -135,7 +136,7 @@ class Codec:
             steps += [normalizers.Strip(), normalizers.Replace(Regex(" {2,}"), " ")]
         steps += [normalizers.Prepend(MARK)] * proto.dummy_prefix + [normalizers.Replace(" ", MARK)] * proto.escape
         tokenizer.normalizer = normalizers.Sequence(steps)
-        tokenizer.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *[decoders.Strip(" ", 1, 0)] * proto.dummy_prefix])
+        tokenizer.decoder = decoders.Sequence([decoders.Metaspace(MARK, "never"), decoders.ByteFallback(), decoders.Fuse(), *[decoders.Strip(" ", 1, 0)] * proto.dummy_prefix])
         return tokenizer
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
@@ -152,6 +153,13 @@ class Codec:
         return [a == b for a, b in zip(ids, self._reference.encode(texts, num_threads=1), strict=True)]
 
 
+def _little_endian(ids: list[int]) -> array:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out
+
+
 _loaded: dict[str, Codec] = {}
 
 
@@ -174,7 +182,7 @@ def encode(docs: DataFrame, model: str, with_ids: bool = True) -> DataFrame:
                 texts = [raw[a:b].decode() for a, b in zip(bounds, bounds[1:], strict=False)]
                 ids = own.encode_batch(texts)
                 same = [x == t for x, t in zip(own.decode_batch(ids), texts, strict=True)]
-                crc = [zlib.crc32(np.array(x, "<u4").tobytes()) for x in ids]
+                crc = [zlib.crc32(_little_endian(x)) for x in ids]
                 columns = [part.column(0), pa.array(list(map(len, ids)), pa.int64()), pa.array(crc, pa.int64()), pa.array(own.parity(texts, ids), pa.bool_()), pa.array(same, pa.bool_())]
                 names = ["doc_id", "n_ids", "ids_crc32", "parity", "round_trip"]
                 if with_ids:
