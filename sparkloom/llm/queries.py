@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, itq, kneser_ney, langid, packing, pii, sentencepiece_codec, sharding, simhash, substring
+from . import centroids, exact_dedup, itq, kneser_ney, langid, packing, pii, sentencepiece_codec, sharding, simhash, substring
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -69,6 +69,11 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(_documents(spark, sf_dir))
 
 
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All usable vectors in 8 clusters after 10 rounds."""
+    return centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).drop("centroid")
+
+
 QUERIES: dict[str, Query] = {
     "op1_sharding": op1_sharding,
     "op2_kneser_ney": op2_kneser_ney,
@@ -80,8 +85,34 @@ QUERIES: dict[str, Query] = {
     "op8_itq": op8_itq,
     "op9_langid": op9_langid,
     "op10_substring": op10_substring,
+    "op12_centroids": op12_centroids,
 }
 
+
+def _lloyd_sql(k: int, rounds: int) -> str:
+    """Round after round as one chain of tables: ``c`` are centroids, ``a`` nearest ones."""
+    near = "SELECT v.vec_id, v.q, min((list_sum(list_transform(list_zip(v.q, c.q), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT, c.c)) AS best FROM v CROSS JOIN c{i} c GROUP BY v.vec_id, v.q"
+    near = near.replace("min((", "min(ROW(")
+    parts = [
+        "x AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) = 64)",
+        "v AS MATERIALIZED (SELECT vec_id, list_transform(e, lambda x: CAST(floor(1024 * x) AS BIGINT)) AS q FROM x WHERE len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0)",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c, q FROM v QUALIFY c < {k})",
+    ]
+    for i in range(rounds + 1):
+        parts.append(f"a{i} AS MATERIALIZED ({near.replace('{i}', str(i))})")
+        if i < rounds:
+            parts.append(f"d{i} AS (SELECT best[2] AS c, unnest(range(64)) AS d, unnest(q) AS x FROM a{i})")
+            parts.append(f"m{i} AS (SELECT c, d, CAST(floor(sum(x)::DOUBLE / count(*)) AS BIGINT) AS x FROM d{i} GROUP BY c, d)")
+            parts.append(f"n{i} AS (SELECT c, list(x ORDER BY d) AS q FROM m{i} GROUP BY c)")
+            parts.append(f"c{i + 1} AS MATERIALIZED (SELECT o.c, coalesce(n.q, o.q) AS q FROM c{i} o LEFT JOIN n{i} n ON o.c = n.c)")
+    parts.append(f"r AS (SELECT vec_id, CAST(best[2] AS INTEGER) AS cluster, best[1] AS distance FROM a{rounds})")
+    return f"""
+        WITH {", ".join(parts)}
+        SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+               sha256(array_to_string(c.q, ',')) AS centroid_sha256
+        FROM r JOIN c{rounds} c ON c.c = r.cluster
+    """
+
 ORACLES: dict[str, str] = {
     "op5_exact_dedup": r"""
         WITH d AS (
@@ -116,4 +147,5 @@ ORACLES: dict[str, str] = {
         k AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE gone = 1) AS n_removed, coalesce(string_agg(CASE WHEN gone = 0 THEN word END, ' ' ORDER BY pos), '') AS kept FROM m GROUP BY doc_id)
         SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k ON d.doc_id = k.doc_id
     """,
+    "op12_centroids": _lloyd_sql(8, 10),
 }
