@@ -206,8 +206,8 @@ def _search_block(block: dict, items: pa.StructArray, n_docs: int, n_terms: int,
     first = np.concatenate(([0], np.cumsum(block["df"].to_numpy(zero_copy_only=False)))).astype(np.int64)
     impact = impacts(tf, n[doc], n_docs, n_terms)
     width = -(-len(n) // 64)
-    asked, weight = items.field("terms"), items.field("w").values.to_numpy(zero_copy_only=False)
-    own = pc.index_in(asked.values.cast(pa.string()), value_set=block["terms"].cast(pa.string())).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    asked, weight = items.field("terms"), items.field("w").flatten().to_numpy(zero_copy_only=False)
+    own = pc.index_in(asked.flatten().cast(pa.string()), value_set=block["terms"].cast(pa.string())).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
     item = np.repeat(np.arange(len(items)), np.diff(asked.offsets.to_numpy()))
     here = np.flatnonzero((own >= 0) & (weight > 0))
     bounds = np.searchsorted(item[here], np.arange(0, len(items) + SIDE_BY_SIDE, SIDE_BY_SIDE))
