@@ -78,6 +78,7 @@ class ChunkTable:
         spark = docs.sparkSession
         small_batches(spark)
         buckets = max(2 * input_partitions(docs), int(spark.conf.get("spark.sql.shuffle.partitions")))
+        buckets = min(buckets, int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
         name = f"sparkloom_chunks_{uuid.uuid4().hex}"
         rows = docs.mapInArrow(lambda batches: _gather(batches, chunk_bytes), "chunk long, docs binary")
         rows.write.bucketBy(buckets, "chunk").option("path", scratch_path(spark, "chunks")).option("compression", "none").saveAsTable(name)

@@ -31,7 +31,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import Utf8, long_id, small_batches, spread, stage, utf8
+from ._shared import long_id, small_batches, spread, stage, utf8
+from ._tokens import gathered, runs
 
 BLOCK_DOCS, BLOCK_BYTES = 1 << 14, 8 << 20
 #: Terms of the items that a task has at once, and items whose slices are summed side by side.
@@ -47,9 +48,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _INSIDE = np.ones(256, bool)
 for _lo, _hi in ((0x00, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F)):
     _INSIDE[_lo : _hi + 1] = False
-_FOLD = np.arange(256, dtype=np.uint8)
-_FOLD[ord("A") : ord("Z") + 1] += 32
-
 _BLOCK = "ids array<long>, n binary, terms array<string>, df array<int>, doc binary, tf binary, n_docs long, n_terms long"
 
 
@@ -58,26 +56,10 @@ def terms_of(column: Column) -> Column:
     return F.regexp_extract_all(F.translate(F.coalesce(column, F.lit("")), UPPER, LOWER), F.lit(TERM), F.lit(0))
 
 
-def _terms(text: Utf8) -> tuple[pa.Array, np.ndarray]:
-    """All terms of a batch and the document of each."""
-    inside = _INSIDE[text.data]
-    opens = inside.copy()
-    opens[1:] &= ~inside[:-1]
-    edge = text.offsets[:-1][np.diff(text.offsets) > 0]
-    opens[edge] |= inside[edge]
-    first = np.flatnonzero(opens)
-    kept = np.cumsum(inside)
-    ends = np.append(kept[first[1:] - 1], kept[-1]) if len(first) else np.zeros(0, np.int64)
-    offsets = np.concatenate(([0], ends)).astype(np.int64)
-    letters = _FOLD[text.data[inside]]
-    found = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(letters))
-    return found, np.searchsorted(text.offsets, first, side="right") - 1
-
-
 def _block(ids: pa.Array, text: pa.Array) -> pa.RecordBatch:
     order = pc.sort_indices(ids, null_placement="at_end")
     ids, text = ids.take(order), utf8(pc.cast(text, pa.large_string()).take(order))
-    found, doc = _terms(text)
+    found, doc = runs(text, _INSIDE)
     coded = found.dictionary_encode()
     n = np.bincount(doc, minlength=len(ids)).astype(np.int64)
     pairs, tf = np.unique(coded.indices.to_numpy().astype(np.int64) * len(ids) + doc, return_counts=True)
@@ -92,26 +74,8 @@ def _block(ids: pa.Array, text: pa.Array) -> pa.RecordBatch:
 
 def _blocks(most_docs: int, most_bytes: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        docs = size = 0
-
-        def emit() -> pa.RecordBatch:
-            table = pa.Table.from_batches(held).combine_chunks()
-            return _block(table["id"].chunk(0), table["text"].chunk(0))
-
-        for batch in batches:
-            ends = np.cumsum(np.diff(utf8(batch.column(1)).offsets))
-            at = 0
-            while at < batch.num_rows:
-                before = int(ends[at - 1]) if at else 0
-                to = min(batch.num_rows, at + most_docs - docs, int(np.searchsorted(ends, before + most_bytes - size)) + 1)
-                held.append(batch.slice(at, to - at))
-                docs, size, at = docs + to - at, size + int(ends[to - 1]) - before, to
-                if docs >= most_docs or size >= most_bytes:
-                    yield emit()
-                    held, docs, size = [], 0, 0
-        if held:
-            yield emit()
+        for table in gathered(batches, most_bytes, most_docs):
+            yield _block(table["id"].chunk(0), table["text"].chunk(0))
 
     return run
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, exact_dedup, itq, kneser_ney, langid, lexical, packing, pii, sentencepiece_codec, sharding, simhash, substring
+from . import centroids, exact_dedup, itq, kneser_ney, langid, language_model, lexical, packing, pii, sentencepiece_codec, sharding, simhash, substring
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -69,6 +69,11 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(_documents(spark, sf_dir))
 
 
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log probability under the model of six sevenths of them."""
+    return language_model.score_corpus(_documents(spark, sf_dir))
+
+
 def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All usable vectors in 8 clusters after 10 rounds."""
     return centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).drop("centroid")
@@ -90,6 +95,7 @@ QUERIES: dict[str, Query] = {
     "op8_itq": op8_itq,
     "op9_langid": op9_langid,
     "op10_substring": op10_substring,
+    "op11_lm_scoring": op11_lm_scoring,
     "op12_centroids": op12_centroids,
     "op13_lexical": op13_lexical,
 }
