@@ -5,6 +5,7 @@ Work on text is done on Arrow buffers with numpy, a batch of documents at a time
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import os
 from collections.abc import Iterator
@@ -19,7 +20,7 @@ from ..shipping import ship
 from ..staging import scratch_path, scratch_root, stage
 
 __all__ = [
-    "Utf8", "Words", "fresh", "input_partitions", "long_id", "scratch_path", "scratch_root", "slices", "small_batches", "spread", "stage", "tokenizer_path",
+    "Utf8", "Words", "fresh", "give_back", "input_partitions", "long_id", "released", "remove", "scratch_path", "scratch_root", "slices", "small_batches", "spread", "stage", "tokenizer_path",
     "unsigned_crc32", "utf8", "without", "words",
 ]
 
@@ -41,7 +42,7 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Returns memory that Arrow and the C library keep for later; workers are reused, and so is what they keep."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
@@ -49,6 +50,24 @@ def _give_back() -> None:
         trim(0)
 
 
+@contextlib.contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Within it, Spark deletes a query's shuffle files when the query ends; for queries that end in a written table."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a staged table's folder, in whatever store it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def slices(batch: pa.RecordBatch, text: int, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Runs of rows of about ``size`` bytes in the column ``text``; a row is never cut. Memory is given back after each batch."""
     ends = np.cumsum(np.diff(utf8(batch.column(text)).offsets))
@@ -58,7 +77,7 @@ def slices(batch: pa.RecordBatch, text: int, size: int = SLICE_BYTES) -> Iterato
         to = max(at + 1, int(np.searchsorted(ends, before + size)))
         yield batch.slice(at, to - at)
         at = to
-    _give_back()
+    give_back()
 
 
 def input_partitions(df: DataFrame) -> int:

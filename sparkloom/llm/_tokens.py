@@ -17,14 +17,14 @@ FOLD[ord("A") : ord("Z") + 1] += 32
 def runs(text: Utf8, inside: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     """The maximal runs of bytes that ``inside`` (one flag for each byte value) holds true, folded, and the document of each."""
     kept = inside[text.data]
-    opens = kept.copy()
+    opens, closes = kept.copy(), kept.copy()
     opens[1:] &= ~kept[:-1]
-    edge = text.offsets[:-1][np.diff(text.offsets) > 0]
-    opens[edge] |= kept[edge]
+    closes[:-1] &= ~kept[1:]
+    filled = np.diff(text.offsets) > 0
+    edge, last = text.offsets[:-1][filled], text.offsets[1:][filled] - 1
+    opens[edge], closes[last] = kept[edge], kept[last]
     first = np.flatnonzero(opens)
-    upto = np.cumsum(kept)
-    ends = np.append(upto[first[1:] - 1], upto[-1]) if len(first) else np.zeros(0, np.int64)
-    offsets = np.concatenate(([0], ends)).astype(np.int64)
+    offsets = np.concatenate(([0], np.cumsum(np.flatnonzero(closes) + 1 - first)))
     found = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(FOLD[text.data[kept]]))
     return found, np.searchsorted(text.offsets, first, side="right") - 1
 

@@ -13,7 +13,7 @@ sorted arrays of 64-bit hashes, one for each shard of the hash range, with the c
 
 Words and pairs are dealt by hash alone: each chunk names a word or a pair once, so that the commonest weighs as much as the
 rarest. Hashes stand for words; two words or pairs that share 64 bits would be counted as one (for a billion different ones
-the chance that any two do is 3 %).
+the chance that any two do is 3 %). A question carries 56 bits besides its shard.
 
 Defined cases: a null or empty text is one end; unknown words share the mass left to one more word; where a count of counts is
 missing, the discounts are 0.5, 1 and 1.5; a model without training tokens gives every token a probability of 1; repeated
@@ -32,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import input_partitions, long_id, small_batches, stage, unsigned_crc32, utf8
+from ._shared import give_back, input_partitions, long_id, released, remove, scratch_path, small_batches, stage, unsigned_crc32, utf8
 from ._tokens import gathered, runs
 from ._xxh64 import xxh64
 from .chunks import ChunkTable
 
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 8 << 20
 #: Shares of documents by hash of the id: the remainder ``HELD`` of ``SHARES`` is held out.
 SHARES, HELD = 7, 2
 
@@ -66,6 +66,12 @@ def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
+def within_shard(hashes: np.ndarray, shards: int) -> np.ndarray:
+    """56 bits that tell the hashes of one shard apart, in the same order; questions need no more."""
+    with np.errstate(over="ignore"):
+        return (hashes * np.uint64(shards)) >> np.uint64(8)
+
+
 def _planes(values: np.ndarray) -> bytes:
     """First bytes of all values, then second bytes and so on: the high ones are alike and compress."""
     return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
@@ -77,6 +83,11 @@ def _values(planes: bytes | pa.Buffer, kind: type) -> np.ndarray:
     return np.ascontiguousarray(flat.reshape(size, len(flat) // size).T).reshape(-1).view(kind)
 
 
+def _rows(planes: pa.Buffer, rows: int) -> np.ndarray:
+    """Several arrays of one length, each in planes."""
+    return np.stack([_values(p, np.uint64) for p in np.frombuffer(planes, np.uint8).reshape(rows, -1)])
+
+
 @dataclass
 class _Tokens:
     """``words`` are the hashes of a chunk's distinct tokens; ``v`` and ``w`` index them for each distinct pair.
@@ -124,6 +135,8 @@ def _count(shards: int):  # noqa: ANN202
                 code = code.astype(np.uint32)
                 rows.append((shard, t.words[named].tobytes(), _planes(code[: len(at)]), _planes(code[len(at) :]), _planes(t.count[at].astype(np.uint64))))
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], ["shard", "words", "v", "w", "n"])
+            del t, rows
+            give_back()
 
     return run
 
@@ -156,7 +169,7 @@ def _merge_pairs(shards: int):  # noqa: ANN202
         total = np.zeros(len(hashes), np.uint64)
         np.add.at(total, at, count)
         before, word = before[first], word[first]
-        rows = [(0, key[0].as_py(), hashes.tobytes(), total.astype(np.uint64).tobytes(), int(total.sum()), len(hashes), *_counts_of_counts(total))]
+        rows = [(0, key[0].as_py(), _planes(hashes), _planes(total), int(total.sum()), len(hashes), *_counts_of_counts(total))]
         known, at = np.unique(np.concatenate((before, word)), return_inverse=True)
         v, w = at[: len(before)], at[len(before) :]
         facts = np.zeros((len(FACTS), len(known)), np.uint64)
@@ -165,21 +178,21 @@ def _merge_pairs(shards: int):  # noqa: ANN202
         for i, kind in enumerate((total == 1, total == 2, total > 2)):
             facts[2 + i] = np.bincount(v[kind], minlength=len(known))
         for shard, at in _parts(shard_of(known, shards)):
-            rows.append((1, shards + shard, known[at].tobytes(), b"".join(_planes(f) for f in np.ascontiguousarray(facts[:, at])), *[None] * 6))
+            rows.append((1, shards + shard, _planes(known[at]), b"".join(_planes(f) for f in np.ascontiguousarray(facts[:, at])), *[None] * 6))
         return _table(rows)
 
     return run
 
 
 def _merge_words(key: tuple, table: pa.Table) -> pa.Table:
-    words = [np.frombuffer(b.as_buffer(), np.uint64) for b in table["hashes"]]
-    facts = [np.stack([_values(p, np.uint64) for p in np.frombuffer(b.as_buffer(), np.uint8).reshape(len(FACTS), -1)]) for b in table["facts"]]
+    words = [_values(b.as_buffer(), np.uint64) for b in table["hashes"]]
+    facts = [_rows(b.as_buffer(), len(FACTS)) for b in table["facts"]]
     known, at = np.unique(np.concatenate(words), return_inverse=True)
     out = np.zeros((len(FACTS), len(known)), np.uint64)
     every = np.concatenate(facts, axis=1)
     for i in range(len(FACTS)):
         np.add.at(out[i], at, every[i])
-    return _table([(1, key[0].as_py(), known.tobytes(), out.tobytes(), int(out[0].sum()), len(known), *_counts_of_counts(out[1]))])
+    return _table([(1, key[0].as_py(), _planes(known), b"".join(_planes(f) for f in out), int(out[0].sum()), len(known), *_counts_of_counts(out[1]))])
 
 
 def discounts(k1: int, k2: int, k3: int, k4: int) -> np.ndarray:
@@ -231,11 +244,15 @@ def train(docs: DataFrame, text_column: str = "text", shards: int | None = None)
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(docs[text_column].cast("string").alias("text"))
-    shards = shards or max(input_partitions(texts) * _pieces(spark), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shards = shards or input_partitions(texts) * _pieces(spark)
     counted = texts.mapInArrow(_count(shards), "shard int, words binary, v binary, w binary, n binary")
-    merged = stage(counted.groupBy("shard").applyInArrow(_merge_pairs(shards), _MERGED), "lm-pairs")
-    words = stage(merged.where("kind = 1").groupBy("part").applyInArrow(_merge_words, _MERGED), "lm-words")
-    pairs = merged.where("kind = 0")
+    with released(spark):
+        both = scratch_path(spark, "lm-merged")
+        counted.groupBy("shard").applyInArrow(_merge_pairs(shards), _MERGED).write.option("compression", "zstd").parquet(both)
+        merged = spark.read.schema(_MERGED).parquet(both)
+        words = stage(merged.where("kind = 1").groupBy("part").applyInArrow(_merge_words, _MERGED), "lm-words")
+        pairs = stage(merged.where("kind = 0"), "lm-pairs")
+    remove(spark, both)
     sums = {r["kind"]: r for r in pairs.unionByName(words).groupBy("kind").agg(*(F.sum(c).alias(c) for c in _NAMES[4:])).collect()}
     if not sums:
         return Model(pairs.unionByName(words), shards, 0, 0, 0, discounts(0, 0, 0, 0), discounts(0, 0, 0, 0), (0, 0, 0))
@@ -252,23 +269,29 @@ def _ask(shards: int):  # noqa: ANN202
             hashes = np.sort(hashes)
             for shard, at in _parts(shard_of(hashes, shards)):
                 parts.append(base + shard)
-                blobs.append(_planes(hashes[at]))
+                blobs.append(_planes(within_shard(hashes[at], shards)))
+        del t
+        give_back()
         return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([chunk] * len(parts), pa.int64()), pa.array(blobs, pa.binary())], ["part", "chunk", "blob"])
 
     return run
 
 
-def _mapped(values: bytes | pa.Buffer, kind: type) -> np.ndarray:
+def _mapped(values: np.ndarray) -> np.ndarray:
     """``values`` as an array over a file that has no name any more, and goes with the array."""
-    if not len(values):
-        return np.zeros(0, kind)
+    if not values.size:
+        return values
     with tempfile.TemporaryFile() as f:
-        f.write(values)
+        values.tofile(f)
         f.flush()
-        return np.memmap(f, kind, "r")
+        return np.memmap(f, values.dtype, "r", shape=values.shape)
+
+
+def _answer(shards: int):  # noqa: ANN202
+    return lambda batches: _answers(batches, shards)
 
 
-def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _answers(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
     """Rows come by part, the part's arrays first. An answer starts with part and length, then the counts of each question."""
     part, hashes, facts = -1, np.zeros(0, np.uint64), np.zeros((1, 0), np.uint64)
     for batch in batches:
@@ -276,8 +299,9 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(batch.num_rows):
             now, chunk, blob, counts = (batch.column(c)[i] for c in range(4))
             if chunk.as_py() < 0:
-                part, hashes = now.as_py(), _mapped(blob.as_buffer(), np.uint64)
-                facts = _mapped(counts.as_buffer(), np.uint64).reshape(-1, len(hashes))
+                part, hashes = now.as_py(), _mapped(within_shard(_values(blob.as_buffer(), np.uint64), shards))
+                facts = _mapped(_rows(counts.as_buffer(), len(counts.as_buffer()) // (8 * len(hashes))))
+                give_back()
                 continue
             asked = _values(blob.as_buffer(), np.uint64)
             found = np.zeros((facts.shape[0], len(asked)), np.uint64)
@@ -325,6 +349,8 @@ def _score(model: Model):  # noqa: ANN202
         base = np.log10((seen[t.w] + 1) / (m.tokens + 1 * (m.words + 1)))
         sums = lambda x: np.add.reduceat(x[t.pair], t.bounds[:-1])
         columns = [docs.column(0), docs.column(1), pa.array(np.diff(t.bounds)), pa.array(sums((seen[t.w] > 0).astype(np.int64))), pa.array(np.full(len(docs), m.tokens)), pa.array(sums(base)), pa.array(sums(log))]
+        del t, facts, count, log, base
+        give_back()
         return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _SCORED.split(", ")])
 
     return run
@@ -338,8 +364,10 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
     asked = table.finish(_ask(model.shards), "part int, chunk long, blob binary").withColumn("facts", F.lit(None).cast("binary"))
     stored = model.arrays.select("part", F.lit(-1).cast("long").alias("chunk"), F.col("hashes").alias("blob"), "facts")
     met = stored.unionByName(asked).repartition(2 * model.shards, "part").sortWithinPartitions("part", "chunk")
-    answers = stage(met.mapInArrow(_answer, "chunk long, blob binary"), "lm-answers")
-    scored = table.finish(_score(model), _SCORED, answers)
+    answers = met.mapInArrow(_answer(model.shards), "chunk long, blob binary")
+    with released(spark):
+        scored = stage(table.finish(_score(model), _SCORED, answers), "lm-scores")
+    table.drop()
     return scored.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
 
 
