@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import vector
 from ..shipping import ship
 from ..staging import stage
+from . import neighbour_graph
 
 BLOCK = 1024
 K = 8
@@ -51,8 +52,13 @@ def _best(keep: int):
     return run
 
 
-def neighbours(nodes: DataFrame, keep: int) -> DataFrame:
-    """(i, j, sim, rk): of each node its ``keep`` nearest others by cosine; ties by j; rk from 1."""
+def neighbours(nodes: DataFrame, keep: int, exact: bool = True) -> DataFrame:
+    """(i, j, sim, rk): of each node its ``keep`` nearest others by cosine; ties by j; rk from 1.
+
+    Not ``exact``: from a refined neighbour graph, in time in proportion to the nodes; some neighbours may be missed.
+    """
+    if not exact:
+        return neighbour_graph.neighbours(nodes, keep)
     ship(nodes.sparkSession)
     n = nodes.count()
     blocks = max(1, -(-n // BLOCK))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import evaluation, graph, layout, walk
+from ..operators import evaluation, graph, layout, neighbour_graph, walk
 from ..staging import stage
 
 DEEP = 60
@@ -29,6 +29,19 @@ def knn_synapses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.synapses(_near(spark, sf_dir, graph.K))
 
 
+def knn_refined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Synapses of the refined neighbour graph, without all pairs."""
+    return graph.synapses(graph.neighbours(_nodes(spark, sf_dir), graph.K, exact=False))
+
+
+def knn_refined_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Against brute force for ids divisible by 50 over all rows: how many nodes, how many neighbours, and whether 0.9 of these were found."""
+    nodes = stage(_nodes(spark, sf_dir), "nodes")
+    found = neighbour_graph.recall(nodes, graph.neighbours(nodes, graph.K, exact=False), graph.K)
+    sums = found.agg(F.count(F.lit(1)).alias("asked"), F.sum("wanted").alias("wanted"), F.sum("found").alias("found"))
+    return sums.select("asked", "wanted", (F.col("found") >= 0.9 * F.col("wanted")).alias("enough"))
+
+
 def neighbor_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Jaccard overlap of the neighbourhoods of each node and its nearest."""
     near = stage(_near(spark, sf_dir, graph.NEIGHBOURS), "near")
@@ -158,13 +171,14 @@ _CARDS = f"""
 _BOTH = "SELECT s AS node, t AS other, w FROM edges UNION ALL SELECT t, s, w FROM edges"
 
 QUERIES = {f.__name__: f for f in (
-    knn_topk, knn_synapses, neighbor_overlap, bridge_candidates, surprise_ranked, bridges_diverse, bridge_cards, insight_digest, graph_meta, adjacency_lists,
+    knn_topk, knn_synapses, knn_refined, knn_refined_recall, neighbor_overlap, bridge_candidates, surprise_ranked, bridges_diverse, bridge_cards, insight_digest, graph_meta, adjacency_lists,
     domain_bridge_matrix, long_edges, nearest_baseline, engine_band, blind_sheet, spread_one_step, layout_axis_stats, walk_events,
 )}
 
 ORACLES = {
     "knn_topk": f"{_BASE} SELECT i, j, round(sim, 6) AS sim, rk FROM near WHERE rk <= 8",
     "knn_synapses": f"{_BASE} SELECT s, t, w FROM edges",
+    "knn_refined_recall": f"{_BASE} SELECT count(DISTINCT i) AS asked, count(*) AS wanted, true AS enough FROM near WHERE rk <= 8 AND i % 50 = 0",
     "neighbor_overlap": f"""{_BASE} SELECT m.i, m.j, round(len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s)))::DOUBLE, 6) AS overlap
         FROM near m JOIN sets a ON m.i = a.i JOIN sets b ON m.j = b.i WHERE m.rk = 1""",
     "bridge_candidates": f"{_BASE} SELECT i, j, rk, round(sim, 6) AS sim FROM cand",
