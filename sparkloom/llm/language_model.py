@@ -165,20 +165,27 @@ def _merge_pairs(shards: int):  # noqa: ANN202
             word.append(words[_values(w.as_buffer(), np.uint32)])
             count.append(_values(n.as_buffer(), np.uint64))
         before, word, count = np.concatenate(before), np.concatenate(word), np.concatenate(count)
-        hashes, first, at = np.unique(pair_hash(before, word), return_index=True, return_inverse=True)
-        total = np.zeros(len(hashes), np.uint64)
-        np.add.at(total, at, count)
+        hashes = pair_hash(before, word)
+        order = np.argsort(hashes)
+        hashes = hashes[order]
+        first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
+        hashes, total = hashes[first], np.add.reduceat(count[order], first)
+        first = order[first]
         before, word = before[first], word[first]
+        del order, count, first
         rows = [(0, key[0].as_py(), _planes(hashes), _planes(total), int(total.sum()), len(hashes), *_counts_of_counts(total))]
         known, at = np.unique(np.concatenate((before, word)), return_inverse=True)
         v, w = at[: len(before)], at[len(before) :]
         facts = np.zeros((len(FACTS), len(known)), np.uint64)
-        np.add.at(facts[0], w, total)
+        facts[0] = np.bincount(w, weights=total, minlength=len(known))
         facts[1] = np.bincount(w, minlength=len(known))
         for i, kind in enumerate((total == 1, total == 2, total > 2)):
             facts[2 + i] = np.bincount(v[kind], minlength=len(known))
+        del before, word, v, w, at
         for shard, at in _parts(shard_of(known, shards)):
             rows.append((1, shards + shard, _planes(known[at]), b"".join(_planes(f) for f in np.ascontiguousarray(facts[:, at])), *[None] * 6))
+        del facts, known, total, hashes
+        give_back()
         return _table(rows)
 
     return run
@@ -235,8 +242,8 @@ class Model:
 
 
 def _pieces(spark: SparkSession) -> int:
-    """Shards for each task that reads the input, so that a shard stays small where tasks read much."""
-    return max(1, int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()) >> 24)
+    """Shards for each task that reads the input: two for 16 MB, so that a shard stays small where tasks read much."""
+    return max(1, int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()) >> 23)
 
 
 def train(docs: DataFrame, text_column: str = "text", shards: int | None = None) -> Model:
