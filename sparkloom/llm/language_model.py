@@ -77,15 +77,29 @@ def _planes(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
 
 
-def _values(planes: bytes | pa.Buffer, kind: type) -> np.ndarray:
+def _values(planes: bytes | pa.Buffer | np.ndarray, kind: type | str) -> np.ndarray:
     flat = np.frombuffer(planes, np.uint8)
     size = np.dtype(kind).itemsize
     return np.ascontiguousarray(flat.reshape(size, len(flat) // size).T).reshape(-1).view(kind)
 
 
-def _rows(planes: pa.Buffer, rows: int) -> np.ndarray:
-    """Several arrays of one length, each in planes."""
-    return np.stack([_values(p, np.uint64) for p in np.frombuffer(planes, np.uint8).reshape(rows, -1)])
+def _packed(*arrays: np.ndarray) -> bytes:
+    """Unsigned numbers in as few bytes as the largest of an array needs, named in front of it."""
+    out = []
+    for a in arrays:
+        size = next(s for s in (1, 2, 4, 8) if s == 8 or not len(a) or int(a.max()) < 1 << 8 * s)
+        out += [bytes([size]), _planes(a.astype(f"u{size}"))]
+    return b"".join(out)
+
+
+def _unpacked(blob: bytes | pa.Buffer | np.ndarray, n: int, rows: int) -> tuple[np.ndarray, int]:
+    """``rows`` arrays of ``n`` numbers at the start of ``blob``, and the bytes that they take."""
+    flat, at, out = np.frombuffer(blob, np.uint8), 0, np.empty((rows, n), np.uint64)
+    for i in range(rows):
+        size = int(flat[at])
+        out[i] = _values(flat[at + 1 : at + 1 + n * size], f"u{size}")
+        at += 1 + n * size
+    return out, at
 
 
 @dataclass
@@ -129,12 +143,11 @@ def _count(shards: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in gathered(batches, CHUNK_BYTES):
             t = _tokens(table["text"].chunk(0))
-            rows: list[tuple[int, bytes, bytes, bytes, bytes]] = []
+            rows: list[tuple[int, bytes, bytes, int]] = []
             for shard, at in _parts(shard_of(pair_hash(t.words[t.v], t.words[t.w]), shards)):
                 named, code = np.unique(np.concatenate((t.v[at], t.w[at])), return_inverse=True)
-                code = code.astype(np.uint32)
-                rows.append((shard, t.words[named].tobytes(), _planes(code[: len(at)]), _planes(code[len(at) :]), _planes(t.count[at].astype(np.uint64))))
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], ["shard", "words", "v", "w", "n"])
+                rows.append((shard, t.words[named].tobytes(), _packed(code[: len(at)], code[len(at) :], t.count[at]), len(at)))
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.int64()), strict=True)], ["shard", "words", "pairs", "n"])
             del t, rows
             give_back()
 
@@ -159,11 +172,12 @@ def _merge_pairs(shards: int):  # noqa: ANN202
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         before, word, count = [], [], []
-        for words, v, w, n in zip(*(table[c] for c in ("words", "v", "w", "n")), strict=True):
+        for words, pairs, n in zip(*(table[c] for c in ("words", "pairs", "n")), strict=True):
             words = np.frombuffer(words.as_buffer(), np.uint64)
-            before.append(words[_values(v.as_buffer(), np.uint32)])
-            word.append(words[_values(w.as_buffer(), np.uint32)])
-            count.append(_values(n.as_buffer(), np.uint64))
+            (v, w, times), _ = _unpacked(pairs.as_buffer(), n.as_py(), 3)
+            before.append(words[v.astype(np.int64)])
+            word.append(words[w.astype(np.int64)])
+            count.append(times)
         before, word, count = np.concatenate(before), np.concatenate(word), np.concatenate(count)
         hashes = pair_hash(before, word)
         order = np.argsort(hashes)
@@ -173,7 +187,7 @@ def _merge_pairs(shards: int):  # noqa: ANN202
         first = order[first]
         before, word = before[first], word[first]
         del order, count, first
-        rows = [(0, key[0].as_py(), _planes(hashes), _planes(total), int(total.sum()), len(hashes), *_counts_of_counts(total))]
+        rows = [(0, key[0].as_py(), _planes(hashes), _packed(total), int(total.sum()), len(hashes), *_counts_of_counts(total))]
         known, at = np.unique(np.concatenate((before, word)), return_inverse=True)
         v, w = at[: len(before)], at[len(before) :]
         facts = np.zeros((len(FACTS), len(known)), np.uint64)
@@ -183,7 +197,7 @@ def _merge_pairs(shards: int):  # noqa: ANN202
             facts[2 + i] = np.bincount(v[kind], minlength=len(known))
         del before, word, v, w, at
         for shard, at in _parts(shard_of(known, shards)):
-            rows.append((1, shards + shard, _planes(known[at]), b"".join(_planes(f) for f in np.ascontiguousarray(facts[:, at])), *[None] * 6))
+            rows.append((1, shards + shard, _planes(known[at]), _packed(*facts[:, at]), *[None] * 6))
         del facts, known, total, hashes
         give_back()
         return _table(rows)
@@ -193,13 +207,13 @@ def _merge_pairs(shards: int):  # noqa: ANN202
 
 def _merge_words(key: tuple, table: pa.Table) -> pa.Table:
     words = [_values(b.as_buffer(), np.uint64) for b in table["hashes"]]
-    facts = [_rows(b.as_buffer(), len(FACTS)) for b in table["facts"]]
+    facts = [_unpacked(b.as_buffer(), len(w), len(FACTS))[0] for b, w in zip(table["facts"], words, strict=True)]
     known, at = np.unique(np.concatenate(words), return_inverse=True)
     out = np.zeros((len(FACTS), len(known)), np.uint64)
     every = np.concatenate(facts, axis=1)
     for i in range(len(FACTS)):
         np.add.at(out[i], at, every[i])
-    return _table([(1, key[0].as_py(), _planes(known), b"".join(_planes(f) for f in out), int(out[0].sum()), len(known), *_counts_of_counts(out[1]))])
+    return _table([(1, key[0].as_py(), _planes(known), _packed(*out), int(out[0].sum()), len(known), *_counts_of_counts(out[1]))])
 
 
 def discounts(k1: int, k2: int, k3: int, k4: int) -> np.ndarray:
@@ -252,7 +266,7 @@ def train(docs: DataFrame, text_column: str = "text", shards: int | None = None)
     small_batches(spark)
     texts = docs.select(docs[text_column].cast("string").alias("text"))
     shards = shards or input_partitions(texts) * _pieces(spark)
-    counted = texts.mapInArrow(_count(shards), "shard int, words binary, v binary, w binary, n binary")
+    counted = texts.mapInArrow(_count(shards), "shard int, words binary, pairs binary, n long")
     with released(spark):
         both = scratch_path(spark, "lm-merged")
         counted.groupBy("shard").applyInArrow(_merge_pairs(shards), _MERGED).write.option("compression", "zstd").parquet(both)
@@ -307,7 +321,7 @@ def _answers(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.Reco
             now, chunk, blob, counts = (batch.column(c)[i] for c in range(4))
             if chunk.as_py() < 0:
                 part, hashes = now.as_py(), _mapped(within_shard(_values(blob.as_buffer(), np.uint64), shards))
-                facts = _mapped(_rows(counts.as_buffer(), len(counts.as_buffer()) // (8 * len(hashes))))
+                facts = _mapped(_unpacked(counts.as_buffer(), len(hashes), 1 if part < shards else len(FACTS))[0])
                 give_back()
                 continue
             asked = _values(blob.as_buffer(), np.uint64)
@@ -317,7 +331,7 @@ def _answers(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.Reco
                 hit = hashes[at] == asked
                 found[:, hit] = facts[:, at[hit]]
             chunks.append(chunk.as_py())
-            blobs.append(np.array([now.as_py(), len(asked), len(found)], np.uint64).tobytes() + b"".join(_planes(f) for f in found))
+            blobs.append(np.array([now.as_py(), len(asked), len(found)], np.uint64).tobytes() + _packed(*found))
         yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array(blobs, pa.binary())], ["chunk", "blob"])
 
 
@@ -328,13 +342,12 @@ def _facts(blobs: np.ndarray, base: int, until: int, hashes: np.ndarray, rows: i
     bounds = np.searchsorted(shard_of(hashes[order], shards), np.arange(shards + 1))
     at = 0
     while at < len(blobs):
-        part, n, k = blobs[at : at + 24].view(np.uint64).tolist()
-        body = blobs[at + 24 : at + 24 + 8 * n * k]
-        at += 24 + 8 * n * k
+        part, n, k = np.frombuffer(blobs[at : at + 24].tobytes(), np.uint64).tolist()
+        found, size = _unpacked(blobs[at + 24 :], n, k)
+        at += 24 + size
         if base <= part < until and k == rows:
             lo = bounds[part - base]
-            for i in range(k):
-                out[i, order[lo : lo + n]] = _values(body[8 * n * i : 8 * n * (i + 1)], np.uint64)
+            out[:, order[lo : lo + n]] = found
     return out
 
 

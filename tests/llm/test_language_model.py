@@ -97,5 +97,9 @@ def test_a_model_scores_other_texts(make, prose):
 def test_planes_and_ranges_round_trip():
     x = np.random.default_rng(0).integers(0, 1 << 63, 1000).astype(np.uint64)
     assert (lm._values(lm._planes(x), np.uint64) == x).all()
+    rows = [np.array(v, np.uint64) for v in ([0, 255], [256, 1], [65536, 2], [1 << 40, 3])]
+    got, size = lm._unpacked(lm._packed(*rows) + b"more", 2, 4)
+    assert (got == np.stack(rows)).all() and size == 4 + 2 * (1 + 2 + 4 + 8)
+    assert lm._unpacked(lm._packed(np.zeros(0, np.uint64)), 0, 1)[0].shape == (1, 0)
     of = lm.shard_of(np.sort(x), 13)
     assert (np.diff(of) >= 0).all() and of.min() >= 0 and of.max() < 13
