@@ -38,8 +38,13 @@ LEAK_SECRET = (
     r"|AKIA[0-9A-Z]{16}|AIza[0-9A-Za-z_-]{20,}|xox[baprs]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{6,}"
     r"|-----BEGIN[A-Z ]*PRIVATE KEY-----|\bBearer\s+[A-Za-z0-9._-]{16,}"
 )
-LEAK_PATH = r"""(^|[\s("'])[A-Za-z]:\\|(^|[\s("'])/[A-Za-z0-9_.\-]+/[A-Za-z0-9_.\-]+"""
-LEAK_EMAIL = r"\b[A-Za-z0-9_.+\-]+@[A-Za-z0-9_\-]+\.[A-Za-z0-9_.\-]+\b"
+# Letters, digits and spaces of any script, in a form that Java and RE2 both read.
+_W, _S = r"\p{L}\p{N}_", r"\s\x0B\x1C-\x1F\x85\p{Z}"
+LEAK_PATH = rf"""(^|[{_S}("'])[A-Za-z]:\\|(^|[{_S}("'])/[{_W}.\-]+/[{_W}.\-]+"""
+#: A local part and a domain with a letter or digit in each; word boundaries differ between engines, and add nothing to this.
+LEAK_EMAIL = rf"[{_W}][{_W}.+\-]*@[{_W}\-]+\.[.\-]*[{_W}]"
+#: The same for Java, which starts at the beginning of a run only, and doesn't go back.
+_LEAK_EMAIL_FAST = rf"(?<![{_W}.+\-])[.+\-]*+[{_W}][{_W}.+\-]*+@[{_W}\-]++\.[.\-]*+[{_W}]"
 
 # Read-only probes among tool names.
 PROBE = r"(?i)^(list|get|read|search|find|fetch|show|quote|screenshot)_|_(list|get|status)$"
@@ -165,7 +170,17 @@ def leaks_anything(s: Column) -> Column:
 
 def leaks(s: Column) -> Column:
     """For prose: real paths, addresses and secrets only."""
-    return s.rlike(LEAK_PATH) | s.rlike(LEAK_EMAIL) | s.rlike(LEAK_SECRET)
+    return s.rlike(LEAK_PATH) | s.rlike(_LEAK_EMAIL_FAST) | s.rlike(LEAK_SECRET)
+
+
+def json_strings(s: Column) -> Column:
+    """All strings of a JSON text, keys and values of any depth, unescaped; none where the text is no object or array.
+
+    A quote opens or closes a string wherever it isn't escaped, so that one pass over the text finds them all.
+    """
+    literals = F.regexp_extract_all(s, F.lit(r'"(?:[^"\\]++|\\.)*+"'), F.lit(0))
+    found = F.from_json(F.concat(F.lit("["), F.array_join(literals, ","), F.lit("]")), "array<string>")
+    return F.coalesce(F.when(s.rlike(r"^\s*[\[{]"), found), F.array().cast("array<string>"))
 
 
 def short_number(n: Column) -> Column:

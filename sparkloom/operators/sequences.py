@@ -168,3 +168,42 @@ def predict_next(events: DataFrame, context: list[str], top: int = 5, min_total:
     pct = F.col("n") / F.col("total")
     out = seen.join(base, "next").select("next", "n", "total", F.round(100 * pct, 0).alias("pct"), F.round(pct / F.col("share"), 2).alias("lift"))
     return out.orderBy(F.desc("n"), "next").limit(top)
+
+
+def suffixes(events: DataFrame, order: int = 2, top: int = 5, min_total: int = MIN_TRIGGER) -> DataFrame:
+    """The back-off table: (context, total, options) for every context of up to ``order`` tools met ``min_total`` times.
+
+    ``options`` are its ``top`` likeliest next tools, in order, each with n, pct and lift over the tool's usual share. The table
+    is what a live predictor keeps: write it once, and join whatever contexts come.
+    """
+    model = markov(events, 1)
+    for k in range(2, order + 1):
+        model = model.unionByName(markov(events, k))
+    base = base_freq(events).select(F.col("name").alias("next"), "share")
+    w = W.partitionBy("context")
+    counted = model.withColumn("total", F.sum("n").over(w)).withColumn("at", F.row_number().over(w.orderBy(F.desc("n"), "next")))
+    kept = counted.where((F.col("total") >= min_total) & (F.col("at") <= top)).join(base, "next")
+    pct = F.col("n") / F.col("total")
+    option = F.struct(F.col("at").cast("long").alias("at"), "next", "n", F.round(100 * pct, 0).alias("pct"), F.round(pct / F.col("share"), 2).alias("lift"))
+    return kept.groupBy("context").agg(F.first("total").alias("total"), F.sort_array(F.collect_list(option)).alias("options"))
+
+
+def last_contexts(events: DataFrame, order: int = 2) -> DataFrame:
+    """(session, context): the last ``order`` tools of each session in their order, or fewer where it has fewer."""
+    w = W.partitionBy("session").orderBy("pos")
+    tail = F.filter(F.array(*[F.lag("name", k).over(w) for k in range(order - 1, 0, -1)], "name"), lambda x: x.isNotNull())
+    return tools(events).select("session", "pos", tail.alias("context")).groupBy("session").agg(F.max_by("context", "pos").alias("context"))
+
+
+def predict_all(table: DataFrame, contexts: DataFrame, order: int = 2) -> DataFrame:
+    """``contexts`` (with an array ``context``) and what follows by the longest suffix in ``table``: matched, total, at, next, n, pct, lift.
+
+    Contexts without a suffix in the table have no rows. Each different context is looked up once.
+    """
+    asked = contexts.select("context").where("size(context) > 0").distinct()
+    cut = F.transform(F.sequence(F.lit(1), F.least(F.lit(order), F.size("context"))), lambda k: F.slice("context", -k, k))
+    tried = asked.select("context", F.explode(cut).alias("suffix"))
+    found = tried.join(table.select(F.col("context").alias("suffix"), "total", "options"), "suffix")
+    best = found.groupBy("context").agg(F.max_by(F.struct("suffix", "total", "options"), F.size("suffix")).alias("b"))
+    rows = best.select("context", F.size("b.suffix").cast("long").alias("matched"), F.col("b.total").alias("total"), F.inline("b.options"))
+    return contexts.join(rows, "context")

@@ -6,8 +6,6 @@ of blocks. Everything that leaves is a count, a rate or a coarse name; paths are
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -31,6 +29,34 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     return placed.select("session", seq.alias("seq"), "line")
 
 
+def read_profiles(spark: SparkSession, root: str) -> DataFrame:
+    """(profile, session, seq, line): the lines of ``*.jsonl`` in each folder directly in ``root``; the folder is the profile."""
+    raw = spark.read.option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", "true").text(f"{root.rstrip('/')}/*/")
+    profile = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+    placed = raw.select(profile.alias("profile"), F.col("_metadata.file_name").alias("session"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), F.col("value").alias("line"))
+    seq = F.row_number().over(W.partitionBy("profile", "session").orderBy("_block", "_id"))
+    return placed.select("profile", "session", seq.alias("seq"), "line")
+
+
+def follow(spark: SparkSession, root: str, out: str, checkpoint: str) -> None:
+    """Appends the lines of session files that are new under ``root`` to the table ``out`` (profile, session, seq, line), and ends.
+
+    Spark's file stream gives each file to one batch, whole, and remembers which it has seen; numbers are those that
+    ``read_profiles`` gives. A batch that is repeated after a failure replaces what it had written.
+    """
+    raw = spark.readStream.format("text").option("pathGlobFilter", "*.jsonl").load(f"{root.rstrip('/')}/*/")
+    named = raw.select(
+        F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("profile"), F.col("_metadata.file_name").alias("session"), F.col("_metadata.file_block_start").alias("_block"), F.col("value").alias("line"),
+    )
+
+    def put(batch: DataFrame, number: int) -> None:
+        seq = F.row_number().over(W.partitionBy("profile", "session").orderBy("_block", "_id"))
+        lines = batch.withColumn("_id", F.monotonically_increasing_id()).select("profile", "session", seq.alias("seq"), "line")
+        lines.write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch={number}")
+
+    named.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def files(spark: SparkSession, folder: str) -> DataFrame:
     """One row for each file, empty ones too."""
     pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/*.jsonl")
@@ -38,13 +64,13 @@ def files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame([(f.getPath().getName(),) for f in found], "session string")
 
 
-def records(lines: DataFrame) -> DataFrame:
-    """Lines that are JSON objects, with their parts; blank and broken lines are left out."""
+def records(lines: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Lines that are JSON objects, with their parts; blank and broken lines are left out. Columns named in ``by`` stay."""
     o = F.from_json("line", RECORD)
-    rows = lines.where(T.trim_ws(F.col("line")).startswith("{")).select("session", "seq", o.alias("o"))
+    rows = lines.where(T.trim_ws(F.col("line")).startswith("{")).select(*by, "session", "seq", o.alias("o"))
     m = F.col("o.message")
     out = rows.select(
-        "session", "seq", F.col("o.timestamp").alias("at"), T.parse_ts(F.col("o.timestamp")).alias("ts"), F.nullif(F.col("o.gitBranch"), F.lit("")).alias("branch"),
+        *by, "session", "seq", F.col("o.timestamp").alias("at"), T.parse_ts(F.col("o.timestamp")).alias("ts"), F.nullif(F.col("o.gitBranch"), F.lit("")).alias("branch"),
         m["role"].alias("role"), F.nullif(m["model"], F.lit("")).alias("model"), m["content"].alias("content"), m["usage"].alias("usage"),
         F.coalesce(F.col("o.toolUseResult.interrupted") & m.isNotNull(), F.lit(False)).alias("interrupted"), F.when(F.ltrim(m["content"]).startswith("["), F.from_json(m["content"], BLOCKS)).alias("blocks"),
     )
@@ -75,71 +101,90 @@ def events(recs: DataFrame) -> DataFrame:
     return tool.unionByName(error).unionByName(said).select("session", seq.alias("seq"), "kind", "name")
 
 
-def _counted(rows: DataFrame, key: str, name: str, top: int | None = None) -> DataFrame:
-    """One row: counts by ``key`` as a map, the ``top`` largest only (ties by name)."""
-    n = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    if top:
-        n = n.orderBy(F.desc("n"), key).limit(top)
-    return n.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(key, "n")))).alias(name))
-
+#: Counted over records, summed by session first.
+_SUMS = ("user_turns", "real_user_prompts", "assistant_turns", "reversal_count", "tool_errors", "bash_interrupted", "thinking_blocks", "thinking_chars", "multi_tool_turns", "_opus", "_with_model")
+TOP = {"tool": 15, "server": 10}
 
-def _histogram(rows: DataFrame, key: Column, size: int, name: str) -> DataFrame:
-    counted = rows.groupBy(key.alias("k")).agg(F.count(F.lit(1)).alias("n"))
-    slots = rows.sparkSession.range(size).select(F.col("id").cast("int").alias("k"))
-    full = slots.join(counted, "k", "left").select("k", F.coalesce("n", F.lit(0)).alias("n"))
-    return full.agg(F.map_from_entries(F.transform(F.sort_array(F.collect_list(F.struct("k", "n"))), lambda x: F.struct(x["k"].cast("string"), x["n"]))).alias(name))
 
+def facts(recs: DataFrame, sessions: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, session, seq, ts, f struct<fact, key, x>, c, u): everything that the metrics count, as one stream.
 
-def metrics(recs: DataFrame, sessions: DataFrame) -> DataFrame:
-    """One row of metrics over all sessions; ``sessions(session)`` has one row for each file."""
-    before = W.partitionBy("session").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
+    Each record names its session, branch, model, hour, day, wait before a correction, and its tools with their servers and
+    paths. ``c`` are the record's own counts and ``u`` its tokens; they are taken where the fact is the session (or model).
+    """
+    before = W.partitionBy(*by, "session").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
     is_user, is_assistant = F.col("role") == "user", F.col("role") == "assistant"
     recs = recs.withColumn("_last", F.last(F.when(is_assistant, F.col("ts")), True).over(before))
     wait = (F.unix_micros("ts") - F.unix_micros("_last")) / 1e6
     caught = F.when(T.is_correction(F.col("prompt")) & (wait > 0) & (wait < 3600), wait)
-    thinking = F.filter("blocks", lambda b: b["type"] == "thinking")
-    used = F.when(is_assistant, F.size(F.filter("blocks", lambda b: b["type"] == "tool_use"))).otherwise(0)
-    token = {k: F.coalesce(F.sum(F.when(is_assistant, F.col("usage")[c])), F.lit(0)) for k, c in TOKENS.items()}
+    of_type = lambda kind: F.when(is_assistant, F.filter("blocks", lambda b: b["type"] == kind)).otherwise(F.slice("blocks", 1, 0))
+    thinking, uses = of_type("thinking"), of_type("tool_use")
     clock = T.own_clock(F.col("at"))
     hour = F.when(F.col("ts").isNotNull(), F.hour(clock))
-    main = recs.agg(
-        F.count_if(is_user).alias("user_turns"), F.count("prompt").alias("real_user_prompts"), F.count_if(is_assistant).alias("assistant_turns"),
-        F.round(F.median(caught), 1).alias("pounce_median_sec"), F.count(caught).alias("corrections_caught"),
-        F.count_if(T.is_reversal(F.col("prompt"))).alias("reversal_count"), F.coalesce(F.sum("n_errors"), F.lit(0)).alias("tool_errors"),
-        F.count_if("interrupted").alias("bash_interrupted"), F.coalesce(F.sum(F.when(is_assistant, F.size(thinking))), F.lit(0)).alias("thinking_blocks"),
-        F.coalesce(F.sum(F.when(is_assistant, F.aggregate(thinking, F.lit(0), lambda s, b: s + F.coalesce(F.length(b["thinking"]), F.lit(0))))), F.lit(0)).alias("thinking_chars"),
-        F.count_if(used > 1).alias("multi_tool_turns"), F.coalesce(F.max(used), F.lit(0)).alias("max_parallel_tools"),
-        F.count(F.when(is_assistant & F.col("model").contains("opus"), 1)).alias("_opus"), F.count(F.when(is_assistant, F.col("model"))).alias("_with_model"),
-        F.create_map(*[x for k, v in token.items() for x in (F.lit(k), v)]).alias("tokens"),
-        F.count_distinct("branch").alias("git_branches"), F.min(F.when(hour <= 4, hour)).alias("night_owl_hour"),
-    )
-    w = W.partitionBy("session", "name", "path").orderBy("seq", "at")
-    uses = tool_uses(recs).withColumn("_again", (F.col("name") == "Read") & F.col("path").isNotNull() & (F.row_number().over(w) > 1))
-    n = lambda *names: F.count_if(F.col("name").isin(*names))
-    server = T.mcp_server(F.col("name"))
-    tools = uses.agg(
-        F.count(F.lit(1)).alias("tool_calls"), n("Read").alias("read"), n("Edit").alias("edit"), n("Write").alias("write"), n("Bash").alias("bash"),
-        F.count_if("_again").alias("reread_events"), n("Workflow").alias("workflow_calls"), n("Agent", "Task").alias("agent_calls"), n("TodoWrite").alias("todo_calls"),
-        F.count(server).alias("mcp_calls"), F.count_distinct(server).alias("mcp_servers_used"),
-    )
-    edited = uses.where(F.col("name").isin("Edit", "Write") & F.col("path").isNotNull()).groupBy("path").agg(F.count(F.lit(1)).alias("n"))
-    edited = edited.agg(F.count(F.lit(1)).alias("distinct_files_edited"), F.coalesce(F.max("n"), F.lit(0)).alias("most_churned_file_edits"))
-    per = recs.groupBy("session").agg(F.count_if(is_assistant).alias("turns"), F.min_by("ts", F.when(F.col("ts").isNotNull(), F.col("seq"))).alias("first"), F.max_by("ts", F.when(F.col("ts").isNotNull(), F.col("seq"))).alias("last"))
-    minutes = (F.unix_micros("last") - F.unix_micros("first")) / 60e6
-    per = sessions.join(per, "session", "left").agg(
-        F.count(F.lit(1)).alias("sessions"), F.coalesce(F.round(F.max(minutes), 1), F.lit(0.0)).alias("longest_session_min"), F.coalesce(F.round(F.avg(minutes), 1), F.lit(0.0)).alias("avg_session_min"),
-        F.coalesce(F.round(F.sum(minutes) / 60, 1), F.lit(0.0)).alias("total_active_hours"), F.coalesce(F.max("turns"), F.lit(0)).alias("max_turns_in_session"),
-    )
-    timed = recs.where("ts is not null").withColumn("hour", F.hour(clock)).withColumn("day", F.weekday(clock))
-    peak = timed.groupBy("hour").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("session", "seq")).alias("_f")).orderBy(F.desc("n"), "_f").limit(1).agg(F.first("hour").alias("peak_hour"))
-    with_model = recs.where(is_assistant & F.col("model").isNotNull()).withColumn("family", T.model_family(F.col("model")))
-    per_model = with_model.groupBy("family").agg(F.create_map(*[x for k, c in TOKENS.items() for x in (F.lit(k), F.coalesce(F.sum(F.col("usage")[c]), F.lit(0)))]).alias("t"))
-    per_model = per_model.agg(F.map_from_entries(F.collect_list(F.struct("family", "t"))).alias("tokens_by_model"))
-    parts = [
-        per, main, tools, edited, peak, per_model, _counted(uses, "name", "top_tools", 15), _counted(with_model, "family", "models"),
-        _counted(uses.withColumn("server", server).where("server is not null"), "server", "top_mcp_servers", 10), _histogram(timed, F.col("hour"), 24, "hour_histogram"), _histogram(timed, F.col("day"), 7, "weekday_histogram"),
-    ]
-    row = reduce(lambda a, b: a.crossJoin(F.broadcast(b)), parts)  # every part has one row
+    model = F.when(is_assistant, F.col("model"))
+    one = lambda holds: F.coalesce(holds, F.lit(False)).cast("long")
+    chars = F.aggregate(thinking, F.lit(0), lambda s, b: s + F.coalesce(F.length(b["thinking"]), F.lit(0))).cast("long")
+    counts = (
+        one(is_user), one(F.col("prompt").isNotNull()), one(is_assistant), one(T.is_reversal(F.col("prompt"))), F.col("n_errors").cast("long"), one(F.col("interrupted")),
+        F.size(thinking).cast("long"), chars, one(F.size(uses) > 1), one(model.contains("opus")), one(model.isNotNull()),
+    )
+    counted = F.struct(*(c.alias(n) for n, c in zip(_SUMS, counts, strict=True)), F.size(uses).alias("tools"), F.when(hour <= 4, hour).alias("night"))
+    tokens = F.struct(*(F.when(is_assistant, F.col("usage")[c]).alias(k) for k, c in TOKENS.items()))
+    fact = lambda name, key, x=None: F.struct(F.lit(name).alias("fact"), key.cast("string").alias("key"), (F.lit(None) if x is None else x).cast("double").alias("x"))
+
+    def of_use(b: Column) -> Column:
+        name, path = F.coalesce(F.nullif(b["name"], F.lit("")), F.lit("?")), F.sha1(F.nullif(b["input"]["file_path"], F.lit("")))
+        return F.array(
+            fact("tool", name), fact("server", T.mcp_server(name)), fact("path", F.when((name == "Read") & path.isNotNull(), F.concat_ws("/", "session", path))), fact("edited", F.when(name.isin("Edit", "Write"), path)),
+        )
+
+    own = F.array(fact("session", F.col("session")), fact("branch", F.col("branch")), fact("model", F.when(model.isNotNull(), T.model_family(model))), fact("hour", hour), fact("day", F.when(F.col("ts").isNotNull(), F.weekday(clock))), fact("wait", caught, caught))
+    every = F.filter(F.concat(own, F.flatten(F.transform(uses, of_use))), lambda f: f["key"].isNotNull())
+    stream = recs.select(*by, "session", "seq", "ts", counted.alias("c"), tokens.alias("u"), F.explode(every).alias("f"))
+    return stream.unionByName(sessions.select(*by, "session", fact("session", F.col("session")).alias("f")), allowMissingColumns=True)
+
+
+def metrics(recs: DataFrame, sessions: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row of metrics over all sessions, or one for each value of ``by``; ``sessions(by, session)`` has a row for each file.
+
+    Records are read once: facts are summed by fact and key, on the side that reads them already, and these sums by ``by``.
+    """
+    f = lambda name: F.col("fact") == name
+    here = F.col("f.fact") == "session"
+    summed = facts(recs, sessions, by).groupBy(*by, F.col("f.fact").alias("fact"), F.col("f.key").alias("key")).agg(
+        F.count(F.lit(1)).alias("n"), F.max("f.x").alias("x"), F.min(F.struct("session", "seq")).alias("first"), *(F.sum(F.when(here, F.col(f"c.{c}"))).alias(c) for c in _SUMS),
+        F.max(F.when(here, F.col("c.tools"))).alias("_tools"), F.min(F.when(here, F.col("c.night"))).alias("_night"), *(F.sum(F.when(F.col("f.fact").isin("session", "model"), F.col(f"u.{k}"))).alias(f"_{k}") for k in TOKENS),
+        F.min_by("ts", F.when(here & F.col("ts").isNotNull(), F.col("seq"))).alias("_from"), F.max_by("ts", F.when(here & F.col("ts").isNotNull(), F.col("seq"))).alias("_to"),
+    )
+    place = F.row_number().over(W.partitionBy(*by, "fact", F.when(~F.col("fact").isin(*TOP), F.col("key"))).orderBy(F.desc("n"), "key"))
+    summed = summed.withColumn("_place", place)
+    minutes = (F.unix_micros("_to") - F.unix_micros("_from")) / 60e6
+    total = lambda column: F.coalesce(F.sum(column), F.lit(0).cast("long"))
+    number = lambda name: F.count_if(f(name))
+    n = lambda *names: total(F.when(f("tool") & F.col("key").isin(*names), F.col("n")))
+    pairs = lambda name: F.map_from_entries(F.sort_array(F.collect_list(F.when(f(name) & (F.col("_place") <= TOP.get(name, 1)), F.struct("key", "n")))))
+
+    def histogram(name: str, size: int) -> Column:
+        found = pairs(name)
+        return F.map_from_entries(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.struct(k.cast("string"), F.coalesce(F.try_element_at(found, k.cast("string")), F.lit(0).cast("long")))))
+
+    own = f("session")
+    tokens = {k: F.when(own, F.col(f"_{k}")) for k in TOKENS}
+    of_model = F.struct(*(F.coalesce(F.col(f"_{k}"), F.lit(0).cast("long")).alias(k) for k in TOKENS))
+    by_model = F.sort_array(F.collect_list(F.when(f("model"), F.struct("key", of_model.alias("t")))))
+    by_model = F.map_from_entries(F.transform(by_model, lambda m: F.struct(m["key"], F.create_map(*[x for k in TOKENS for x in (F.lit(k), m["t"][k])]))))
+    row = summed.groupBy(*by).agg(
+        number("session").alias("sessions"), F.coalesce(F.round(F.max(minutes), 1), F.lit(0.0)).alias("longest_session_min"), F.coalesce(F.round(F.avg(minutes), 1), F.lit(0.0)).alias("avg_session_min"),
+        F.coalesce(F.round(F.sum(minutes) / 60, 1), F.lit(0.0)).alias("total_active_hours"), F.coalesce(F.max(F.when(own, F.col("assistant_turns"))), F.lit(0).cast("long")).alias("max_turns_in_session"),
+        *(total(F.col(c)).alias(c) for c in _SUMS), F.round(F.percentile(F.when(f("wait"), F.col("x")), 0.5, F.col("n")), 1).alias("pounce_median_sec"), total(F.when(f("wait"), F.col("n"))).alias("corrections_caught"),
+        F.coalesce(F.max("_tools"), F.lit(0)).alias("max_parallel_tools"), F.create_map(*[x for k in TOKENS for x in (F.lit(k), total(tokens[k]))]).alias("tokens"),
+        number("branch").alias("git_branches"), F.min("_night").alias("night_owl_hour"), total(F.when(f("tool"), F.col("n"))).alias("tool_calls"),
+        n("Read").alias("read"), n("Edit").alias("edit"), n("Write").alias("write"), n("Bash").alias("bash"), total(F.when(f("path"), F.col("n") - 1)).alias("reread_events"),
+        n("Workflow").alias("workflow_calls"), n("Agent", "Task").alias("agent_calls"), n("TodoWrite").alias("todo_calls"), total(F.when(f("server"), F.col("n"))).alias("mcp_calls"), number("server").alias("mcp_servers_used"),
+        number("edited").alias("distinct_files_edited"), F.coalesce(F.max(F.when(f("edited"), F.col("n"))), F.lit(0).cast("long")).alias("most_churned_file_edits"),
+        F.min_by(F.col("key").cast("int"), F.when(f("hour"), F.struct((-F.col("n")).alias("n"), "first"))).alias("peak_hour"), by_model.alias("tokens_by_model"), pairs("tool").alias("top_tools"),
+        pairs("model").alias("models"), pairs("server").alias("top_mcp_servers"), histogram("hour", 24).alias("hour_histogram"), histogram("day", 7).alias("weekday_histogram"),
+    )
     return row.select(
         "*", stats.percent(F.col("reversal_count"), F.col("real_user_prompts")).alias("reversal_rate_per_100"), stats.ratio(F.col("read"), F.col("edit")).alias("read_to_edit_ratio"),
         stats.ratio(F.col("read"), F.col("write")).alias("read_to_write_ratio"), stats.percent(F.col("reread_events"), F.col("read")).alias("reread_pct"),

@@ -51,3 +51,18 @@ def build(events: DataFrame, min_lift: float = Q.MIN_LIFT, above_base: bool = Tr
 def ranked(events: DataFrame, **relaxed) -> DataFrame:
     """The nudges to show, in order: at most five, one for each family."""
     return rules.select_nudges(build(events, **relaxed).select("family", "priority", "body"))
+
+
+FOOTER = (
+    "All of this is read off the order of events alone: what tends to come next, and where trouble followed soon after. Nothing here "
+    "knows whether the work was good. Take each line as a guess to try for a week, and drop it if it does not hold."
+)
+
+
+def next_moves(events: DataFrame, **relaxed) -> DataFrame:
+    """One row, also for an empty log: kind, nudges (family, body, confidence, in order), footer, and meta with the number of sessions."""
+    built = build(events, **relaxed)
+    shown = rules.select_nudges(built.select("family", "priority", "body")).join(built.select("family", "body", "confidence").distinct(), ["family", "body"])
+    nudges = F.transform(F.sort_array(F.collect_list(F.struct("at", "family", "body", "confidence"))), lambda n: F.struct(n["family"].alias("family"), n["body"].alias("body"), n["confidence"].alias("confidence")))
+    said = shown.agg(F.lit("next_moves").alias("kind"), nudges.alias("nudges"), F.lit(FOOTER).alias("footer"))  # five rows at most
+    return said.crossJoin(events.agg(F.struct(F.count_distinct("session").alias("sessions")).alias("meta")))

@@ -64,7 +64,7 @@ def nudges_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nudges.ranked(_events(spark, sf_dir), min_lift=1.0, above_base=False, early={"a purchase": ("purchase",)})
 
 
-_M = """
+_COUNTS = """
     WITH c AS (
         SELECT user_id AS profile, count(*) AS n, count(*) FILTER (WHERE event_type = 'click') AS clicks, count(*) FILTER (WHERE event_type = 'view') AS views,
                count(*) FILTER (WHERE event_type = 'purchase') AS purchases, count(*) FILTER (WHERE event_type = 'error') AS errors,
@@ -75,13 +75,17 @@ _M = """
         SELECT *, n * 10 AS turns, n * 5 AS calls, errors * 2 AS corrections, round(100.0 * views / greatest(n * 4, 1)::DOUBLE, 1) AS rev, round(views / greatest(clicks, 1)::DOUBLE, 1) AS r2e,
                round(100.0 * purchases / greatest(n, 1)::DOUBLE, 1) AS reread, clicks * 3 AS files, views * 3 AS churn, purchases * 3 AS dispatches, errors % 2 AS planning, 100.0 - errors % 7 AS opus,
                clicks * 12.0 AS avg_min, n * 2 AS bash, clicks * 4 AS browser, CASE WHEN clicks > 0 THEN round(clicks / (clicks * 3)::DOUBLE, 1) ELSE 0.0 END AS epf,
-               CASE WHEN clicks > 0 THEN round((clicks + purchases) / (clicks * 3)::DOUBLE, 1) ELSE 0.0 END AS tpf, views % 16 AS servers, weekend * 100.0 / n::DOUBLE AS wk
+               CASE WHEN clicks > 0 THEN round((clicks + purchases) / (clicks * 3)::DOUBLE, 1) ELSE 0.0 END AS tpf, views % 16 AS servers, weekend * 100.0 / n::DOUBLE AS wk,
+               errors AS pounce, views AS reversals, n * 4 AS prompts, n * 2000000 AS cache, n * 10 AS max_turns, errors AS smaller
         FROM c
-    ),
+    )
+"""
+#: Cards, archetypes, edges and taxes of a table ``m`` of metrics.
+RULES_SQL = """
     cards AS (
         SELECT profile, 'model_mix' AS metric, 'model' AS family, 95 AS score, opus AS value, 0 AS rule FROM m WHERE opus >= 95
-        UNION ALL SELECT profile, 'pounce', 'latency', 94, errors, 1 FROM m WHERE errors <= 20 AND corrections >= 15
-        UNION ALL SELECT profile, 'reversals', 'reversals', 93, rev, 2 FROM m WHERE rev >= 4 AND views >= 10
+        UNION ALL SELECT profile, 'pounce', 'latency', 94, pounce, 1 FROM m WHERE pounce <= 20 AND corrections >= 15
+        UNION ALL SELECT profile, 'reversals', 'reversals', 93, rev, 2 FROM m WHERE rev >= 4 AND reversals >= 10
         UNION ALL SELECT profile, 'read_edit', 'read_edit', 92, r2e, 3 FROM m WHERE r2e < 1.2
         UNION ALL SELECT profile, 'todo', 'todo', 90, 0, 4 FROM m WHERE planning = 0 AND turns > 500
         UNION ALL SELECT profile, 'dispatch', 'dispatch', 86, dispatches, 5 FROM m WHERE dispatches >= 40
@@ -92,19 +96,19 @@ _M = """
         UNION ALL SELECT profile, 'bash', 'bash', 79, round(100 * bash / calls::DOUBLE, 0), 10 FROM m WHERE bash / calls::DOUBLE >= 0.25
         UNION ALL SELECT profile, 'browser', 'browser', 78, browser, 11 FROM m WHERE browser >= 100
         UNION ALL SELECT profile, 'hours', 'tempo', 74, night, 12 FROM m WHERE morning = 0 AND night > 200
-        UNION ALL SELECT profile, 'max_turns', 'endurance', 68, turns, 13 FROM m WHERE turns >= 500
+        UNION ALL SELECT profile, 'max_turns', 'endurance', 68, max_turns, 13 FROM m WHERE max_turns >= 500
         UNION ALL SELECT profile, 'reread', 'reread', 66, reread, 14 FROM m WHERE reread >= 25
-        UNION ALL SELECT profile, 'cache', 'scale', 60, n * 2000000, 15 FROM m WHERE n * 2000000 > 100000000
+        UNION ALL SELECT profile, 'cache', 'scale', 60, cache, 15 FROM m WHERE cache > 100000000
         UNION ALL SELECT profile, 'mcp', 'stack', 58, servers, 16 FROM m WHERE servers >= 12
     ),
     arch AS (
         SELECT profile, name, score FROM (
             SELECT *, row_number() OVER (PARTITION BY profile ORDER BY score DESC, rule) AS place FROM (
-                SELECT profile, 'The Pouncer' AS name, round(95 * least(100.0 * corrections / (n * 4)::DOUBLE / 8, 1.6), 2) AS score, 0 AS rule FROM m WHERE n * 4 >= 50 AND 100.0 * corrections / (n * 4)::DOUBLE >= 8 AND rev >= 4
+                SELECT profile, 'The Pouncer' AS name, round(95 * least(100.0 * corrections / prompts::DOUBLE / 8, 1.6), 2) AS score, 0 AS rule FROM m WHERE prompts >= 50 AND 100.0 * corrections / prompts::DOUBLE >= 8 AND rev >= 4
                 UNION ALL SELECT profile, 'The Director', round(88 * least(100.0 * dispatches / calls::DOUBLE / 2, 1.6), 2), 1 FROM m WHERE calls >= 300 AND 100.0 * dispatches / calls::DOUBLE >= 2
                 UNION ALL SELECT profile, 'The Bulldozer', 84.0, 2 FROM m WHERE opus >= 98 AND r2e < 1 AND planning = 0
                 UNION ALL SELECT profile, 'The Surgeon', 82.0, 3 FROM m WHERE files >= 15 AND epf <= 2 AND reread < 20
-                UNION ALL SELECT profile, 'The Marathoner', 76.0, 4 FROM m WHERE turns >= 800 AND avg_min >= 120
+                UNION ALL SELECT profile, 'The Marathoner', 76.0, 4 FROM m WHERE max_turns >= 800 AND avg_min >= 120
                 UNION ALL SELECT profile, 'The Night Builder', 80.0, 5 FROM m WHERE morning = 0
                 UNION ALL SELECT profile, 'The Terminal Native', 74.0, 6 FROM m WHERE round(100.0 * bash / calls::DOUBLE, 0) >= 30
                 UNION ALL SELECT profile, 'The Puppeteer', round(72 * least(100.0 * browser / calls::DOUBLE / 5, 1.6), 2), 7 FROM m WHERE calls >= 300 AND 100.0 * browser / calls::DOUBLE >= 5
@@ -113,18 +117,18 @@ _M = """
     ),
     et AS (
         SELECT * FROM (
-            SELECT profile, 'edge' AS side, 'reflex' AS key, 'reflex' AS family, 95 AS priority, 0 AS rule FROM m WHERE errors <= 12 AND corrections >= 15
+            SELECT profile, 'edge' AS side, 'reflex' AS key, 'reflex' AS family, 95 AS priority, 0 AS rule FROM m WHERE pounce <= 12 AND corrections >= 15
             UNION ALL SELECT profile, 'edge', 'dispatch', 'dispatch', 90, 1 FROM m WHERE dispatches >= 40
-            UNION ALL SELECT profile, 'edge', 'endurance', 'endurance', 85, 2 FROM m WHERE turns >= 300
+            UNION ALL SELECT profile, 'edge', 'endurance', 'endurance', 85, 2 FROM m WHERE max_turns >= 300
             UNION ALL SELECT profile, 'edge', 'bash', 'bash', 80, 3 FROM m WHERE bash / calls::DOUBLE >= 0.3
             UNION ALL SELECT profile, 'edge', 'churn', 'churn', 79, 4 FROM m WHERE files >= 40 AND tpf > 0 AND tpf <= 2 AND reread < 20
             UNION ALL SELECT profile, 'edge', 'reread', 'reread', 78, 5 FROM m WHERE reread >= 25
             UNION ALL SELECT profile, 'edge', 'planning', 'planning', 76, 6 FROM m WHERE planning >= 15
             UNION ALL SELECT profile, 'tax', 'steer', 'planning', 90, 7 FROM m WHERE r2e < 1 AND corrections >= 20
-            UNION ALL SELECT profile, 'tax', 'onegear', 'model', 85, 8 FROM m WHERE opus >= 98 AND errors <= greatest(20.0, round(turns * 0.01, 0))
+            UNION ALL SELECT profile, 'tax', 'onegear', 'model', 85, 8 FROM m WHERE opus >= 98 AND smaller <= greatest(20.0, round(turns * 0.01, 0))
             UNION ALL SELECT profile, 'tax', 'churn', 'churn', 72, 9 FROM m WHERE churn >= 40 AND files >= 20 AND churn >= 3 * tpf
             UNION ALL SELECT profile, 'tax', 'handoff', 'dispatch', 91, 10 FROM m WHERE dispatches >= 40 AND planning = 0 AND turns >= 500
-            UNION ALL SELECT profile, 'tax', 'longhaul', 'endurance', 86, 11 FROM m WHERE turns >= 800 AND avg_min >= 180
+            UNION ALL SELECT profile, 'tax', 'longhaul', 'endurance', 86, 11 FROM m WHERE max_turns >= 800 AND avg_min >= 180
             UNION ALL SELECT profile, 'tax', 'verify', 'reread', 80, 12 FROM m WHERE reread >= 40 AND r2e >= 3
         )
     ),
@@ -136,22 +140,30 @@ _M = """
         ) WHERE place <= CASE WHEN side = 'edge' THEN 4 ELSE 3 END
     )
 """
+_M = f"{_COUNTS}, {RULES_SQL}"
 _OWNS = ", ".join(f"('{a}', '{f}')" for a, fs in rules.OWNS.items() for f in fs)
 _MOVES = ", ".join(f"('{k}', '{b}')" for k, b in rules.MOVES.items())
-
-QUERIES = {f.__name__: f for f in (archetype_fit, insight_cards, insight_cards_ranked, report_edges_taxes, report_moves, reports, nudges_ranked)}
-
-ORACLES = {
-    "archetype_fit": f"{_M} SELECT profile, name, score::DOUBLE AS score FROM arch",
-    "insight_cards": f"{_M} SELECT profile, metric, family, score::BIGINT AS score, round(value::DOUBLE, 2) AS value FROM cards",
-    "insight_cards_ranked": f"""{_M}, owns(name, family) AS (VALUES {_OWNS}),
+CARDS_SQL = f"""owns(name, family) AS (VALUES {_OWNS}),
         k AS (SELECT c.profile, c.metric, c.family, c.score, c.rule, row_number() OVER (PARTITION BY c.profile, c.metric ORDER BY c.score DESC, c.rule) AS one FROM cards c
               WHERE c.family NOT IN ('scale', 'stack') AND NOT EXISTS (SELECT 1 FROM arch a JOIN owns o ON a.name = o.name WHERE a.profile = c.profile AND o.family = c.family)),
         cat(metric, what) AS (VALUES ('model_mix', 'taste'), ('pounce', 'reflex'), ('reversals', 'psyche'), ('read_edit', 'instinct'), ('todo', 'style'), ('dispatch', 'automation'), ('corrections', 'psyche'),
               ('weekend', 'devotion'), ('bash', 'instinct'), ('browser', 'operator'), ('hours', 'tempo'), ('max_turns', 'endurance'), ('reread', 'discipline'), ('cache', 'scale'), ('mcp', 'stack')),
         r AS (SELECT profile, 0 AS tier, name AS what, 'archetype' AS family, score::DOUBLE AS score, 0 AS rule FROM arch
               UNION ALL SELECT k.profile, 1, CASE WHEN k.rule = 6 THEN 'craft' WHEN k.rule = 8 THEN 'precision' ELSE cat.what END, k.family, k.score::DOUBLE, k.rule FROM k LEFT JOIN cat ON k.metric = cat.metric WHERE one = 1)
-        SELECT profile, place AS at, what, family, score FROM (SELECT *, row_number() OVER (PARTITION BY profile ORDER BY tier, score DESC, rule) AS place FROM r) WHERE place <= 10""",
-    "report_edges_taxes": f"{_M} SELECT profile, side, key, family, priority::BIGINT AS priority FROM report",
+        SELECT profile, place AS at, what, family, score FROM (SELECT *, row_number() OVER (PARTITION BY profile ORDER BY tier, score DESC, rule) AS place FROM r) WHERE place <= 10"""
+REPORTS_SQL = """n AS (SELECT profile, count(*) FILTER (WHERE side = 'edge') AS e, count(*) FILTER (WHERE side = 'tax') AS t FROM report GROUP BY profile)
+        SELECT m.profile, CASE WHEN NOT (a.name = 'The Night Builder' AND m.night <= 200) THEN a.name END AS archetype, CAST(coalesce(e, 0) AS INTEGER) AS n_edges,
+               CAST(coalesce(t, 0) AS INTEGER) AS n_taxes, CAST(coalesce(t, 0) AS INTEGER) AS n_moves
+        FROM m LEFT JOIN arch a ON m.profile = a.profile LEFT JOIN n ON m.profile = n.profile"""
+EDGES_SQL = "SELECT profile, side, key, family, priority::BIGINT AS priority FROM report"
+
+QUERIES = {f.__name__: f for f in (archetype_fit, insight_cards, insight_cards_ranked, report_edges_taxes, report_moves, reports, nudges_ranked)}
+
+ORACLES = {
+    "archetype_fit": f"{_M} SELECT profile, name, score::DOUBLE AS score FROM arch",
+    "insight_cards": f"{_M} SELECT profile, metric, family, score::BIGINT AS score, round(value::DOUBLE, 2) AS value FROM cards",
+    "insight_cards_ranked": f"{_M}, {CARDS_SQL}",
+    "report_edges_taxes": f"{_M} {EDGES_SQL}",
+    "reports": f"{_M}, {REPORTS_SQL}",
     "report_moves": f"{_M}, mv(key, body) AS (VALUES {_MOVES}) SELECT r.profile, r.key, mv.body FROM report r JOIN mv ON r.key = mv.key WHERE r.side = 'tax'",
 }

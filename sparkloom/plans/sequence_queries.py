@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import stats
 from ..functions import text as T
 from ..operators import sequences as Q
+from ..staging import stage
 
 
 def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,10 +79,10 @@ def session_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def novelty_tool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Relaxed: a tool is an event type and the weekday, so that some tools are rare."""
+    """Relaxed: a tool is an event type at an hour of the week, so that many tools are rare."""
     seq = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id"))
     is_error = F.col("event_type") == "error"
-    rows = _raw(spark, sf_dir).select(F.col("user_id").alias("session"), seq.alias("seq"), F.when(is_error, "correction").otherwise("tool").alias("kind"), F.when(~is_error, F.concat_ws("-", "event_type", F.dayofyear("ts"), F.hour("ts"))).alias("name"))
+    rows = _raw(spark, sf_dir).select(F.col("user_id").alias("session"), seq.alias("seq"), F.when(is_error, "correction").otherwise("tool").alias("kind"), F.when(~is_error, F.concat_ws("-", "event_type", F.weekday("ts"), F.hour("ts"))).alias("name"))
     return Q.novelty(rows)
 
 
@@ -89,6 +90,13 @@ def predict_next(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.predict_next(_events(spark, sf_dir), ["view", "click"])
 
 
+def predict_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What comes next after every session's last two tools."""
+    events = _events(spark, sf_dir)
+    found = Q.predict_all(stage(Q.suffixes(events), "suffixes"), Q.last_contexts(events))
+    return found.select("session", F.array_join("context", ">").alias("context"), "matched", "total", "at", "next", "n", "pct", "lift")
+
+
 def hour_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = _raw(spark, sf_dir).groupBy(F.hour("ts").alias("hour")).agg(F.count(F.lit(1)).alias("n"))
     return spark.range(24).select(F.col("id").cast("int").alias("hour")).join(n, "hour", "left").select("hour", F.coalesce("n", F.lit(0)).alias("n"))
@@ -224,7 +232,7 @@ _IS_REVERSAL = _keys_sql("lower(text)", T.REVERSAL)
 
 QUERIES = {f.__name__: f for f in (
     session_stats, base_tool_freq, markov_order1, markov_order2, high_lift_moves, signature_chain, post_trigger_rocky, post_trigger_dist, significance_gate, session_shape,
-    novelty_tool, predict_next, hour_histogram, weekday_histogram, peak_hour, night_owl_hour, session_durations, tool_mix_top15, error_pct, first_seen_repeats,
+    novelty_tool, predict_next, predict_sessions, hour_histogram, weekday_histogram, peak_hour, night_owl_hour, session_durations, tool_mix_top15, error_pct, first_seen_repeats,
     lag_since_last_error, wilson_by_group, binomial_two_sided, correction_tells, trigger_kind_mix, reversal_rate,
 )}
 
@@ -253,9 +261,23 @@ ORACLES = {
         h AS (SELECT e.session, bool_or(coalesce(e.seq <= greatest(3, floor(st.c / 5)) AND e.name = 'purchase', false)) AS has FROM ev e JOIN st ON e.session = st.session GROUP BY e.session)
         SELECT count(*) AS sessions, count(*) FILTER (WHERE has) AS n_with, count(*) FILTER (WHERE NOT has) AS n_without, round(avg(rate) FILTER (WHERE has), 3) AS rate_with, round(avg(rate) FILTER (WHERE NOT has), 3) AS rate_without
         FROM st JOIN h ON st.session = h.session HAVING count(*) >= 6 AND count(*) FILTER (WHERE has) >= 3 AND count(*) FILTER (WHERE NOT has) >= 3""",
+    "novelty_tool": """WITH ev AS (SELECT user_id AS session, event_type = 'error' AS bad, CASE WHEN event_type <> 'error' THEN event_type || '-' || (isodow(ts) - 1) || '-' || hour(ts) END AS name FROM events),
+        r AS (SELECT session, CASE WHEN count(name) > 0 THEN round(100.0 * count(*) FILTER (WHERE bad) / count(name)::DOUBLE, 1) ELSE 0.0 END AS rate FROM ev GROUP BY session), t AS (SELECT count(*) AS m, sum(rate) AS all_sum FROM r),
+        p AS (SELECT name, count(*) AS used_in, sum(rate) AS s, min(rate) AS low FROM (SELECT DISTINCT session, name FROM ev WHERE name IS NOT NULL) u JOIN r USING (session) GROUP BY name),
+        d AS (SELECT name, used_in, (all_sum - s) / greatest(m - used_in, 1)::DOUBLE AS rest, s, low FROM p, t WHERE m >= 8 AND used_in BETWEEN 3 AND greatest(3, floor(m / 4))),
+        o AS (SELECT name, used_in, round(rest - s / used_in, 4) AS delta, round(CASE WHEN used_in > 3 THEN rest - (s - low) / (used_in - 1) ELSE rest - s / used_in END, 4) AS delta_loo FROM d)
+        SELECT * FROM o WHERE delta > 0 AND delta_loo > 0""",
     "predict_next": f"""{_EV}, m AS (SELECT *, sum(n) OVER (PARTITION BY k)::BIGINT AS total FROM model WHERE context IN ('view>click', 'click')),
         b AS (SELECT * FROM m WHERE total >= 8 AND k = (SELECT max(k) FROM m WHERE total >= 8))
         SELECT next, b.n, total, round(100 * b.n / total::DOUBLE, 0) AS pct, round(b.n / total::DOUBLE / share, 2) AS lift FROM b JOIN base ON next = name ORDER BY b.n DESC, next LIMIT 5""",
+    "predict_sessions": f"""{_EV}, tail AS (
+            SELECT session, string_agg(name, '>' ORDER BY place DESC) AS context, max(CASE WHEN place = 1 THEN name END) AS last
+            FROM (SELECT session, name, row_number() OVER (PARTITION BY session ORDER BY seq DESC) AS place FROM ev WHERE kind = 'tool') WHERE place <= 2 GROUP BY session
+        ),
+        m AS (SELECT *, sum(n) OVER (PARTITION BY context)::BIGINT AS total, row_number() OVER (PARTITION BY context ORDER BY n DESC, next) AS "at" FROM model),
+        b AS (SELECT session, t.context, CASE WHEN EXISTS (SELECT 1 FROM m WHERE m.context = t.context AND total >= 8) THEN t.context ELSE last END AS used FROM tail t)
+        SELECT session, b.context, CAST(len(string_split(used, '>')) AS BIGINT) AS matched, total, "at", next, m.n, round(100 * m.n / total::DOUBLE, 0) AS pct, round(m.n / total::DOUBLE / share, 2) AS lift
+        FROM b JOIN m ON m.context = b.used JOIN base ON next = name WHERE total >= 8 AND "at" <= 5""",
     "hour_histogram": "SELECT h.hour, count(e.event_id) AS n FROM (SELECT CAST(range AS INTEGER) AS hour FROM range(24)) h LEFT JOIN events e ON hour(e.ts) = h.hour GROUP BY h.hour",
     "weekday_histogram": "SELECT d.day, count(e.event_id) AS n FROM (SELECT CAST(range AS INTEGER) AS day FROM range(7)) d LEFT JOIN events e ON (isodow(e.ts) - 1) = d.day GROUP BY d.day",
     "peak_hour": """WITH c AS (SELECT user_id, CAST(hour(ts) AS INTEGER) AS hour, count(*) AS n, min((ts, event_id)) AS f FROM events GROUP BY ALL)

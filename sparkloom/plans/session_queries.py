@@ -13,8 +13,12 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import sessions as S
 from ..staging import stage
+from . import rules
+from .rule_queries import CARDS_SQL, EDGES_SQL, REPORTS_SQL, RULES_SQL
 from .sequence_queries import _keys_sql
 
+#: Users whose numbers leave the same remainder share a profile, as if their sessions lay in one folder.
+PROFILES = 20
 PROMPTS = (
     "<system-reminder>wait</system-reminder> ", "No, that is wrong", "Go on please", "Please revert it", "Thank you wait a bit",
     "Fine, and scratch that<system-reminder>no, stop</system-reminder>",
@@ -66,6 +70,36 @@ def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.metrics(stage(S.records(lines), "records"), files)
 
 
+def _profile_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row of metrics for each profile; the first has an empty session besides."""
+    number = F.regexp_extract("session", r"\d+", 0).cast("int") % PROFILES
+    lines = _lines(spark, sf_dir).withColumn("profile", F.format_string("p%02d", number))
+    files = lines.select("profile", "session").distinct().unionByName(spark.range(1).select(F.lit("p00").alias("profile"), F.lit("empty.jsonl").alias("session")))
+    return S.metrics(S.records(lines, ("profile",)), files, ("profile",))
+
+
+def profile_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All metrics that are one number, for every profile at once."""
+    return _profile_metrics(spark, sf_dir).drop(*MAPS, "tokens_by_model")
+
+
+def profile_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archetype and cards of every profile, from the metrics of its session logs."""
+    return rules.visible_cards(stage(_profile_metrics(spark, sf_dir), "profile-metrics"))
+
+
+def profile_edges_taxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rules.edges_and_taxes(stage(_profile_metrics(spark, sf_dir), "profile-metrics"))
+    return found.select("profile", "side", "key", "family", F.col("priority").cast("long").alias("priority"))
+
+
+def profile_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archetype and numbers of edges, taxes and moves of every profile, from the metrics of its session logs."""
+    out = rules.report(stage(_profile_metrics(spark, sf_dir), "profile-metrics"))
+    n = lambda side: F.coalesce(F.size(side), F.lit(0)).alias(f"n_{side}")
+    return out.select("profile", F.col("archetype.name").alias("archetype"), n("edges"), n("taxes"), n("moves"))
+
+
 def session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.events(S.records(_lines(spark, sf_dir))).withColumn("seq", F.col("seq").cast("long"))
 
@@ -90,7 +124,7 @@ def _array(values: tuple[str, ...]) -> str:
 _STRIPPED = f"nullif(trim(regexp_replace({_array(PROMPTS)}, '(?s)<system-reminder>.*?</system-reminder>', '', 'g')), '')"
 _LOG = f"""
     WITH rec AS (
-        SELECT 's' || user_id || '.jsonl' AS session, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, event_id, event_type,
+        SELECT 's' || user_id || '.jsonl' AS session, 'p' || lpad(CAST(user_id % {PROFILES} AS VARCHAR), 2, '0') AS profile, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, event_id, event_type,
                event_type NOT IN ('error', 'signup') AS bot, CASE WHEN event_id % 97 <> 0 THEN ts END AS ts, CASE WHEN event_type = 'signup' THEN {_STRIPPED} END AS prompt,
                CASE WHEN event_type = 'error' THEN CAST(event_id % 4 <> 0 AS INTEGER) + CAST(event_id % 5 = 0 AS INTEGER) ELSE 0 END AS n_errors,
                CASE WHEN event_type NOT IN ('error', 'signup') THEN nullif({_array(MODELS)}, '') END AS model
@@ -98,11 +132,11 @@ _LOG = f"""
     ),
     said AS (SELECT *, coalesce({_keys_sql("left(lower(prompt), 70)", T.CORRECTION)}, false) AS corrects, coalesce({_keys_sql("lower(prompt)", T.REVERSAL)}, false) AS reverses,
         max(CASE WHEN bot THEN ts END) OVER (PARTITION BY session ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_bot FROM rec),
-    firsts AS (SELECT session, seq, event_id, CASE event_type WHEN 'view' THEN 'Read' WHEN 'click' THEN CASE WHEN event_id % 2 = 0 THEN 'Edit' ELSE 'Bash' END ELSE coalesce(nullif({_array(BUYS)}, ''), '?') END AS name FROM rec WHERE bot),
+    firsts AS (SELECT profile, session, seq, event_id, CASE event_type WHEN 'view' THEN 'Read' WHEN 'click' THEN CASE WHEN event_id % 2 = 0 THEN 'Edit' ELSE 'Bash' END ELSE coalesce(nullif({_array(BUYS)}, ''), '?') END AS name FROM rec WHERE bot),
     uses AS (
-        SELECT session, seq, 0 AS pos, name, CASE WHEN name IN ('Read', 'Edit', 'Write') THEN '/f/' || (event_id % 20) END AS path FROM firsts WHERE event_id % 4 >= 1
-        UNION ALL SELECT session, seq, 1, 'Read', '/f/' || (event_id % 7) FROM firsts WHERE event_id % 4 >= 2
-        UNION ALL SELECT session, seq, 2, 'Bash', NULL FROM firsts WHERE event_id % 4 = 3
+        SELECT profile, session, seq, 0 AS pos, name, CASE WHEN name IN ('Read', 'Edit', 'Write') THEN '/f/' || (event_id % 20) END AS path FROM firsts WHERE event_id % 4 >= 1
+        UNION ALL SELECT profile, session, seq, 1, 'Read', '/f/' || (event_id % 7) FROM firsts WHERE event_id % 4 >= 2
+        UNION ALL SELECT profile, session, seq, 2, 'Bash', NULL FROM firsts WHERE event_id % 4 = 3
     ),
     again AS (SELECT *, name = 'Read' AND row_number() OVER (PARTITION BY session, name, path ORDER BY seq, pos) > 1 AS again, CASE WHEN name LIKE 'mcp%' THEN split_part(name, '__', 2) END AS server FROM uses),
     timed AS (SELECT *, CAST(hour(ts) AS INTEGER) AS h, CAST(isodow(ts) - 1 AS INTEGER) AS d FROM rec WHERE ts IS NOT NULL),
@@ -115,8 +149,64 @@ _LOG = f"""
 _PCT = "round(100.0 * ({}) / greatest({}, 1)::DOUBLE, 1)"
 _PER = "round(({}) / greatest({}, 1)::DOUBLE, {})"
 
-QUERIES = {f.__name__: f for f in (session_events, session_metrics, session_metric_maps)}
+_BY_PROFILE = f"""{_LOG}, waits AS (SELECT profile, epoch_us(ts - last_bot) / 1e6 AS w FROM said WHERE corrects AND ts > last_bot AND ts - last_bot < INTERVAL 1 HOUR),
+    m1 AS (
+        SELECT profile, count(*) FILTER (WHERE NOT bot) AS user_turns, count(prompt) AS real_user_prompts, count(*) FILTER (WHERE bot) AS assistant_turns, count(*) FILTER (WHERE reverses) AS reversal_count,
+               sum(n_errors)::BIGINT AS tool_errors, count(*) FILTER (WHERE event_id % 50 = 0) AS bash_interrupted, count(*) FILTER (WHERE bot AND event_id % 3 = 0) AS thinking_blocks,
+               coalesce(sum(event_id % 50) FILTER (WHERE bot AND event_id % 3 = 0), 0)::BIGINT AS thinking_chars, count(*) FILTER (WHERE bot AND event_id % 4 > 1) AS multi_tool_turns,
+               CAST(coalesce(max(event_id % 4) FILTER (WHERE bot), 0) AS INTEGER) AS max_parallel_tools, count(DISTINCT nullif(event_id % 4, 0)) AS git_branches,
+               CAST(min(CASE WHEN hour(ts) <= 4 THEN hour(ts) END) AS INTEGER) AS night_owl_hour, {_PCT.format("count(*) FILTER (WHERE contains(model, 'opus'))", "count(model)")} AS opus_pct
+        FROM said GROUP BY profile
+    ),
+    c1 AS (SELECT profile, round(median(w), 1) AS pounce_median_sec, count(*) AS corrections_caught FROM waits GROUP BY profile),
+    t1 AS (
+        SELECT profile, count(*) AS tool_calls, count(*) FILTER (WHERE name = 'Read') AS "read", count(*) FILTER (WHERE name = 'Edit') AS edit, count(*) FILTER (WHERE name = 'Write') AS "write",
+               count(*) FILTER (WHERE name = 'Bash') AS bash, count(*) FILTER (WHERE again) AS reread_events, count(*) FILTER (WHERE name = 'Workflow') AS workflow_calls,
+               count(*) FILTER (WHERE name IN ('Agent', 'Task')) AS agent_calls, count(*) FILTER (WHERE name = 'TodoWrite') AS todo_calls, count(server) AS mcp_calls, count(DISTINCT server) AS mcp_servers_used
+        FROM again GROUP BY profile
+    ),
+    f1 AS (SELECT profile, count(*) AS distinct_files_edited, max(n) AS most_churned_file_edits FROM (SELECT profile, path, count(*) AS n FROM uses WHERE name IN ('Edit', 'Write') GROUP BY profile, path) GROUP BY profile),
+    p1 AS (SELECT profile, session, count(*) FILTER (WHERE bot) AS turns, epoch_us(max(ts) - min(ts)) / 60e6 AS minutes FROM rec GROUP BY profile, session),
+    s1 AS (
+        SELECT profile, count(*) + CASE WHEN profile = 'p00' THEN 1 ELSE 0 END AS sessions, coalesce(round(max(minutes), 1), 0) AS longest_session_min, coalesce(round(avg(minutes), 1), 0) AS avg_session_min,
+               coalesce(round(sum(minutes) / 60, 1), 0) AS total_active_hours, max(turns) AS max_turns_in_session
+        FROM p1 GROUP BY profile
+    ),
+    k1 AS (SELECT profile, h AS peak_hour FROM (SELECT profile, h, row_number() OVER (PARTITION BY profile ORDER BY count(*) DESC, min((session, seq))) AS place FROM timed GROUP BY profile, h) WHERE place = 1),
+    pm AS (
+        SELECT m1.*, pounce_median_sec, coalesce(corrections_caught, 0) AS corrections_caught, coalesce(tool_calls, 0) AS tool_calls, coalesce("read", 0) AS "read", coalesce(edit, 0) AS edit, coalesce("write", 0) AS "write",
+               coalesce(bash, 0) AS bash, coalesce(reread_events, 0) AS reread_events, coalesce(workflow_calls, 0) AS workflow_calls, coalesce(agent_calls, 0) AS agent_calls, coalesce(todo_calls, 0) AS todo_calls,
+               coalesce(mcp_calls, 0) AS mcp_calls, coalesce(mcp_servers_used, 0) AS mcp_servers_used, coalesce(distinct_files_edited, 0) AS distinct_files_edited, coalesce(most_churned_file_edits, 0) AS most_churned_file_edits,
+               sessions, longest_session_min, avg_session_min, total_active_hours, max_turns_in_session, peak_hour
+        FROM m1 LEFT JOIN c1 USING (profile) LEFT JOIN t1 USING (profile) LEFT JOIN f1 USING (profile) LEFT JOIN s1 USING (profile) LEFT JOIN k1 USING (profile)
+    ),
+    pr AS (
+        SELECT *, {_PCT.format("reversal_count", "real_user_prompts")} AS reversal_rate_per_100, {_PER.format('"read"', "edit", 1)} AS read_to_edit_ratio, {_PER.format('"read"', '"write"', 1)} AS read_to_write_ratio,
+               {_PCT.format("reread_events", '"read"')} AS reread_pct, {_PCT.format("tool_errors", "tool_calls")} AS tool_error_pct, {_PER.format("thinking_chars", "assistant_turns", 0)} AS avg_thinking_chars_per_turn
+        FROM pm
+    )
+"""
+#: The names that the rules' SQL has for metrics; the logs hold no browser, and no tools that track tasks but one.
+_FOR_RULES = f"""{_BY_PROFILE},
+    times AS (SELECT profile, count(*) FILTER (WHERE h BETWEEN 6 AND 12) AS morning, count(*) FILTER (WHERE h BETWEEN 2 AND 4) AS night, count(*) FILTER (WHERE d >= 5) * 100.0 / greatest(count(*), 1)::DOUBLE AS wk FROM timed GROUP BY profile),
+    less AS (SELECT profile, count(*) FILTER (WHERE family IN ('haiku', 'sonnet')) AS smaller FROM fam GROUP BY profile),
+    cached AS (SELECT rec.profile, sum(n)::BIGINT AS cache FROM tok JOIN rec USING (event_id) WHERE token = 'cache_read' GROUP BY rec.profile),
+    m AS (
+        SELECT profile, assistant_turns AS turns, greatest(tool_calls, 1) AS calls, corrections_caught AS corrections, reversal_rate_per_100 AS rev, read_to_edit_ratio AS r2e, reread_pct AS reread, distinct_files_edited AS files,
+               most_churned_file_edits AS churn, workflow_calls + agent_calls AS dispatches, todo_calls AS planning, opus_pct AS opus, avg_session_min AS avg_min, bash, 0 AS browser,
+               CASE WHEN distinct_files_edited > 0 THEN round(edit / distinct_files_edited::DOUBLE, 1) ELSE 0.0 END AS epf, CASE WHEN distinct_files_edited > 0 THEN round((edit + "write") / distinct_files_edited::DOUBLE, 1) ELSE 0.0 END AS tpf,
+               mcp_servers_used AS servers, wk, morning, night, pounce_median_sec AS pounce, reversal_count AS reversals, coalesce(nullif(real_user_prompts, 0), greatest(assistant_turns, 1)) AS prompts, coalesce(cache, 0) AS cache,
+               max_turns_in_session AS max_turns, coalesce(smaller, 0) AS smaller
+        FROM pr LEFT JOIN times USING (profile) LEFT JOIN less USING (profile) LEFT JOIN cached USING (profile)
+    ), {RULES_SQL}
+"""
+
+QUERIES = {f.__name__: f for f in (session_events, session_metrics, session_metric_maps, profile_metrics, profile_cards, profile_edges_taxes, profile_reports)}
 ORACLES = {
+    "profile_metrics": f"{_BY_PROFILE} SELECT * FROM pr",
+    "profile_cards": f"{_FOR_RULES}, {CARDS_SQL}",
+    "profile_reports": f"{_FOR_RULES}, {REPORTS_SQL}",
+    "profile_edges_taxes": f"{_FOR_RULES} {EDGES_SQL}",
     "session_events": f"""{_LOG}, every AS (
             SELECT session, seq, pos, 'tool' AS kind, name FROM uses UNION ALL SELECT session, seq, 0, 'error', NULL FROM rec WHERE n_errors > 0
             UNION ALL SELECT session, seq, 0, CASE WHEN corrects THEN 'correction' ELSE 'reversal' END, NULL FROM said WHERE corrects OR reverses

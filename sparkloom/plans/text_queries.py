@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import passages
+from ..operators import audit, passages
 from ..sources import corpus
 
 
@@ -42,6 +42,16 @@ def redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", F.md5(clean).alias("md5"), (clean != F.col("text")).alias("changed"))
 
 
+def leak_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as JSON texts without a schema, two levels down in another JSON text: what the privacy gate finds inside."""
+    rows = _docs(spark, sf_dir)
+    inner = F.to_json(F.struct(F.col("lang").alias("tongue"), F.array(F.create_map(F.lit("body"), F.col("text"))).alias("parts")))
+    outer = F.to_json(F.struct(F.struct(F.array(inner).alias("held")).alias("record")))
+    strings = audit.seen_through(F.array(outer))
+    seen = rows.select("doc_id", F.filter(strings, lambda x: ~x.rlike(r"^\s*[\[{]")).alias("s"))
+    return seen.select("doc_id", F.size("s").cast("long").alias("n_strings"), F.exists("s", T.leaks).alias("real"))
+
+
 def leak_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
     return _docs(spark, sf_dir).select("doc_id", T.leaks_anything(text).alias("anything"), T.leaks(text).alias("real"), T.has_number(text).alias("has_number"))
@@ -99,6 +109,31 @@ def _traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.select(F.format_string("conv%d.jsonl", "conv_id").alias("name"), "text")
 
 
+def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as files of three kinds, by number: JSON arrays of records, JSON lines, and a kind that can't be read.
+
+    What was said comes as blocks: a text, a call of a tool, and a result.
+    """
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    block = lambda kind, **fields: F.to_json(F.struct(F.lit(kind).alias("type"), *(v.alias(k) for k, v in fields.items())))
+    blocks = F.concat_ws(",", block("text", text=F.col("text")), block("tool_use", name=F.lit("Read"), input=F.struct(F.col("turn").alias("n"))), block("tool_result", content=F.col("text")))
+    named = F.when(F.col("conv_id") % 3 == 0, F.to_json(F.struct(F.concat(F.lit("Turn "), F.col("turn")).alias("label"), F.col("role").alias("domain")))).otherwise(F.to_json(F.struct("role")))
+    entry = F.concat(F.regexp_replace(named, r"\}$", ""), F.lit(',"content":['), blocks, F.lit("]}"))
+    files = rows.select("conv_id", "turn", entry.alias("entry")).groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "entry"))), lambda x: x["entry"]).alias("entries"))
+    kind = F.col("conv_id") % 3
+    suffix = F.when(kind == 0, "json").when(kind == 1, "jsonl").otherwise("pdf")
+    text = F.when(kind == 0, F.concat(F.lit("["), F.array_join("entries", ","), F.lit("]"))).otherwise(F.array_join("entries", "\n"))
+    return files.select(F.format_string("conv%d.%s", "conv_id", suffix).alias("name"), text.alias("text"))
+
+
+def mixed_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.ingest(_mixed(spark, sf_dir))[0].select("id", "label", "domain", F.md5("text").alias("md5"))
+
+
+def mixed_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.ingest(_mixed(spark, sf_dir))[1]
+
+
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources as brains: a manifest of English counts, upserted with those of all languages of a few sources."""
     from ..sources import sinks
@@ -218,9 +253,18 @@ _TRACE = f"""
     WITH body AS (SELECT 'conv' || conv_id || '.jsonl' AS file, role, {_TRACE_WS} AS body, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS place FROM conversations)
 """
 
+_MIXED_BODY = _trim(f"regexp_replace(coalesce(text, '') || ' used tool Read: {{\"n\":' || turn || '}} ' || left(coalesce(text, ''), 200), '{_WS}+', ' ', 'g')")
+_MIXED = f"""
+    WITH body AS (
+        SELECT 'conv' || conv_id || CASE conv_id % 3 WHEN 0 THEN '.json' WHEN 1 THEN '.jsonl' ELSE '.pdf' END AS file, conv_id % 3 AS kind, turn, role, {_MIXED_BODY} AS body,
+               row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS place, CASE conv_id % 3 WHEN 0 THEN {corpus.MIN_RECORD} ELSE {corpus.MIN_TRACE} END AS least
+        FROM conversations
+    )
+"""
+
 QUERIES = {f.__name__: f for f in (
-    slugify_labels, first_words_label, trim_to_limit, clean_markdown, strip_markdown, redact_documents, leak_flags, escape_pages, short_numbers, tool_names,
-    sentence_counts, sentence_chunks, passage_concepts, short_documents, trace_concepts, ingest_notes, manifest, parsed_times, last_first_per_id,
+    slugify_labels, first_words_label, trim_to_limit, clean_markdown, strip_markdown, redact_documents, leak_flags, leak_nested, escape_pages, short_numbers, tool_names,
+    sentence_counts, sentence_chunks, passage_concepts, short_documents, trace_concepts, ingest_notes, mixed_concepts, mixed_notes, manifest, parsed_times, last_first_per_id,
 )}
 
 ORACLES = {
@@ -233,6 +277,12 @@ ORACLES = {
         md5({_redacted(f"left(whole, {passages.CAP})")}) AS md5 FROM concept""",
     "trace_concepts": f"""{_TRACE} SELECT {_slugged("file", 60, "c")} || '-' || place AS id, {_redacted(f"left({_words('body', 6)}, 60)")} AS label, {_slugged("role", 20, "trace")} AS domain,
         md5({_redacted(f"left(body, {corpus.CAP})")}) AS md5 FROM body WHERE length(body) >= {corpus.MIN_TRACE}""",
+    "mixed_concepts": f"""{_MIXED} SELECT {_slugged("file", 60, "c")} || '-' || place AS id, {_redacted(f"left(CASE WHEN kind = 0 THEN 'Turn ' || turn ELSE {_words('body', 6)} END, 60)")} AS label,
+        CASE WHEN kind = 0 THEN {_slugged("role", 20, "c")} ELSE {_slugged("role", 20, "trace")} END AS domain, md5({_redacted(f"left(body, {corpus.CAP})")}) AS md5
+        FROM body WHERE kind < 2 AND length(body) >= least""",
+    "mixed_notes": f"""{_MIXED}, c AS (SELECT file, kind, count(*) AS n, count(*) FILTER (WHERE length(body) >= least) AS k FROM body GROUP BY file, kind)
+        SELECT file, CASE WHEN kind = 2 THEN 'info' WHEN k = 0 THEN 'error' WHEN k < n THEN 'warn' ELSE 'info' END AS level,
+               CASE WHEN kind = 2 THEN 'type not supported' WHEN k = 0 THEN 'no usable text in ' || n || ' entries' ELSE k || ' of ' || n || ' entries used, 0 broken, ' || (n - k) || ' too short' END AS message FROM c""",
     "ingest_notes": f"""{_TRACE}, c AS (SELECT file, count(*) AS n, count(*) FILTER (WHERE length(body) >= {corpus.MIN_TRACE}) AS k FROM body GROUP BY file)
         SELECT file, CASE WHEN k = 0 THEN 'error' WHEN k < n THEN 'warn' ELSE 'info' END AS level,
                CASE WHEN k = 0 THEN 'no usable text in ' || n || ' entries' ELSE k || ' of ' || n || ' entries used, 0 broken, ' || (n - k) || ' too short' END AS message FROM c""",
@@ -246,6 +296,8 @@ ORACLES = {
     "redact_documents": f"SELECT doc_id, md5({_RED}) AS md5, {_RED} <> text AS changed FROM documents",
     "leak_flags": f"""SELECT doc_id, regexp_matches(text, '[/\\\\@]') OR regexp_matches(text, '{_q(T.LEAK_SECRET)}') AS anything,
         regexp_matches(text, '{_q(T.LEAK_PATH)}') OR regexp_matches(text, '{_q(T.LEAK_EMAIL)}') OR regexp_matches(text, '{_q(T.LEAK_SECRET)}') AS real, regexp_matches(text, '[0-9]') AS has_number FROM documents""",
+    "leak_nested": f"""SELECT doc_id, 5::BIGINT + (lang IS NOT NULL)::BIGINT + (text IS NOT NULL AND NOT regexp_matches(text, '^\\s*[\\[{{]'))::BIGINT AS n_strings,
+        coalesce(regexp_matches(text, '{_q(T.LEAK_PATH)}') OR regexp_matches(text, '{_q(T.LEAK_EMAIL)}') OR regexp_matches(text, '{_q(T.LEAK_SECRET)}'), false) AS real FROM documents""",
     "escape_pages": """SELECT page_id, md5(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;')) AS md5, sha1(url) AS url_hash FROM pages""",
     "short_documents": f"SELECT length({_CLEAN}) < 30 AS too_short, length({_CLEAN}) > 900 AS wall, count(*) AS n FROM documents GROUP BY ALL",
     "sentence_counts": f"SELECT doc_id, len({_SENT}) AS n, md5(array_to_string({_SENT}, '|')) AS md5 FROM documents",

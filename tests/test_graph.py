@@ -95,17 +95,85 @@ def test_layout_has_its_radii_and_no_mean(nodes):
 
 def test_walk_follows_edges_dreams_and_is_repeatable(spark):
     ring = spark.createDataFrame([(min(k, (k + 1) % 6), max(k, (k + 1) % 6), 0.9, k == 2) for k in range(6)], "s long, t long, w double, is_long boolean")
-    rows = walk.walk(ring, 3, 120).collect()
+    rows = walk.walk(ring, 40, 9).collect()
     by = {k: [r for r in rows if r.kind == k] for k in ("neuron", "synapse", "insight")}
     assert len(by["neuron"]) == 360 and len(by["synapse"]) == 720 and 20 < len(by["insight"]) < 80 and len(rows) == sum(map(len, by.values()))
     follows = [r for r in by["neuron"] if r.weight > 0]
     assert 200 < len(follows) < 320 and all((r.node - r.came_from) % 6 in (1, 5) for r in follows)
-    for w in range(3):  # a dream moves no attention: each neuron comes from the one before
+    for w in range(40):  # a dream moves no attention: each neuron comes from the one before
         path = sorted((r.step, r.came_from, r.node) for r in by["neuron"] if r.walker == w)
         assert all(b[1] == a[2] for a, b in zip(path, path[1:], strict=False))
     assert all((r.node - r.came_from) % 6 in (1, 5) for r in rows if r.kind == "synapse") and all({r.node, r.came_from} == {2, 3} for r in rows if r.kind == "insight")
-    assert rows == walk.walk(ring, 3, 120).collect()
-    assert walk.pick(np.array([0.0, 3.0, 1.0]), 0.74) == 1 and walk.pick(np.zeros(4), 0.5) == 2 and walk.novelty(1) == 0.5
+    assert sorted(rows) == sorted(walk.walk(ring, 40, 9).collect())
+
+
+def plain_walk(edges, walkers, steps, draws):
+    """One walker after the other, with the same draws; returns events, and what is active in the end."""
+    ids = sorted({x for s, t, _, _ in edges for x in (s, t)})
+    near = {i: sorted((b, w) for s, t, w, _ in edges for a, b in ((s, t), (t, s)) if a == i) for i in ids}
+    far = sorted((s, t, w) for s, t, w, is_far in edges if is_far)
+    events, active = [], {}
+    for k in range(walkers):
+        u = lambda step, purpose, k=k: draws[k, step, purpose]
+        focus, visits, act = ids[int(u(-1, walk._JUMP) * len(ids))], {}, {}
+        for step in range(steps):
+            before, weight = focus, 0.0
+            if near[focus] and u(step, walk._FOLLOW) < walk.FOLLOW:
+                scores = [max(w, 0) / (1 + visits.get(j, 0)) for j, w in near[focus]]
+                at, left = 0, u(step, walk._PICK) * sum(scores)
+                total = scores[0]
+                while total <= left and at < len(scores) - 1:
+                    at += 1
+                    total += scores[at]
+                if sum(scores) <= 0:
+                    at = int(u(step, walk._PICK) * len(scores))
+                focus, weight = near[focus][at]
+            else:
+                focus = ids[int(u(step, walk._JUMP) * len(ids))]
+                for x in range(1, walk.SAMPLES + 1):
+                    other = ids[int(u(step, walk._JUMP + x) * len(ids))]
+                    if visits.get(other, 0) < visits.get(focus, 0):
+                        focus = other
+            visits[focus] = visits.get(focus, 0) + 1
+            act = {i: a * walk.DECAY**walk.STEP_SECONDS for i, a in act.items()}
+            act[focus] = 1.0
+            events.append((k, step, "neuron", focus, before, weight))
+            for j, w in near[focus]:
+                act[j] = min(1.0, act.get(j, 0) + max(0.0, w) * walk.GAIN)
+                events.append((k, step, "synapse", j, focus, w))
+            if far and u(step, walk._DREAM) < walk.DREAM:
+                s, t, w = far[int(u(step, walk._WHICH) * len(far))]
+                act[s] = act[t] = 1.0
+                events.append((k, step, "insight", t, s, w))
+        active[k] = act
+    return events, active
+
+
+@pytest.mark.parametrize("far", [True, False])
+def test_walk_equals_plain_walkers(spark, far):
+    r = np.random.default_rng(4)
+    pairs = sorted({tuple(sorted(map(int, p))) for p in r.integers(0, 30, (60, 2)) if p[0] != p[1]})
+    edges = [(10 * a, 10 * b, round(float(r.normal(0.4, 0.4)), 3), far and a % 3 == 0) for a, b in pairs]
+    walkers, steps, seed = 25, 8, 11
+    purposes = range(walk._JUMP + walk.SAMPLES + 1)
+    draws = {}
+    steps_of = F.explode(F.sequence(F.lit(-1), F.lit(steps - 1))).alias("step")
+    for row in spark.range(walkers).select("id", steps_of).select("id", "step", *(walk.draw(seed, F.col("id"), F.col("step"), p).alias(f"u{p}") for p in purposes)).collect():
+        draws |= {(row["id"], row["step"], p): row[f"u{p}"] for p in purposes}
+    got = walk.supersteps(spark.createDataFrame(edges, "s long, t long, w double, is_long boolean"), walkers, steps, seed).cache()
+    want, active = plain_walk(edges, walkers, steps, draws)
+    assert sorted(map(tuple, got.select("walker", "step", F.inline("fired")).collect())) == sorted(want)
+    ids = sorted({x for e in edges for x in e[:2]})
+    for row in got.where(F.col("step") == steps - 1).collect():
+        assert {ids[i]: a for i, a in row.act.items() if a >= walk.FAINT} == pytest.approx({i: a for i, a in active[row.walker].items() if a >= walk.FAINT})
+        assert sum(row.visits.values()) == steps
+    assert {e[2] for e in want} == ({"neuron", "synapse", "insight"} if far else {"neuron", "synapse"})
+    values = list(draws.values())
+    assert 0 <= min(values) and max(values) < 1 and abs(sum(values) / len(values) - 0.5) < 0.02
+
+
+def test_walk_on_no_edges(spark):
+    assert walk.walk(spark.createDataFrame([], "s long, t long, w double, is_long boolean"), 3, 3).count() == 0
 
 
 def test_spread_caps_at_one_and_decay_shrinks(spark):

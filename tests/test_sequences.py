@@ -83,3 +83,31 @@ def test_significance_needs_disjoint_intervals(spark):
     rows = [("error", "A", 60, 0.0, 60, 50, 0.0, 70.0, 90.0), ("error", "B", 40, 0.0, 40, 4, 0.0, 5.0, 20.0), ("x", "A", 30, 0.0, 30, 9, 0.0, 20.0, 40.0), ("x", "B", 20, 0.0, 20, 5, 0.0, 15.0, 35.0)]
     post = spark.createDataFrame(rows, "trigger string, next_tool string, n long, pct double, rocky_n long, rocky_hits long, rocky_pct double, ci_low double, ci_high double")
     assert {r.trigger: r.better for r in Q.significance(post).collect()} == {"error": "B", "x": None}
+
+
+def test_bulk_prediction_equals_one_context_at_a_time(spark):
+    import random
+
+    r = random.Random(9)
+    rows, logs = [], {}
+    for s in range(40):
+        names = [r.choice("abcde" if s % 3 else "ab") for _ in range(r.randint(0, 25))]
+        logs[s] = names
+        rows += [(s, k, "tool", n) for k, n in enumerate(names)] + [(s, 100, "error", None)]
+    events = spark.createDataFrame(rows, "session long, seq long, kind string, name string").cache()
+    contexts = Q.last_contexts(events)
+    assert {c.session: c.context for c in contexts.collect()} == {s: n[-2:] for s, n in logs.items() if n}
+    got = {}
+    for row in Q.predict_all(Q.suffixes(events), contexts).collect():
+        got.setdefault(tuple(row.context), {})[row.at] = (row.next, row.n, row.total, row.pct, row.lift)
+    for context in {tuple(n[-2:]) for n in logs.values() if n}:
+        want = [tuple(x) for x in Q.predict_next(events, list(context)).collect()]
+        assert [got.get(context, {}).get(k + 1) for k in range(len(want))] == want and len(got.get(context, {})) == len(want)
+
+
+def test_bulk_prediction_backs_off_and_may_know_nothing(spark):
+    rows = [(0, k, "tool", "ab"[k % 2]) for k in range(40)]
+    table = Q.suffixes(spark.createDataFrame(rows, "session long, seq long, kind string, name string"), order=3)
+    asked = spark.createDataFrame([(1, ["z", "a"]), (2, ["a", "b", "a"]), (3, ["z"]), (4, []), (5, None)], "id long, context array<string>")
+    got = {r.id: (r.matched, r.next) for r in Q.predict_all(table, asked, order=3).collect()}
+    assert got == {1: (1, "b"), 2: (3, "b")}

@@ -128,3 +128,60 @@ def test_teaser(row):
         empty = empty.withColumn(name, F.lit(0))
     empty = empty.withColumn("top_tools", F.create_map().cast("map<string,bigint>"))
     assert rules.teaser(rules.report(empty)).first().teaser == "Not enough yet."
+
+
+def test_metrics_by_profile_equal_those_of_each_folder(spark, folder, row, tmp_path):
+    import shutil
+
+    for name in ("ann", "bob"):
+        shutil.copytree(folder, tmp_path / name)
+    (tmp_path / "bob" / "s2.jsonl").unlink()
+    (tmp_path / "cy").mkdir()
+    (tmp_path / "cy" / "s0.jsonl").write_text('{"timestamp": "soon", "message": {"role": "user", "content": "hi"}}\n')
+    lines = sessions.read_profiles(spark, str(tmp_path))
+    files = spark.createDataFrame([(n, f.name) for n in ("ann", "bob", "cy") for f in (tmp_path / n).glob("*.jsonl")] + [("dee", "none.jsonl")], "profile string, session string")
+    found = sessions.metrics(sessions.records(lines, ("profile",)), files, ("profile",)).cache()
+    got = {r.profile: r.asDict() for r in found.collect()}
+    assert set(got) == {"ann", "bob", "cy", "dee"}
+    assert {k: v for k, v in got["ann"].items() if k != "profile"} == row.first().asDict()
+    bob = sessions.metrics(sessions.records(sessions.read(spark, str(tmp_path / "bob"))), sessions.files(spark, str(tmp_path / "bob"))).first().asDict()
+    assert {k: v for k, v in got["bob"].items() if k != "profile"} == bob and bob["sessions"] == 3
+    assert (got["cy"]["user_turns"], got["cy"]["assistant_turns"], got["cy"]["peak_hour"], got["cy"]["pounce_median_sec"], got["cy"]["models"]) == (1, 0, None, None, {})
+    assert got["dee"]["sessions"] == 1 and got["dee"]["user_turns"] == 0 and sum(got["dee"]["hour_histogram"].values()) == 0
+    shown = rules.visible_cards(found).collect()
+    assert {r.profile for r in shown} >= {"ann", "bob"} and [r.what for r in shown if r.profile == "ann" and r["at"] == 1] == ["The Pouncer"]
+
+
+def test_metrics_read_their_records_once(spark, folder):
+    recs = sessions.records(sessions.read(spark, folder))
+    plan = sessions.metrics(recs, sessions.files(spark, folder))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan text") == 1
+
+
+def test_no_records_at_all_make_one_row_of_zeros(spark, folder):
+    recs = sessions.records(sessions.read(spark, folder)).limit(0)
+    m = sessions.metrics(recs, spark.createDataFrame([], "session string")).first()
+    assert (m.sessions, m.user_turns, m.tool_calls, m.longest_session_min, m.top_tools, m.tokens["input"]) == (0, 0, 0, 0.0, {}, 0) and len(m.weekday_histogram) == 7
+
+
+def test_a_stream_of_session_files_equals_one_reading(spark, folder, row, tmp_path):
+    import shutil
+
+    root, out, marks = tmp_path / "logs", str(tmp_path / "lines"), str(tmp_path / "marks")
+    (root / "ann").mkdir(parents=True)
+    shutil.copy(f"{folder}/s0.jsonl", root / "ann")
+    sessions.follow(spark, str(root), out, marks)
+    first = spark.read.parquet(out)
+    assert {r.session for r in first.select("session").distinct().collect()} == {"s0.jsonl"}
+    for name in ("s1.jsonl", "s2.jsonl", "empty.jsonl", "other.txt"):
+        shutil.copy(f"{folder}/{name}", root / "ann")
+    (root / "bob").mkdir()
+    shutil.copy(f"{folder}/s1.jsonl", root / "bob")
+    for _ in range(2):  # the second finds nothing new
+        sessions.follow(spark, str(root), out, marks)
+    lines = spark.read.parquet(out).select("profile", "session", "seq", "line")
+    want = sessions.read_profiles(spark, str(root))
+    assert sorted(map(tuple, lines.collect())) == sorted(map(tuple, want.collect()))
+    files = spark.createDataFrame([("ann", f"s{k}.jsonl") for k in range(3)] + [("ann", "empty.jsonl"), ("bob", "s1.jsonl")], "profile string, session string")
+    got = {r.profile: r.asDict() for r in sessions.metrics(sessions.records(lines, ("profile",)), files, ("profile",)).collect()}
+    assert {k: v for k, v in got["ann"].items() if k != "profile"} == row.first().asDict() and got["bob"]["sessions"] == 1
