@@ -24,6 +24,8 @@ NEIGHBOURS = 12
 CROSS_BOOST = 1.15
 SAME_SOURCE = 0.35
 USES = 2
+#: Pairs of a round that are walked one by one.
+WINDOW = 1 << 16
 
 _PAIRS = "i long, j long, sim double"
 
@@ -112,35 +114,89 @@ def surprise(near: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
     return both.select("i", "j", "rk", "sim", "overlap", cross.alias("cross"), same.alias("same_source"), score.alias("score"), "di", "dj", "li", "lj", "si")
 
 
+def _order() -> tuple[Column, ...]:
+    return F.desc("score"), F.asc("i"), F.asc("rk")
+
+
+def _cut(pairs: DataFrame, n: int, rank: int, margin: float = 0.0) -> float:
+    """About the score of the pair in place ``rank`` of ``n`` from above, or that of one ``margin`` of all pairs further down."""
+    share = min(1.0, max(0.0, 1.0 - rank / n - margin))
+    return pairs.agg(F.percentile_approx("score", F.lit(share), F.lit(10_000))).first()[0]
+
+
+def first_of(pairs: DataFrame, limit: int) -> DataFrame:
+    """The first ``limit`` of ``pairs`` by score, i and rk. Only those near the end of them are put in order."""
+    n = pairs.count()
+    if n <= limit:
+        return pairs
+    high = _cut(pairs, n, limit, -0.001)
+    sure = pairs.where(F.col("score") > high)
+    c = sure.count()
+    if c > limit:
+        return pairs.orderBy(*_order()).limit(limit)
+    low = _cut(pairs, n, limit, 0.001)
+    band = pairs.where((F.col("score") <= high) & (F.col("score") >= low))
+    if c + band.count() < limit:
+        band = pairs.where(F.col("score") <= high)
+    return sure.unionByName(band.orderBy(*_order()).limit(limit - c))
+
+
+def _walked(rows: list, rooms: dict[int, int]) -> list[tuple[int, int, int, float]]:
+    """What the walk takes of ``rows``, which are in order; ``rooms`` is how often each node may still be used."""
+    out = []
+    for r in rows:
+        if rooms[r["i"]] > 0 and rooms[r["j"]] > 0:
+            rooms[r["i"]] -= 1
+            rooms[r["j"]] -= 1
+            out.append((r["i"], r["j"], r["rk"], r["score"]))
+    return out
+
+
 def diverse(scored: DataFrame, limit: int, uses: int = USES) -> DataFrame:
     """Of pairs in order of score, those a greedy walk takes when each node may be used ``uses`` times; the first ``limit``.
 
-    Rounds accept every pair that is among the best remaining of both its ends: no better pair can take their place, so
-    the rounds together take what the walk takes. Each round shrinks the rest; there are few.
+    A round has two steps. The best pairs left, at most about ``WINDOW``, are walked one by one: nothing stands before them, so
+    that the walk decides them for good. Of the others, those are taken that are among the best of both their ends: no better
+    pair can take their place. Once ``limit`` pairs are taken, what is worse than the last of them is dropped. Where scores
+    fall along a chain of pairs, the first step is what gets on; elsewhere the second decides most of them at once.
     """
-    order = [F.desc("score"), F.asc("i"), F.asc("rk")]
-    left = stage(scored.select("i", "j", "rk", "score"), "bridges-left")
-    taken: DataFrame | None = None
-    if left.isEmpty():
-        return scored.limit(0)
-    while True:
-        ends = left.select("i", "j", "rk", "score", F.explode(F.array("i", "j")).alias("node"))
-        if taken is not None:
-            used = taken.select(F.explode(F.array("i", "j")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("used"))
-            ends = ends.join(used, "node", "left")
-        else:
-            ends = ends.withColumn("used", F.lit(0))
-        room = F.lit(uses) - F.coalesce("used", F.lit(0))
-        ranked = ends.withColumn("room", room).withColumn("at", F.row_number().over(W.partitionBy("node").orderBy(*order)))
-        state = ranked.groupBy("i", "j", "rk", "score").agg(F.min(F.col("at") <= F.col("room")).alias("best"), F.min("room").alias("room"))
-        state = stage(state, "bridges-state")
-        now = state.where("best and room > 0").select("i", "j", "rk", "score")
-        taken = now if taken is None else taken.unionByName(now)
-        left = state.where("not best and room > 0").select("i", "j", "rk", "score")
-        if left.isEmpty():
-            break
-    first = taken.orderBy(*order).limit(limit).select("i", "j")
-    return scored.join(first, ["i", "j"])
+    ddl = "i long, j long, rk int, score double"
+    left = stage(scored.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("rk").cast("int").alias("rk"), F.col("score").cast("double").alias("score"), F.lit(uses).alias("ri"), F.lit(uses).alias("rj")), "bridges-left")
+    n, taken, n_taken = left.count(), scored.sparkSession.createDataFrame([], ddl), 0
+    while n:
+        floor = _cut(left, n, WINDOW // 2) if n > WINDOW else None
+        head = left if floor is None else left.where(F.col("score") > floor)
+        if floor is None or head.count() <= WINDOW:
+            rows = sorted(head.collect(), key=lambda r: (-r["score"], r["i"], r["rk"]))
+            now = _walked(rows, {r[x]: r[y] for r in rows for x, y in (("i", "ri"), ("j", "rj"))})
+            done = scored.sparkSession.createDataFrame(now, ddl)
+            rest = left.limit(0) if floor is None else left.where(F.col("score") <= floor)
+        else:  # too many of one score
+            done, rest = taken.limit(0), left
+        gone = stage(done, "bridges-walked")
+        spent = gone.select(F.explode(F.array("i", "j")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("spent"))
+        for end, room in (("i", "ri"), ("j", "rj")):
+            of = spent.select(F.col("node").alias(end), F.col("spent").alias("_spent"))
+            rest = rest.join(of, end, "left").withColumn(room, (F.col(room) - F.coalesce("_spent", F.lit(0))).cast("int")).drop("_spent")
+        rest = stage(rest.where("ri > 0 and rj > 0"), "bridges-rest")
+        ends = rest.select("i", "j", "rk", "score", F.explode(F.array(F.struct(F.col("i").alias("node"), F.col("ri").alias("room")), F.struct(F.col("j").alias("node"), F.col("rj").alias("room")))).alias("e"))
+        ranked = ends.withColumn("best", F.row_number().over(W.partitionBy("e.node").orderBy(*_order())) <= F.col("e.room"))
+        state = stage(ranked.groupBy("i", "j", "rk", "score").agg(F.min("best").alias("best"), *(F.max(F.when(F.col("e.node") == F.col(x), F.col("e.room"))).alias(y) for x, y in (("i", "ri"), ("j", "rj")))), "bridges-state")
+        more = state.where("best").select("i", "j", "rk", "score")
+        taken = stage(taken.unionByName(gone).unionByName(more), "bridges-taken")
+        n_taken = taken.count()
+        spent = more.select(F.explode(F.array("i", "j")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("spent"))
+        left = state.where("not best").drop("best")
+        for end, room in (("i", "ri"), ("j", "rj")):
+            of = spent.select(F.col("node").alias(end), F.col("spent").alias("_spent"))
+            left = left.join(of, end, "left").withColumn(room, (F.col(room) - F.coalesce("_spent", F.lit(0))).cast("int")).drop("_spent")
+        left = left.where("ri > 0 and rj > 0")
+        if n_taken >= limit:
+            worst = first_of(taken, limit).agg(F.min("score")).first()[0] if limit else float("inf")
+            left = left.where(F.col("score") >= worst)
+        left = stage(left.select("i", "j", "rk", "score", "ri", "rj"), "bridges-left")
+        n = left.count()
+    return scored.join(first_of(taken, limit).select("i", "j"), ["i", "j"])
 
 
 def bridge_limit(n: int) -> int:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from . import nudges, rules
+from .sequence_queries import ORACLES as MINED
 from .sequence_queries import _events
 
 
@@ -163,6 +164,16 @@ ORACLES = {
     "archetype_fit": f"{_M} SELECT profile, name, score::DOUBLE AS score FROM arch",
     "insight_cards": f"{_M} SELECT profile, metric, family, score::BIGINT AS score, round(value::DOUBLE, 2) AS value FROM cards",
     "insight_cards_ranked": f"{_M}, {CARDS_SQL}",
+    "nudges_ranked": f"""WITH h AS ({MINED["high_lift_moves"]}), s AS ({MINED["signature_chain"]}), p AS ({MINED["post_trigger_rocky"]}), g AS ({MINED["significance_gate"]}),
+        made AS (
+            SELECT 'determined' AS family, printf('After %s comes %s in %.0f %% of %d cases, %.2f times its usual share.', context, next, pct, total, lift) AS body FROM (SELECT * FROM h ORDER BY rank_score DESC, context LIMIT 1)
+            UNION ALL SELECT 'signature', printf('The chain %s recurs %d times, %.1f times as often as its parts suggest.', chain, n, lift) FROM s WHERE "at" = 1
+            UNION ALL SELECT 'trans_' || g.trigger, printf('After %s, %s comes next in %.0f %% of cases (%d).', g.trigger, usual, p.pct, p.n)
+                || CASE WHEN better IS NOT NULL THEN printf(' Where %s came instead (%d cases), trouble followed in %.0f %%: beyond the noise, yet no proof.', better, b.rocky_n, b.rocky_pct) ELSE ' No other move does better beyond the noise.' END
+            FROM g JOIN p ON p.trigger = g.trigger AND p.next_tool = usual LEFT JOIN p b ON b.trigger = g.trigger AND b.next_tool = better WHERE g.trigger <> 'reversal'
+        ),
+        ranked(family, priority) AS (VALUES {", ".join(f"('{k}', {v})" for k, v in nudges.PRIORITY.items())})
+        SELECT row_number() OVER (ORDER BY priority DESC, family) AS "at", family, priority, body FROM made JOIN ranked USING (family) WHERE regexp_matches(body, '[0-9]')""",
     "report_edges_taxes": f"{_M} {EDGES_SQL}",
     "reports": f"{_M}, {REPORTS_SQL}",
     "report_moves": f"{_M}, mv(key, body) AS (VALUES {_MOVES}) SELECT r.profile, r.key, mv.body FROM report r JOIN mv ON r.key = mv.key WHERE r.side = 'tax'",

@@ -15,11 +15,15 @@ _own_roots: dict[str, str] = {}
 def scratch_root(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where the setting is absent (tests, a single machine) a temporary folder of our own is used.
+    Only where the setting is absent and the session runs on one machine (tests) a temporary folder of our own is used; on a
+    cluster its executors would each write to their own disk, so that the setting is asked for.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_roots:
         _own_roots[app] = tempfile.mkdtemp(prefix="sparkloom-")

@@ -81,6 +81,38 @@ def test_diverse_equals_greedy_on_random_graphs(spark, seed):
     assert got == set(greedy([(i, j) for i, j, _, s in sorted(rows, key=lambda x: (-x[3], x[0], x[2]))], 9)) or len(got) == 9
 
 
+@pytest.mark.parametrize("window", [4, 50])
+def test_diverse_is_the_walk_whatever_the_window(spark, window, monkeypatch):
+    monkeypatch.setattr(graph, "WINDOW", window)
+    r = np.random.default_rng(window)
+    pairs = sorted({tuple(sorted(map(int, p))) for p in r.integers(0, 60, (260, 2)) if p[0] != p[1]})
+    rows = [(i, j, k, float(r.integers(1, 25))) for k, (i, j) in enumerate(pairs)]
+    want = greedy([(i, j) for i, j, _, s in sorted(rows, key=lambda x: (-x[3], x[0], x[2]))], 10**9)
+    taken = {(x.i, x.j) for x in graph.diverse(spark.createDataFrame(rows, "i long, j long, rk int, score double"), 10**9).collect()}
+    assert taken == set(want)
+    first = {(x.i, x.j) for x in graph.diverse(spark.createDataFrame(rows, "i long, j long, rk int, score double"), 17).collect()}
+    assert first == set(want[:17])
+
+
+def test_diverse_along_a_chain_takes_few_rounds(spark, monkeypatch):
+    n = 10_000
+    rows = [(k, k + 1, 1, 1.0 - k / (2 * n)) for k in range(n)]
+    rounds = []
+    real = graph.stage
+    monkeypatch.setattr(graph, "stage", lambda df, name: rounds.append(name) or real(df, name))
+    got = {(x.i, x.j) for x in graph.diverse(spark.createDataFrame(rows, "i long, j long, rk int, score double"), 4000, uses=1).collect()}
+    assert got == {(k, k + 1) for k in range(0, 8000, 2)} and rounds.count("bridges-state") < 10
+
+
+def test_first_of_takes_the_first(spark):
+    r = np.random.default_rng(1)
+    rows = [(i, i + 1, 1, float(x)) for i, x in enumerate(r.integers(0, 50, 5000))]
+    df = spark.createDataFrame(rows, "i long, j long, rk int, score double").cache()
+    order = sorted(rows, key=lambda x: (-x[3], x[0]))
+    for limit in (0, 1, 2500, 4999, 5000, 9999):
+        assert sorted(map(tuple, graph.first_of(df, limit).collect())) == sorted(order[:limit])
+
+
 def test_bridges_mark_or_add_edges(spark):
     edges = spark.createDataFrame([(1, 2, 0.9), (2, 3, 0.5)], "s long, t long, w double")
     bridges = spark.createDataFrame([(3, 2, 0.5), (1, 9, 0.3)], "i long, j long, sim double")

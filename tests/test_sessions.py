@@ -152,9 +152,10 @@ def test_metrics_by_profile_equal_those_of_each_folder(spark, folder, row, tmp_p
     assert {r.profile for r in shown} >= {"ann", "bob"} and [r.what for r in shown if r.profile == "ann" and r["at"] == 1] == ["The Pouncer"]
 
 
-def test_metrics_read_their_records_once(spark, folder):
-    recs = sessions.records(sessions.read(spark, folder))
-    plan = sessions.metrics(recs, sessions.files(spark, folder))._jdf.queryExecution().executedPlan().toString()
+def test_metrics_read_their_records_once(spark, tmp_path):
+    (tmp_path / "s.jsonl").write_text('{"message": {"role": "user", "content": "hi"}}\n')  # a folder that nothing has cached
+    recs = sessions.records(sessions.read(spark, str(tmp_path)))
+    plan = sessions.metrics(recs, sessions.files(spark, str(tmp_path)))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan text") == 1
 
 
