@@ -9,11 +9,12 @@ types are few however long the corpus is, so that counts, adjusted counts and pr
 3. each chunk asks for the distinct grams of all its documents; the distinct questions are answered by joins with the
    count tables, and the answers go back to the chunks that asked, where every document's whole text is scored;
 4. a fifth of the trusted documents, by hash of the id, is held out of training. Per language, a quantile of these
-   documents' perplexities is the limit that a document must not exceed; one at the limit is kept.
+   documents' perplexities is the limit that a document must not exceed; one at the limit is kept. A limit is pooled with that
+   of all languages, which weighs as much as ``FEW`` documents: the geometric mean of both by numbers of documents. So few
+   documents say little and many decide, without a number from which on they count.
 
-Defined cases: a null or empty text has no perplexity and isn't kept; a language with under ``FEW`` held-out documents, or
-null, takes the limit of all held-out documents; where these are under ``FEW``, too, there is no limit and all is kept that
-has a text; repeated rows are scored one by one; very long texts are scored whole, and are chunks of their own; ids that are
+Defined cases: a null or empty text has no perplexity and isn't kept; a language without held-out documents, or null, takes
+the limit of all held-out documents; where there are none at all, there is no limit and all is kept that has a text; repeated rows are scored one by one; very long texts are scored whole, and are chunks of their own; ids that are
 no whole numbers are null, and such rows are never trusted; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -36,6 +37,7 @@ HALF = ORDER // 2
 #: Bytes of a symbol in a gram.
 BYTES = 3
 QUANTILE = 0.995
+#: As many documents as the limit of all languages weighs in that of one.
 FEW = 20
 #: One in so many trusted documents is held out.
 HELD_OUT = 5
@@ -254,10 +256,11 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     scored = score(docs, trusted.where("not held").select("doc_id"))
     judged = scored.join(trusted.where("held"), "doc_id", "left_semi").where("perplexity is not null")
     n, at = F.count(F.lit(1)), F.percentile_approx("perplexity", F.lit(quantile), F.lit(100_000))
-    limits = stage(judged.where("lang is not null").groupBy("lang").agg(n.alias("n"), at.alias("own")).where(F.col("n") >= FEW).select("lang", "own"), "limits")
-    overall = judged.agg(F.when(n >= FEW, at).alias("overall"))
+    limits = stage(judged.where("lang is not null").groupBy("lang").agg(n.alias("n"), at.alias("own")), "limits")
+    overall = judged.agg(at.alias("overall"))
     few = limits.count() <= BROADCAST_IDS  # one row a language
     out = scored.join(F.broadcast(limits) if few else limits, "lang", "left").crossJoin(F.broadcast(overall))
-    limit = F.coalesce("own", "overall")
+    pooled = F.exp((F.col("n") * F.log("own") + FEW * F.log("overall")) / (F.col("n") + FEW))
+    limit = F.coalesce(pooled, "overall")
     kept = F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= limit, F.lit(True))
     return out.select("doc_id", "lang", "n_symbols", "perplexity", limit.alias("limit"), kept.alias("kept"))

@@ -144,7 +144,9 @@ def test_classifier_equals_brute_force(spark):
     ppl = kn_brute([texts[i] for i in range(500) if i not in held], texts)
     top = lambda ids: (v := sorted(ppl[i] for i in ids))[math.ceil(0.995 * len(v)) - 1]
     of = {k: [i for i in held if langs[i] == k] for k in ("de", "en")}
-    limit = {k: top(of[k]) if len(of[k]) >= kneser_ney.FEW else top(held) for k in of} | {"fr": top(held), None: top(held)}
+    pooled = lambda ids: math.exp((len(ids) * math.log(top(ids)) + kneser_ney.FEW * math.log(top(held))) / (len(ids) + kneser_ney.FEW))
+    limit = {k: pooled(of[k]) for k in of} | {"fr": top(held), None: top(held)}
+    assert limit["de"] != limit["en"]
     for i, x in rows.items():
         assert x.limit == pytest.approx(limit[langs[i]], rel=1e-4)
         assert x.kept == (ppl[i] is not None and ppl[i] <= limit[langs[i]] * (1 + 1e-9)) or abs(ppl[i] / limit[langs[i]] - 1) < 1e-4
