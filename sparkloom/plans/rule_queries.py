@@ -77,7 +77,7 @@ _COUNTS = """
                round(100.0 * purchases / greatest(n, 1)::DOUBLE, 1) AS reread, clicks * 3 AS files, views * 3 AS churn, purchases * 3 AS dispatches, errors % 2 AS planning, 100.0 - errors % 7 AS opus,
                clicks * 12.0 AS avg_min, n * 2 AS bash, clicks * 4 AS browser, CASE WHEN clicks > 0 THEN round(clicks / (clicks * 3)::DOUBLE, 1) ELSE 0.0 END AS epf,
                CASE WHEN clicks > 0 THEN round((clicks + purchases) / (clicks * 3)::DOUBLE, 1) ELSE 0.0 END AS tpf, views % 16 AS servers, weekend * 100.0 / n::DOUBLE AS wk,
-               errors AS pounce, views AS reversals, n * 4 AS prompts, n * 2000000 AS cache, n * 10 AS max_turns, errors AS smaller
+               errors AS pounce, views AS reversals, n * 4 AS prompts, n * 2000000 AS cache, n * 10 AS max_turns, errors AS smaller, 2 AS sessions
         FROM c
     )
 """
@@ -153,7 +153,7 @@ CARDS_SQL = f"""owns(name, family) AS (VALUES {_OWNS}),
               UNION ALL SELECT k.profile, 1, CASE WHEN k.rule = 6 THEN 'craft' WHEN k.rule = 8 THEN 'precision' ELSE cat.what END, k.family, k.score::DOUBLE, k.rule FROM k LEFT JOIN cat ON k.metric = cat.metric WHERE one = 1)
         SELECT profile, place AS at, what, family, score FROM (SELECT *, row_number() OVER (PARTITION BY profile ORDER BY tier, score DESC, rule) AS place FROM r) WHERE place <= 10"""
 REPORTS_SQL = """n AS (SELECT profile, count(*) FILTER (WHERE side = 'edge') AS e, count(*) FILTER (WHERE side = 'tax') AS t FROM report GROUP BY profile)
-        SELECT m.profile, CASE WHEN NOT (a.name = 'The Night Builder' AND m.night <= 200) THEN a.name END AS archetype, CAST(coalesce(e, 0) AS INTEGER) AS n_edges,
+        SELECT m.profile, CASE WHEN NOT (a.name = 'The Night Builder' AND m.night <= 200) AND NOT (m.turns < 50 AND m.sessions < 2) THEN a.name END AS archetype, CAST(coalesce(e, 0) AS INTEGER) AS n_edges,
                CAST(coalesce(t, 0) AS INTEGER) AS n_taxes, CAST(coalesce(t, 0) AS INTEGER) AS n_moves
         FROM m LEFT JOIN arch a ON m.profile = a.profile LEFT JOIN n ON m.profile = n.profile"""
 EDGES_SQL = "SELECT profile, side, key, family, priority::BIGINT AS priority FROM report"

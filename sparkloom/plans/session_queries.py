@@ -196,7 +196,7 @@ _FOR_RULES = f"""{_BY_PROFILE},
                most_churned_file_edits AS churn, workflow_calls + agent_calls AS dispatches, todo_calls AS planning, opus_pct AS opus, avg_session_min AS avg_min, bash, 0 AS browser,
                CASE WHEN distinct_files_edited > 0 THEN round(edit / distinct_files_edited::DOUBLE, 1) ELSE 0.0 END AS epf, CASE WHEN distinct_files_edited > 0 THEN round((edit + "write") / distinct_files_edited::DOUBLE, 1) ELSE 0.0 END AS tpf,
                mcp_servers_used AS servers, wk, morning, night, pounce_median_sec AS pounce, reversal_count AS reversals, coalesce(nullif(real_user_prompts, 0), greatest(assistant_turns, 1)) AS prompts, coalesce(cache, 0) AS cache,
-               max_turns_in_session AS max_turns, coalesce(smaller, 0) AS smaller
+               max_turns_in_session AS max_turns, coalesce(smaller, 0) AS smaller, sessions
         FROM pr LEFT JOIN times USING (profile) LEFT JOIN less USING (profile) LEFT JOIN cached USING (profile)
     ), {RULES_SQL}
 """

@@ -75,3 +75,20 @@ def test_next_moves_are_assembled_audited_and_written(spark, tmp_path):
 def test_sheet(spark, tmp_path):
     sinks.write_sheet(str(tmp_path / "s"), spark.createDataFrame([(1, 2, 3)], "source long, baseline long, engine long"))
     assert written(tmp_path / "s") == [{"source": 1, "baseline": 2, "engine": 3}]
+
+
+@pytest.mark.parametrize(("master", "ok"), [("local", True), ("local[4]", True), ("local-cluster[2,1,1024]", False), ("spark://host:7077", False), ("yarn", False), ("k8s://x", False)])
+def test_staging_needs_a_shared_folder_on_a_cluster(master, ok):
+    from types import SimpleNamespace
+
+    from sparkloom import staging
+
+    def session(folder):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: folder), sparkContext=SimpleNamespace(master=master, applicationId=f"none-{master}", getConf=lambda: SimpleNamespace(get=lambda key: None)))
+
+    assert staging.scratch_root(session("hdfs://shared/")) == "hdfs://shared"
+    if ok:
+        assert staging.scratch_root(session(None))
+    else:
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            staging.scratch_root(session(None))
