@@ -48,11 +48,18 @@ def neighbor_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.overlap(near, near.where("rk = 1").select("i", "j")).select("i", "j", F.round("overlap", 6).alias("overlap"))
 
 
-def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int, DataFrame]:
+    """Pairs with scores, the number of nodes, and the neighbours that both come from."""
     nodes = _nodes(spark, sf_dir)
     n = nodes.count()
     near = stage(graph.neighbours(nodes, DEEP), "near")
-    return graph.surprise(near, nodes, n), n
+    return graph.surprise(near, nodes, n), n, near
+
+
+def _bridged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Synapses and the most surprising bridges as one edge list."""
+    scored, _, near = _scored(spark, sf_dir)
+    return graph.with_bridges(graph.synapses(near), scored.orderBy(F.desc("score"), "i", "j").limit(TOP))
 
 
 def bridge_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,18 +69,18 @@ def bridge_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def surprise_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored, _ = _scored(spark, sf_dir)
+    scored, *_ = _scored(spark, sf_dir)
     return scored.select("i", "j", F.round("sim", 4).alias("sim"), F.round("overlap", 4).alias("overlap"), "cross", "same_source", F.round("score", 4).alias("score"))
 
 
 def bridges_diverse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored, n = _scored(spark, sf_dir)
+    scored, n, _ = _scored(spark, sf_dir)
     return graph.diverse(scored, graph.bridge_limit(n)).select("i", "j", F.round("score", 4).alias("score"))
 
 
 def bridge_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report of the most surprising pairs, with what was measured in words."""
-    scored, _ = _scored(spark, sf_dir)
+    scored, *_ = _scored(spark, sf_dir)
     first = scored.orderBy(F.desc("score"), "i", "j").limit(TOP)
     return graph.cards(first).select("i", "j", "why", "angle")
 
@@ -98,8 +105,7 @@ def domain_bridge_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def long_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Synapses and the most surprising bridges as one edge list."""
-    scored, _ = _scored(spark, sf_dir)
-    edges = graph.with_bridges(knn_synapses(spark, sf_dir), scored.orderBy(F.desc("score"), "i", "j").limit(TOP))
+    edges = _bridged(spark, sf_dir)
     return edges.groupBy("is_long").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("w"), 2).alias("weight"))
 
 
@@ -127,9 +133,7 @@ def layout_axis_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def walk_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored, _ = _scored(spark, sf_dir)
-    edges = graph.with_bridges(knn_synapses(spark, sf_dir), scored.orderBy(F.desc("score"), "i", "j").limit(TOP))
-    return walk.walk(edges, walkers=8, steps=50)
+    return walk.walk(_bridged(spark, sf_dir), walkers=8, steps=50)
 
 
 _BASE = """
