@@ -144,15 +144,20 @@ def shape(events: DataFrame, early_tools: tuple[str, ...], min_sessions: int = 6
 
 
 def novelty(events: DataFrame, min_sessions: int = 8, min_used: int = 3) -> DataFrame:
-    """Tools of some sessions only that go with lower correction rates, even without the session that favours them most."""
-    rates = session_stats(events).select("session", "correction_rate")
-    totals = rates.agg(F.count(F.lit(1)).alias("m"), F.sum("correction_rate").alias("all_sum"))
+    """Tools of some sessions only that go with lower correction rates, even without the session that favours them most.
+
+    Rates have one digit: they are added up as whole tenths, and each difference is a quotient of whole numbers, so that its
+    rounding doesn't depend on the order of sessions.
+    """
+    rates = session_stats(events).select("session", F.round(F.col("correction_rate") * 10).cast("long").alias("tenths"))
+    totals = rates.agg(F.count(F.lit(1)).alias("m"), F.sum("tenths").alias("all_sum"))
     used = tools(events).select("session", "name").distinct().where(~text.is_probe(F.col("name")))
-    per = used.join(rates, "session").groupBy("name").agg(F.count(F.lit(1)).alias("used_in"), F.sum("correction_rate").alias("s"), F.min("correction_rate").alias("low"))
+    per = used.join(rates, "session").groupBy("name").agg(F.count(F.lit(1)).alias("used_in"), F.sum("tenths").alias("s"), F.min("tenths").alias("low"))
     both = per.crossJoin(F.broadcast(totals)).where((F.col("m") >= min_sessions) & F.col("used_in").between(F.lit(min_used), F.greatest(F.lit(min_used), F.floor(F.col("m") / 4))))
-    rest = (F.col("all_sum") - F.col("s")) / F.greatest(F.col("m") - F.col("used_in"), F.lit(1))
-    delta = rest - F.col("s") / F.col("used_in")
-    loo = F.when(F.col("used_in") > 3, rest - (F.col("s") - F.col("low")) / (F.col("used_in") - 1)).otherwise(delta)
+    others = F.greatest(F.col("m") - F.col("used_in"), F.lit(1))
+    apart = lambda s, n: ((F.col("all_sum") - F.col("s")) * n - s * others) / (10 * others * n)
+    delta = apart(F.col("s"), F.col("used_in"))
+    loo = F.when(F.col("used_in") > 3, apart(F.col("s") - F.col("low"), F.col("used_in") - 1)).otherwise(delta)
     return both.select("name", "used_in", F.round(delta, 4).alias("delta"), F.round(loo, 4).alias("delta_loo")).where("delta > 0 and delta_loo > 0")
 
 
