@@ -144,17 +144,27 @@ def facts(recs: DataFrame, sessions: DataFrame, by: tuple[str, ...] = ()) -> Dat
     return stream.unionByName(sessions.select(*by, "session", fact("session", F.col("session")).alias("f")), allowMissingColumns=True)
 
 
+def session_facts(recs: DataFrame, sessions: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Facts summed by session, fact and key. All sums are numbers, so that they are hashed and no fact is sorted."""
+    here = F.col("f.fact") == "session"
+    timed = F.when(here & F.col("ts").isNotNull(), F.col("seq"))
+    return facts(recs, sessions, by).groupBy(*by, "session", F.col("f.fact").alias("fact"), F.col("f.key").alias("key")).agg(
+        F.count(F.lit(1)).alias("n"), F.max("f.x").alias("x"), F.min("seq").alias("seq"), *(F.sum(F.when(here, F.col(f"c.{c}"))).alias(c) for c in _SUMS),
+        F.max(F.when(here, F.col("c.tools"))).alias("_tools"), F.min(F.when(here, F.col("c.night"))).alias("_night"), *(F.sum(F.when(F.col("f.fact").isin("session", "model"), F.col(f"u.{k}"))).alias(f"_{k}") for k in TOKENS),
+        F.min_by("ts", timed).alias("_from"), F.max_by("ts", timed).alias("_to"),
+    )
+
+
 def metrics(recs: DataFrame, sessions: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """One row of metrics over all sessions, or one for each value of ``by``; ``sessions(by, session)`` has a row for each file.
 
-    Records are read once: facts are summed by fact and key, on the side that reads them already, and these sums by ``by``.
+    Records are read once: facts are summed by session, fact and key first, into numbers alone, which needs a row in memory for
+    each of these and no sorting of facts; these sums are added up by fact and key, and then by ``by``.
     """
     f = lambda name: F.col("fact") == name
-    here = F.col("f.fact") == "session"
-    summed = facts(recs, sessions, by).groupBy(*by, F.col("f.fact").alias("fact"), F.col("f.key").alias("key")).agg(
-        F.count(F.lit(1)).alias("n"), F.max("f.x").alias("x"), F.min(F.struct("session", "seq")).alias("first"), *(F.sum(F.when(here, F.col(f"c.{c}"))).alias(c) for c in _SUMS),
-        F.max(F.when(here, F.col("c.tools"))).alias("_tools"), F.min(F.when(here, F.col("c.night"))).alias("_night"), *(F.sum(F.when(F.col("f.fact").isin("session", "model"), F.col(f"u.{k}"))).alias(f"_{k}") for k in TOKENS),
-        F.min_by("ts", F.when(here & F.col("ts").isNotNull(), F.col("seq"))).alias("_from"), F.max_by("ts", F.when(here & F.col("ts").isNotNull(), F.col("seq"))).alias("_to"),
+    summed = session_facts(recs, sessions, by).groupBy(*by, "fact", "key").agg(
+        F.sum("n").alias("n"), F.max("x").alias("x"), F.min(F.when(f("hour"), F.struct("session", "seq"))).alias("first"), *(F.sum(c).alias(c) for c in (*_SUMS, *(f"_{k}" for k in TOKENS))),
+        F.max("_tools").alias("_tools"), F.min("_night").alias("_night"), F.max("_from").alias("_from"), F.max("_to").alias("_to"),  # a session has one row
     )
     place = F.row_number().over(W.partitionBy(*by, "fact", F.when(~F.col("fact").isin(*TOP), F.col("key"))).orderBy(F.desc("n"), "key"))
     summed = summed.withColumn("_place", place)

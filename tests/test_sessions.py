@@ -186,3 +186,9 @@ def test_a_stream_of_session_files_equals_one_reading(spark, folder, row, tmp_pa
     files = spark.createDataFrame([("ann", f"s{k}.jsonl") for k in range(3)] + [("ann", "empty.jsonl"), ("bob", "s1.jsonl")], "profile string, session string")
     got = {r.profile: r.asDict() for r in sessions.metrics(sessions.records(lines, ("profile",)), files, ("profile",)).collect()}
     assert {k: v for k, v in got["ann"].items() if k != "profile"} == row.first().asDict() and got["bob"]["sessions"] == 1
+
+
+def test_facts_are_summed_by_hash_and_not_sorted(recs):
+    files = recs.select("session").distinct()
+    plan = sessions.session_facts(recs, files)._jdf.queryExecution().sparkPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
