@@ -53,7 +53,13 @@ def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int, DataFrame
     nodes = _nodes(spark, sf_dir)
     n = nodes.count()
     near = stage(graph.neighbours(nodes, DEEP), "near")
-    return graph.surprise(near, nodes, n), n, near
+    return graph.rated(near, nodes, n), n, near
+
+
+def _first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most surprising pairs, with labels."""
+    scored, *_ = _scored(spark, sf_dir)
+    return graph.labelled(scored.orderBy(F.desc("score"), "i", "j").limit(TOP), _nodes(spark, sf_dir))
 
 
 def _bridged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,18 +81,17 @@ def surprise_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bridges_diverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored, n, _ = _scored(spark, sf_dir)
+    scored = stage(scored.select("i", "j", "rk", "score"), "scored")
     return graph.diverse(scored, graph.bridge_limit(n)).select("i", "j", F.round("score", 4).alias("score"))
 
 
 def bridge_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report of the most surprising pairs, with what was measured in words."""
-    scored, *_ = _scored(spark, sf_dir)
-    first = scored.orderBy(F.desc("score"), "i", "j").limit(TOP)
-    return graph.cards(first).select("i", "j", "why", "angle")
+    return graph.cards(_first(spark, sf_dir)).select("i", "j", "why", "angle")
 
 
 def insight_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.digest(_scored(spark, sf_dir)[0], TOP)
+    return graph.digest(_first(spark, sf_dir), TOP)
 
 
 def graph_meta(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -98,3 +98,12 @@ def test_binomial(spark, k, n):
     got = spark.range(1).select(stats.binomial_two_sided(F.lit(k), F.lit(n))).first()[0]
     pmf = [math.comb(n, i) / 2**n for i in range(n + 1)]
     assert got == pytest.approx(min(1, sum(p for p in pmf if p <= pmf[k] * (1 + 1e-9))) if n else 1.0, abs=1e-9)
+
+
+def test_a_norm_is_worked_out_once_a_row(spark):
+    from sparkloom.functions import vector
+
+    shown = str(vector.unit(F.col("v")))
+    assert shown.index("sqrt") < shown.index("/") and "/ (sqrt" not in shown
+    rows = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), ([],), (None,)], "v array<double>").select(vector.unit(F.col("v")).alias("u")).collect()
+    assert rows[0].u == [3 / (5 + vector.EPS), 4 / (5 + vector.EPS)] and [r.u for r in rows[1:]] == [[0.0, 0.0], [], None]
