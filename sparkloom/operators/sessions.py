@@ -104,14 +104,24 @@ def events(recs: DataFrame) -> DataFrame:
 #: Counted over records, summed by session first.
 _SUMS = ("user_turns", "real_user_prompts", "assistant_turns", "reversal_count", "tool_errors", "bash_interrupted", "thinking_blocks", "thinking_chars", "multi_tool_turns", "_opus", "_with_model")
 TOP = {"tool": 15, "server": 10}
+#: Records of a partition.
+PART_ROWS = 25_000
 
 
-def facts(recs: DataFrame, sessions: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+def parts_of(n: int, least: int) -> int:
+    """How many partitions ``n`` records are dealt to: so many that a task's share of them doesn't grow with the log."""
+    return max(least, -(-n // PART_ROWS))
+
+
+def facts(recs: DataFrame, by: tuple[str, ...] = (), parts: int | None = None) -> DataFrame:
     """(by, session, seq, ts, f struct<fact, key, x>, c, u): everything that the metrics count, as one stream.
 
     Each record names its session, branch, model, hour, day, wait before a correction, and its tools with their servers and
     paths. ``c`` are the record's own counts and ``u`` its tokens; they are taken where the fact is the session (or model).
+    Sessions are dealt to ``parts`` partitions, or as Spark is set.
     """
+    if parts:
+        recs = recs.repartition(parts, *by, "session")
     before = W.partitionBy(*by, "session").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
     is_user, is_assistant = F.col("role") == "user", F.col("role") == "assistant"
     recs = recs.withColumn("_last", F.last(F.when(is_assistant, F.col("ts")), True).over(before))
@@ -140,19 +150,24 @@ def facts(recs: DataFrame, sessions: DataFrame, by: tuple[str, ...] = ()) -> Dat
 
     own = F.array(fact("session", F.col("session")), fact("branch", F.col("branch")), fact("model", F.when(model.isNotNull(), T.model_family(model))), fact("hour", hour), fact("day", F.when(F.col("ts").isNotNull(), F.weekday(clock))), fact("wait", caught, caught))
     every = F.filter(F.concat(own, F.flatten(F.transform(uses, of_use))), lambda f: f["key"].isNotNull())
-    stream = recs.select(*by, "session", "seq", "ts", counted.alias("c"), tokens.alias("u"), F.explode(every).alias("f"))
-    return stream.unionByName(sessions.select(*by, "session", fact("session", F.col("session")).alias("f")), allowMissingColumns=True)
+    return recs.select(*by, "session", "seq", "ts", counted.alias("c"), tokens.alias("u"), F.explode(every).alias("f"))
 
 
-def session_facts(recs: DataFrame, sessions: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """Facts summed by session, fact and key. All sums are numbers, so that they are hashed and no fact is sorted."""
+def session_facts(recs: DataFrame, sessions: DataFrame, by: tuple[str, ...] = (), parts: int | None = None) -> DataFrame:
+    """Facts summed by session, fact and key. All sums are numbers, so that they are hashed and no fact is sorted.
+
+    A session's records stand together already, so that its facts are summed where they are made. Each of ``sessions``, empty
+    ones too, has a fact of its own besides, without sums.
+    """
     here = F.col("f.fact") == "session"
     timed = F.when(here & F.col("ts").isNotNull(), F.col("seq"))
-    return facts(recs, sessions, by).groupBy(*by, "session", F.col("f.fact").alias("fact"), F.col("f.key").alias("key")).agg(
+    summed = facts(recs, by, parts).groupBy(*by, "session", F.col("f.fact").alias("fact"), F.col("f.key").alias("key")).agg(
         F.count(F.lit(1)).alias("n"), F.max("f.x").alias("x"), F.min("seq").alias("seq"), *(F.sum(F.when(here, F.col(f"c.{c}"))).alias(c) for c in _SUMS),
         F.max(F.when(here, F.col("c.tools"))).alias("_tools"), F.min(F.when(here, F.col("c.night"))).alias("_night"), *(F.sum(F.when(F.col("f.fact").isin("session", "model"), F.col(f"u.{k}"))).alias(f"_{k}") for k in TOKENS),
         F.min_by("ts", timed).alias("_from"), F.max_by("ts", timed).alias("_to"),
     )
+    files = sessions.select(*by, "session", F.lit("session").alias("fact"), F.col("session").alias("key"), F.lit(1).cast("long").alias("n"))
+    return summed.unionByName(files, allowMissingColumns=True)
 
 
 def metrics(recs: DataFrame, sessions: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -162,7 +177,8 @@ def metrics(recs: DataFrame, sessions: DataFrame, by: tuple[str, ...] = ()) -> D
     each of these and no sorting of facts; these sums are added up by fact and key, and then by ``by``.
     """
     f = lambda name: F.col("fact") == name
-    summed = session_facts(recs, sessions, by).groupBy(*by, "fact", "key").agg(
+    parts = parts_of(recs.count(), int(recs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    summed = session_facts(recs, sessions, by, parts).repartition(parts, *by, "fact", "key").groupBy(*by, "fact", "key").agg(
         F.sum("n").alias("n"), F.max("x").alias("x"), F.min(F.when(f("hour"), F.struct("session", "seq"))).alias("first"), *(F.sum(c).alias(c) for c in (*_SUMS, *(f"_{k}" for k in TOKENS))),
         F.max("_tools").alias("_tools"), F.min("_night").alias("_night"), F.max("_from").alias("_from"), F.max("_to").alias("_to"),  # a session has one row
     )

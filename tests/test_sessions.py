@@ -192,3 +192,11 @@ def test_facts_are_summed_by_hash_and_not_sorted(recs):
     files = recs.select("session").distinct()
     plan = sessions.session_facts(recs, files)._jdf.queryExecution().sparkPlan().toString()
     assert "HashAggregate" in plan and "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
+
+
+def test_a_task_gets_no_more_records_of_a_longer_log(spark):
+    assert [sessions.parts_of(n, 12) for n in (0, 300_000, 36_000_000)] == [12, 12, 1440]
+    recs = sessions.records(spark.createDataFrame([("a", 0, "{}")], "session string, seq int, line string"))
+    files = spark.createDataFrame([("a",)], "session string")
+    plan = sessions.session_facts(recs, files, parts=7)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and ", 7), REPARTITION_BY_NUM" in plan
