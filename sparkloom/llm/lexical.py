@@ -35,6 +35,8 @@ from ._shared import long_id, small_batches, spread, stage, utf8
 from ._tokens import gathered, runs
 
 BLOCK_DOCS, BLOCK_BYTES = 1 << 14, 8 << 20
+#: Bytes of the index that a task has at once in Spark's memory: blocks are written in row groups of about this size.
+GROUP_BYTES = 8 << 20
 #: Terms of the items that a task has at once, and items whose slices are summed side by side.
 BATCH_TERMS, SIDE_BY_SIDE = 200_000, 64
 #: Batches that are sent to every task together; more meet the blocks by shuffle.
@@ -92,7 +94,7 @@ class Index:
 def build(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", block_docs: int = BLOCK_DOCS, block_bytes: int = BLOCK_BYTES) -> Index:
     small_batches(docs.sparkSession)
     rows = docs.select(long_id(docs[id_column]).alias("id"), docs[text_column].cast("string").alias("text"))
-    blocks = stage(rows.mapInArrow(_blocks(block_docs, block_bytes), _BLOCK), "lexical-blocks")
+    blocks = stage(rows.mapInArrow(_blocks(block_docs, block_bytes), _BLOCK), "lexical-blocks", GROUP_BYTES)
     n, terms = blocks.agg(F.sum("n_docs"), F.sum("n_terms")).first()
     return Index(blocks, n or 0, terms or 0)
 

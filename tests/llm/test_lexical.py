@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from sparkloom.llm import lexical
@@ -68,6 +69,14 @@ def test_many_batches_give_the_same(spark, make, prose, monkeypatch):
     assert ask(spark, make, docs, items) == sorted(brute(docs, items), key=key)
 
 
+def test_blocks_are_written_and_read_one_by_one(make, prose, monkeypatch):
+    monkeypatch.setattr(lexical, "GROUP_BYTES", 1 << 10, raising=False)
+    index = lexical.build(make(list(enumerate(prose))).coalesce(1), block_docs=8)
+    files = [pq.ParquetFile(f.removeprefix("file:")) for f in index.blocks.inputFiles()]
+    groups = [f.metadata.row_group(g).num_rows for f in files for g in range(f.num_row_groups)]
+    assert sum(groups) == index.blocks.count() >= 4 and max(groups) == 1
+
+
 def test_slices_add_and_select():
     r = np.random.default_rng(0)
     value = r.integers(0, 1 << 33, (3, 100))
